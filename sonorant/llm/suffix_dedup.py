@@ -3,13 +3,16 @@
 Every 50-byte string of every text is judged. Texts are cut into short overlapping strings: a run of consecutive 50-byte
 windows that have the same minimizer (the least hash of a 16-byte substring). Equal windows have equal minimizers, so
 sending strings to shards by minimizer brings equal windows together, and each shard is a collection of strings of at
-most 84 bytes. A shard drops strings whose minimizer occurs in one document, and then builds the transform of the
-distinct rest column by column: each round inserts one symbol of every string, the ranks of the new suffixes following
-from the transform so far (an LF step), and merges them into the columns in one sequential sweep. Suffixes in final order
+most 84 bytes. It takes two rounds, so that the bytes of what occurs once never move: the first sends minimizers alone
+and tells each document which of its strings have one that another document has too; the second sends those strings.
+
+A shard builds the transform of its distinct strings column by column: each round inserts one symbol of every string.
+The places of the new symbols follow from the transform so far (the stable order of its symbols, an LF step), and one
+sequential sweep merges them into the column. Following the finished transform gives every suffix's place; suffixes
 that share 50 bytes with their neighbour form classes; a window goes if its class also starts in a smaller document.
 
-The columns of a shard are arrays that one sweep a round reads and rewrites in order; with shards of bounded size they
-are held in memory, and with `external` they are files in the task's temporary folder, removed at the end of the task.
+The column is an array that one sweep a round reads and rewrites in order; with shards of bounded size it is held in
+memory, and with `external` it is a file in the task's temporary folder, removed at the end of the task.
 
 Defined cases: null or empty text has no bytes and nothing removed; a row with a null doc_id neither removes nor loses
 bytes; rows with equal doc_id do not remove each other's bytes; an empty table gives an empty result.
@@ -21,6 +24,7 @@ import hashlib
 import os
 import tempfile
 from collections.abc import Iterator
+from contextlib import nullcontext
 
 import numpy as np
 import pandas as pd
@@ -34,6 +38,7 @@ LENGTH, GRAM = 50, 16
 REACH = LENGTH - GRAM + 1  # 16-byte substrings in a window, and the most windows in a string
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BLOCK = 3_000_000
+_COLLECTION = 300_000
 
 
 def _sliding_least(h: np.ndarray, width: int) -> np.ndarray:
@@ -86,111 +91,160 @@ def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return flat[np.repeat(start - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
-def _pack(key: np.ndarray, doc: np.ndarray, sub: np.ndarray, start: np.ndarray, windows: np.ndarray, content: bytes) -> bytes:
-    n = len(key)
-    head = np.array([n], dtype="<u4").tobytes()
-    delta = np.diff(key, prepend=np.uint32(0)).astype("<u4")
-    return zstandard.compress(head + _planes(delta) + _planes(doc.astype("<i8")) + _planes(sub.astype("<i4")) + _planes(start.astype("<u4")) + windows.astype(np.uint8).tobytes() + content, 1)
+_KINDS = {"key": "<u4", "doc": "<i8", "sub": "<i4", "start": "<u4", "windows": "<u2"}
+
 
+def _pack(columns: dict[str, np.ndarray], content: bytes = b"") -> bytes:
+    """Columns (key sorted, as differences) by byte planes, then content, compressed."""
+    out = [np.array([len(columns["key"])], dtype="<u4").tobytes()]
+    for name, x in columns.items():
+        out.append(_planes((np.diff(x, prepend=np.uint32(0)) if name == "key" else x).astype(_KINDS[name])))
+    return zstandard.compress(b"".join([*out, content]), 1)
 
-def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+
+def _unpack(payload: bytes, names: tuple[str, ...]) -> tuple[dict[str, np.ndarray], bytes]:
     raw = zstandard.decompress(payload)
-    n, at, out = int(np.frombuffer(raw[:4], "<u4")[0]), 4, []
-    for kind, width in (("<u4", 4), ("<i8", 8), ("<i4", 4), ("<u4", 4)):
-        out.append(_from_planes(raw[at : at + width * n], kind, n))
-        at += width * n
-    return np.cumsum(out[0], dtype=np.uint32), out[1], out[2], out[3], np.frombuffer(raw[at : at + n], np.uint8).astype(np.int64), raw[at + n :]
-
-
-def shards(docs: DataFrame, n_shards: int) -> DataFrame:
-    """shard, payload: the strings of docs (doc_id, sub, text), by minimizer."""
-
-    def block(docs_: list[int], subs: list[int], raws: list[bytes]) -> pd.DataFrame:
-        text, at, windows, key, flat = strings(raws)
-        base = np.cumsum([0] + [len(r) for r in raws])
-        shard = ((key >> np.uint64(32)) % np.uint64(n_shards)).astype(np.int64)
-        low = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        order = np.lexsort((low, shard))
-        text, at, windows, shard, low = text[order], at[order], windows[order], shard[order], low[order]
-        doc, sub, start = np.asarray(docs_, dtype=np.int64)[text], np.asarray(subs, dtype=np.int64)[text], at - base[text]
-        cuts = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
-        rows = [
-            (int(shard[i]), _pack(low[i:j], doc[i:j], sub[i:j], start[i:j], windows[i:j], _gather(flat, at[i:j], windows[i:j] + LENGTH - 1).tobytes()))
-            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
-        ]
-        return pd.DataFrame(rows, columns=["shard", "payload"])
+    n, at, out = int(np.frombuffer(raw[:4], "<u4")[0]), 4, {}
+    for name in names:
+        width = np.dtype(_KINDS[name]).itemsize * n
+        out[name] = _from_planes(raw[at : at + width], _KINDS[name], n)
+        at += width
+    out["key"] = np.cumsum(out["key"], dtype=np.uint32)
+    return out, raw[at:]
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: tuple[list[int], list[int], list[bytes]] = ([], [], [])
-        size = 0
-        for b in batches:
-            for d, s, t in zip(b["doc_id"].tolist(), b["sub"].tolist(), b["text"], strict=True):
-                raw = t.encode("utf-8", "surrogatepass")
-                if len(raw) < LENGTH:
-                    continue
-                for x, y in zip(held, (d, s, raw), strict=True):
-                    x.append(y)
+
+def _parts(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes], list]]:
+    """Texts of 50 bytes or more in blocks: doc_id, sub, bytes, chosen (None where there is no such column)."""
+    held: list[tuple] = []
+    size = 0
+
+    def block() -> tuple[np.ndarray, np.ndarray, list[bytes], list]:
+        return np.array([x[0] for x in held], dtype=np.int64), np.array([x[1] for x in held], dtype=np.int64), [x[2] for x in held], [x[3] for x in held]
+
+    for b in batches:
+        chosen = b["chosen"] if "chosen" in b else [None] * len(b)
+        for d, s, t, c in zip(b["doc_id"].tolist(), b["sub"].tolist(), b["text"], chosen, strict=True):
+            raw = t.encode("utf-8", "surrogatepass")
+            if len(raw) >= LENGTH:
+                held.append((d, s, raw, c))
                 size += len(raw)
-                if size >= _BLOCK:
-                    yield block(*held)
-                    held, size = ([], [], []), 0
-        if size:
-            yield block(*held)
+            if size >= _BLOCK:
+                yield block()
+                held, size = [], 0
+    if held:
+        yield block()
 
-    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "sub", "text").mapInPandas(rows, "shard int, payload binary")
+
+def _by_shard(key: np.ndarray, n_shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The order by shard and key; in it, the shards, the keys within a shard, and where shards begin and end."""
+    shard = ((key >> np.uint64(32)) % np.uint64(n_shards)).astype(np.int64)
+    low = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    order = np.lexsort((low, shard))
+    shard, low = shard[order], low[order]
+    return order, shard, low, np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
+
+
+def minimizers(docs: DataFrame, n_shards: int) -> DataFrame:
+    """shard, payload: minimizer, document and ordinal of every string."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for doc, sub, raws, _ in _blocks(batches):
+            text, _, _, key, _ = strings(raws)
+            ordinal = np.arange(len(text)) - np.searchsorted(text, text)
+            order, shard, low, cuts = _by_shard(key, n_shards)
+            columns = {"key": low, "doc": doc[text[order]], "sub": sub[text[order]], "start": ordinal[order]}
+            out = [(int(shard[i]), _pack({k: v[i:j] for k, v in columns.items()})) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            yield pd.DataFrame(out, columns=["shard", "payload"])
+
+    return docs.mapInPandas(rows, "shard int, payload binary")
+
+
+def shared_ordinals(payloads: list[bytes]) -> pd.DataFrame:
+    """doc_id, sub, ordinals of the strings of a shard whose minimizer two documents have."""
+    x = _parts([_unpack(p, ("key", "doc", "sub", "start"))[0] for p in payloads])
+    order = np.argsort(x["key"], kind="stable")
+    key, doc = x["key"][order], x["doc"][order]
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    run = np.diff(np.append(begin, len(order)))
+    chosen = order[np.repeat(np.minimum.reduceat(doc, begin) < np.maximum.reduceat(doc, begin), run)]
+    chosen = chosen[np.lexsort((x["start"][chosen], x["sub"][chosen], x["doc"][chosen]))]
+    doc, sub, start = (x[k][chosen] for k in ("doc", "sub", "start"))
+    if not len(chosen):
+        return pd.DataFrame({"doc_id": doc, "sub": sub, "ordinals": []}).astype({"ordinals": object})
+    cuts = np.append(np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1])])), len(doc))
+    return pd.DataFrame({"doc_id": doc[cuts[:-1]], "sub": sub[cuts[:-1]], "ordinals": [start[i:j].astype("<u4").tobytes() for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]})
+
+
+def contents(docs: DataFrame, n_shards: int) -> DataFrame:
+    """shard, payload: the chosen strings of docs (doc_id, sub, text, chosen: arrays of ordinals), with their bytes."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for doc, sub, raws, chosen in _blocks(batches):
+            text, at, windows, key, flat = strings(raws)
+            first = np.searchsorted(text, np.arange(len(raws)))
+            take = np.concatenate([first[i] + np.frombuffer(b"".join(c), "<u4") for i, c in enumerate(chosen)]).astype(np.int64)
+            text, at, windows = text[take], at[take], windows[take]
+            order, shard, low, cuts = _by_shard(key[take], n_shards)
+            text, at, windows = text[order], at[order], windows[order]
+            base = np.cumsum([0] + [len(r) for r in raws])
+            columns = {"key": low, "doc": doc[text], "sub": sub[text], "start": at - base[text], "windows": windows}
+            out = [
+                (int(shard[i]), _pack({k: v[i:j] for k, v in columns.items()}, _gather(flat, at[i:j], windows[i:j] + LENGTH - 1).tobytes()))
+                for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
+            ]
+            yield pd.DataFrame(out, columns=["shard", "payload"])
+
+    return docs.mapInPandas(rows, "shard int, payload binary")
 
 
 def collection_order(flat: np.ndarray, start: np.ndarray, size: np.ndarray, external: str | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted suffixes of a collection of strings: (string, suffix length), built column by column.
+    """The sorted suffixes of a collection of strings: (string, suffix length), by the transform built column by column.
 
-    Round j inserts, for each string of at least j symbols, its suffix of length j. `mark` is the transform: the symbol
-    before each suffix, where 255 (never in UTF-8) stands for none. New suffixes are the frontier's, one symbol longer;
-    the rank of each among the suffixes with its first symbol is that of the frontier entry among equal symbols.
-    external: a folder in which the columns are files, written in order each round.
+    Round j inserts, for each string of at least j symbols, the symbol before its suffix of length j (255, never in UTF-8,
+    where there is none). The suffixes with an entry before them, in stable order of that entry, are the new order
+    after the empty suffixes, so an entry's rank among equal symbols is the place of the suffix it begins.
+    external: a folder in which the column is a file, written in order each round.
     """
     m = len(start)
+    end = start + size
 
-    def before(string: np.ndarray, length: int) -> np.ndarray:
-        more = size[string] > length
-        return np.where(more, flat[np.where(more, start[string] + size[string] - length - 1, 0)], 255).astype(np.uint8)
-
-    def column(name: str, n: int, kind: type) -> np.ndarray:
-        return np.empty(n, dtype=kind) if external is None else np.memmap(f"{external}/{name}", dtype=kind, mode="w+", shape=(n,))
+    def column(name: str, n: int) -> np.ndarray:
+        return np.empty(n, dtype=np.uint8) if external is None else np.memmap(f"{external}/{name}", dtype=np.uint8, mode="w+", shape=(n,))
 
-    string = np.arange(m, dtype=np.int32)
-    depth = np.zeros(m, dtype=np.uint8)
-    mark = before(string, 0)
-    fresh = np.arange(m)  # where the frontier is, in order
+    mark = flat[end - 1].copy()
+    who, fresh = np.arange(m), np.arange(m)  # strings by the place of the newest entry, and those places
+    for j in range(1, int(size.max(initial=0)) + 1):
+        new = np.zeros(len(mark), dtype=bool)
+        new[fresh] = mark[fresh] != 255
+        string = np.empty(len(mark), dtype=np.int32)
+        string[fresh] = who
+        by = np.argsort(mark, kind="stable")
+        at = np.flatnonzero(new[by])  # places among the suffixes that are not empty
+        who = string[by[at]]
+        fresh = at + m
+        more = size[who] > j
+        symbol = np.where(more, flat[np.where(more, end[who] - j - 1, 0)], 255).astype(np.uint8)
+        c = column(f"column{j % 2}", len(mark) + len(at))
+        old = np.ones(len(c), dtype=bool)
+        old[fresh] = False
+        c[old] = mark
+        c[fresh] = symbol
+        mark = c
+    # Follow the transform from the empty suffixes on: the place of each string's suffix of length 1, 2, ...
+    step = np.empty(len(mark), dtype=np.int64)
+    step[np.argsort(mark, kind="stable")] = np.arange(m, len(mark) + m)
+    string, depth = np.empty(len(mark), dtype=np.int32), np.zeros(len(mark), dtype=np.uint8)
+    who, place = np.arange(m), np.arange(m)
+    string[place] = who
     for j in range(1, int(size.max(initial=0)) + 1):
-        symbol = mark[fresh]
-        going = symbol != 255
-        fresh, symbol = fresh[going], symbol[going]
-        # Symbols of settled entries, in order of symbol and then place: their suffixes' order of first symbols.
-        settled = mark.copy()
-        settled[fresh] = 255
-        counts = np.bincount(settled, minlength=256)
-        counts[255] = 0
-        first = m + np.cumsum(counts) - counts
-        by = np.argsort(settled, kind="stable")[: int(counts.sum())]
-        # Frontier entries by symbol and place; how many settled ones of the symbol come before each.
-        order = np.argsort(symbol, kind="stable")
-        fresh, symbol = fresh[order], symbol[order]
-        wide = len(mark) + 1
-        rank = np.searchsorted(settled[by].astype(np.int64) * wide + by, symbol.astype(np.int64) * wide + fresh) - (first - m)[symbol]
-        to = first[symbol] + rank + np.arange(len(fresh))
-        n = len(mark) + len(fresh)
-        old = np.ones(n, dtype=bool)
-        old[to] = False
-        who = string[fresh]
-        columns = []
-        for name, kind, had, new in (("string", np.int32, string, who), ("depth", np.uint8, depth, j), ("mark", np.uint8, mark, before(who, j))):
-            c = column(f"{name}{j % 2}", n, kind)
-            c[old] = had
-            c[to] = new
-            columns.append(c)
-        string, depth, mark = columns
-        fresh = to
-    return np.asarray(string), np.asarray(depth)
+        going = size[who] >= j
+        who, place = who[going], step[place[going]]
+        string[place], depth[place] = who, j
+    return string, depth
 
 
 def repeated(flat: np.ndarray, start: np.ndarray, size: np.ndarray, least: np.ndarray, external: str | None = None) -> np.ndarray:
@@ -215,45 +269,44 @@ def repeated(flat: np.ndarray, start: np.ndarray, size: np.ndarray, least: np.nd
 def shard_spans(payloads: list[bytes], external: bool = False) -> pd.DataFrame:
     """doc_id, sub, span (start << 32 | end) of the bytes to remove that a shard sees."""
     none = pd.DataFrame({"doc_id": np.zeros(0, np.int64), "sub": np.zeros(0, np.int32), "span": np.zeros(0, np.int64)})
-    parts = [_unpack(p) for p in payloads]
-    key, doc, sub, start, windows = (np.concatenate([p[i] for p in parts]) for i in range(5))
-    content = b"".join(p[5] for p in parts)
+    parts = [_unpack(p, tuple(_KINDS)) for p in payloads]
+    x = _parts([c for c, _ in parts])
+    content = b"".join(c for _, c in parts)
     del parts
+    doc, sub, start, windows = x["doc"], x["sub"], x["start"], x["windows"].astype(np.int64)
     size = windows + LENGTH - 1
     at = np.cumsum(size) - size
-    # Strings whose minimizer occurs in two documents or more.
-    order = np.argsort(key, kind="stable")
-    begin = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-    run = np.diff(np.append(begin, len(order)))
-    shared = order[np.repeat(np.minimum.reduceat(doc[order], begin) < np.maximum.reduceat(doc[order], begin), run)]
-    if not len(shared):
-        return none
     known: dict[bytes, int] = {}
-    which = np.fromiter((known.setdefault(content[a : a + n], len(known)) for a, n in zip(at[shared].tolist(), size[shared].tolist(), strict=True)), dtype=np.int64, count=len(shared))
+    which = np.fromiter((known.setdefault(content[a : a + n], len(known)) for a, n in zip(at.tolist(), size.tolist(), strict=True)), dtype=np.int64, count=len(at))
     flat = np.frombuffer(b"".join(known) + bytes(8), dtype=np.uint8)
     size_ = np.fromiter(map(len, known), dtype=np.int64, count=len(known))
     del known, content
     least = np.full(len(size_), np.iinfo(np.int64).max)
-    np.minimum.at(least, which, doc[shared])
-    start_ = np.cumsum(size_) - size_
-    if external:
-        with tempfile.TemporaryDirectory(dir=os.environ.get("TMPDIR")) as folder:
-            low = repeated(flat, start_, size_, least, folder)
-    else:
-        low = repeated(flat, start_, size_, least)
+    np.minimum.at(least, which, doc)
+    key = np.zeros(len(size_), dtype=np.uint32)
+    key[which] = x["key"]
+    start_, windows_ = np.cumsum(size_) - size_, size_ - LENGTH + 1
+    first = np.cumsum(windows_) - windows_
+    low = np.empty(int(windows_.sum()), dtype=np.int64)
+    # Collections small enough for the processor's cache; strings with one minimizer are in the same.
+    part = key % np.uint32(max(1, int(size_.sum()) // _COLLECTION))
+    order = np.argsort(part, kind="stable")
+    with tempfile.TemporaryDirectory(dir=os.environ.get("TMPDIR")) if external else nullcontext() as folder:
+        for mine in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            n = size_[mine]
+            bytes_ = np.append(_gather(flat, start_[mine], n), np.zeros(8, dtype=np.uint8))
+            low[_gather(np.arange(len(low)), first[mine], windows_[mine])] = repeated(bytes_, np.cumsum(n) - n, n, least[mine], folder)
     # Each occurrence's windows against its own document.
-    many = windows[shared]
-    first = np.cumsum(size_ - LENGTH + 1) - (size_ - LENGTH + 1)
-    row = np.repeat(np.arange(len(shared)), many)
-    inside = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-    gone = low[first[which][row] + inside] < doc[shared][row]
+    row = np.repeat(np.arange(len(at)), windows)
+    inside = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+    gone = low[first[which][row] + inside] < doc[row]
     row, inside = row[gone], inside[gone]
     if not len(row):
         return none
     new = np.concatenate([[True], (row[1:] != row[:-1]) | (inside[1:] != inside[:-1] + 1)])
     i = np.flatnonzero(new)
     j = np.append(i[1:], len(row)) - 1
-    who = shared[row[i]]
+    who = row[i]
     begin, end = start[who].astype(np.int64) + inside[i], start[who].astype(np.int64) + inside[j] + LENGTH
     return pd.DataFrame({"doc_id": doc[who], "sub": sub[who], "span": begin << 32 | end})
 
@@ -269,10 +322,10 @@ def _cut(raw: bytes, spans: np.ndarray) -> tuple[int, int, bytes]:
     return int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), np.frombuffer(raw, np.uint8)[~gone].tobytes()
 
 
-def suffix_dedup(docs: DataFrame, shard_bytes: int = 6_000_000, external: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, shard_bytes: int = 6_000_000, key_bytes: int = 48_000_000, external: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary) for each row of docs (doc_id, text).
 
-    shard_bytes: text bytes per shard, which bounds a task's memory; external: columns as files.
+    shard_bytes, key_bytes: text bytes per shard of the two rounds, which bound a task's memory; external: columns as files.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
@@ -280,12 +333,18 @@ def suffix_dedup(docs: DataFrame, shard_bytes: int = 6_000_000, external: bool =
     else:  # rows of one doc_id are told apart by a number
         docs = materialise(docs.withColumn("sub", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1), "numbered")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_shards = max(1, -(-total // shard_bytes))
+    n_keys, n_shards = max(1, -(-total // key_bytes)), max(1, -(-total // shard_bytes))
+
+    def shared(x: pd.DataFrame) -> pd.DataFrame:
+        return shared_ordinals(list(x["payload"]))
 
     def spans(x: pd.DataFrame) -> pd.DataFrame:
         return shard_spans(list(x["payload"]), external)
 
-    found = shards(docs, n_shards).repartition(n_shards, "shard").groupBy("shard").applyInPandas(spans, "doc_id long, sub int, span long")
+    usable = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "sub", "text")
+    chosen = minimizers(usable, n_keys).repartition(n_keys, "shard").groupBy("shard").applyInPandas(shared, "doc_id long, sub int, ordinals binary")
+    chosen = materialise(chosen, "ordinals").groupBy("doc_id", "sub").agg(F.collect_list("ordinals").alias("chosen"))
+    found = contents(usable.join(chosen, ["doc_id", "sub"]), n_shards).repartition(n_shards, "shard").groupBy("shard").applyInPandas(spans, "doc_id long, sub int, span long")
     found = materialise(found, "spans")
     by_doc = found.groupBy("doc_id", "sub").agg(F.collect_list("span").alias("spans"))
 
