@@ -9,7 +9,8 @@ is ever emitted; the work goes as follows.
    rows shuffle by shingle and form inverted lists; lists of one node end here.
 3. Each list takes its most central node as leader (the one whose lists are longest, as the original of a family is);
    a leader's group is all nodes of the lists it leads. Two linked nodes share a list, so they share a group.
-4. A bitmap of each set bounds overlaps from above; members that can reach no other member leave the group.
+4. A bitmap of each set bounds overlaps from above; members that can reach no other member leave the group, and only
+   the sets of those that stay are sent.
 5. Each group is searched by T-occurrence queries: the short inverted lists of the query are merged, nodes with enough
    occurrences are probed in the long lists by binary search, and those that reach the required overlap link. Nodes
    already in the query's component are skipped, so a family of copies costs about one comparison a member.
@@ -87,7 +88,8 @@ def _merge(held: dict[int, int], keys: np.ndarray, counts: np.ndarray, most: int
 
 
 def describe(docs: DataFrame, tracked: int) -> DataFrame:
-    """Rows of two kinds: doc_id, n, node of each document; and (node: shingle, n: count) of the frequent-shingle summaries."""
+    """Rows of two kinds: doc_id, n, node of each document, with the set's bitmap once for each task and node; and
+    (node: shingle, n: count) of the frequent-shingle summaries."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, held, parts, size = set(), {}, [], 0
@@ -100,24 +102,25 @@ def describe(docs: DataFrame, tracked: int) -> DataFrame:
             return _merge(held, u[c > 1], c[c > 1], tracked)
 
         for b in batches:
-            n, node = np.zeros(len(b), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
+            n, node, bits = np.zeros(len(b), dtype=np.int64), np.zeros(len(b), dtype=np.int64), [None] * len(b)
             for i, t in enumerate(b["text"]):
                 s = shingles(t)
                 n[i], node[i] = len(s), node_of(s)
                 if len(s) and node[i] not in seen:
                     seen.add(node[i])
+                    bits[i] = bitmap(s).tobytes()
                     parts.append(s)
                     size += len(s)
                     if size > 3_000_000:
                         held, parts, size = count(), [], 0
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n": n, "node": node, "summary": False})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n": n, "node": node, "summary": False, "bits": bits})
         if parts:
             held = count()
         if held:
             keys = np.fromiter(held.keys(), dtype=np.uint64, count=len(held)).view(np.int64)
-            yield pd.DataFrame({"doc_id": pd.array([None] * len(held), dtype="Int64"), "n": list(held.values()), "node": keys, "summary": True})
+            yield pd.DataFrame({"doc_id": pd.array([None] * len(held), dtype="Int64"), "n": list(held.values()), "node": keys, "summary": True, "bits": None})
 
-    return docs.mapInPandas(rows, "doc_id long, n long, node long, summary boolean")
+    return docs.mapInPandas(rows, "doc_id long, n long, node long, summary boolean, bits binary")
 
 
 def prefixes(docs: DataFrame, last: np.ndarray, percent: int) -> DataFrame:
@@ -263,46 +266,50 @@ def divide_skip(sets: list[np.ndarray], percent: int = 80, mu: float = 0.0085) -
     return links
 
 
-def ngram_join(docs: DataFrame, percent: int = 80, tracked: int = 16_384, frequent: int = 48, bitmap_most: int = 6_000) -> DataFrame:
+def ngram_join(docs: DataFrame, percent: int = 80, tracked: int = 16_384, frequent: int = 48, bitmap_most: int = 6_000, broadcast_ids: int = 500_000) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text).
 
     tracked bounds the frequent-shingle summary and its broadcast; frequent is the count that makes one frequent (both
-    only set the order of shingles); groups above bitmap_most members skip the bitmap and are searched directly.
+    only set the order of shingles); groups above bitmap_most members skip the bitmap and are searched directly;
+    up to broadcast_ids nodes (16 bytes each) are broadcast to find their texts, more are joined by a shuffle.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = materialise(describe(docs, tracked), "nodes")
-    nodes = seen.where("NOT summary")
+    nodes = seen.where("NOT summary").drop("bits")
     top = seen.where("summary").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= frequent).orderBy(F.desc("n"), "node").limit(tracked).collect()
     last = np.sort(np.array([r["node"] for r in top], dtype=np.int64).view(np.uint64))
     listed = materialise(lists(prefixes(docs, last, percent), percent), "lists")
     grouped = materialise(members(listed).select("leader", "node", "size"), "groups")
-    wanted = grouped.select("node").distinct()
-    first = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node", "left_semi")
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            s = [shingles(t) for t in b["text"]]
-            yield pd.DataFrame({"node": [node_of(x) for x in s], "n": [len(x) for x in s], "bits": [bitmap(x).tobytes() for x in s], "held": [x.tobytes() for x in s]})
-
-    texts = docs.join(first.select("doc_id").hint("merge"), "doc_id", "left_semi").select("text")
-    held = materialise(texts.mapInPandas(sets, "node long, n long, bits binary, held binary").dropDuplicates(["node"]), "sets")
+    maps = seen.where("bits IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
 
     def prune(x: pd.DataFrame) -> pd.DataFrame:
         if len(x) > bitmap_most:
             return x[["leader", "node"]]
-        maps = np.frombuffer(b"".join(x["bits"]), dtype=np.uint64).reshape(-1, _WORDS)
-        return x.loc[can_link(x["n"].to_numpy(), maps, percent), ["leader", "node"]]
+        bits = np.frombuffer(b"".join(x["bits"]), dtype=np.uint64).reshape(-1, _WORDS)
+        return x.loc[can_link(x["n"].to_numpy(), bits, percent), ["leader", "node"]]
+
+    close = materialise(grouped.join(maps, "node").groupBy("leader").applyInPandas(prune, "leader long, node long"), "close")
+    # One text of each node that is left, found by doc_id; the ids are broadcast while they are few.
+    first = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(close.select("node").distinct(), "node", "left_semi")
+    first = materialise(first, "firsts")
+    side = F.broadcast(first) if first.count() <= broadcast_ids else first.hint("merge")
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            s = [shingles(t) for t in b["text"]]
+            ok = [node_of(x) == w for x, w in zip(s, b["node"], strict=True)]  # rows of one doc_id may have other texts
+            yield pd.DataFrame({"node": b["node"][ok], "held": [x.tobytes() for x, y in zip(s, ok, strict=True) if y]})
 
-    close = materialise(grouped.join(held.select("node", "n", "bits"), "node").groupBy("leader").applyInPandas(prune, "leader long, node long"), "close")
+    held = docs.join(side, "doc_id").select("node", "text").mapInPandas(sets, "node long, held binary")
 
     def search(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.assign(first=x["leader"] != x["node"]).sort_values(["first", "node"], kind="stable")
+        x = x.drop_duplicates("node").assign(first=x["leader"] != x["node"]).sort_values(["first", "node"], kind="stable")
         found = divide_skip([np.frombuffer(s, dtype=np.uint64) for s in x["held"]], percent)
         node = x["node"].to_numpy()
         return pd.DataFrame({"a": [node[i] for i, _ in found], "b": [node[j] for _, j in found]}, dtype=np.int64)
 
-    links = close.join(held.select("node", "held"), "node").groupBy("leader").applyInPandas(search, "a long, b long")
+    links = close.join(held, "node").groupBy("leader").applyInPandas(search, "a long, b long")
     roots = materialise(components(links), "roots")
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
     least = rooted.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
