@@ -61,6 +61,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let Python workers get at most so many rows at once: texts are long, and a worker holds a batch several times."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

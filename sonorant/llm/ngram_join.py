@@ -34,13 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sonorant.llm.common import documents, materialise
+from sonorant.llm.common import documents, materialise, small_batches
 from sonorant.llm.components import components
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _KNOWN: dict[bytes, int] = {}
-_KNOWN_MOST = 400_000
+_KNOWN_MOST = 200_000
 _WORDS = 16  # 64-bit words of a bitmap
 
 
@@ -111,7 +111,7 @@ def describe(docs: DataFrame, tracked: int) -> DataFrame:
                     bits[i] = bitmap(s).tobytes()
                     parts.append(s)
                     size += len(s)
-                    if size > 3_000_000:
+                    if size > 2_000_000:
                         held, parts, size = count(), [], 0
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n": n, "node": node, "summary": False, "bits": bits})
         if parts:
@@ -274,6 +274,7 @@ def ngram_join(docs: DataFrame, percent: int = 80, tracked: int = 16_384, freque
     up to broadcast_ids nodes (16 bytes each) are broadcast to find their texts, more are joined by a shuffle.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = materialise(describe(docs, tracked), "nodes")
     nodes = seen.where("NOT summary").drop("bits")

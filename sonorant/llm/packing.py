@@ -11,6 +11,7 @@ documents; a null doc_id is kept as null; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonorant.llm.common import documents, materialise
+from sonorant.llm.common import documents, materialise, small_batches
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -31,7 +32,7 @@ class Encoder:
     The tokenizer drops white space and never merges across it, so a text's ids are its chunks' ids in order.
     """
 
-    def __init__(self, path: str, most: int = 500_000) -> None:
+    def __init__(self, path: str, most: int = 200_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -58,22 +59,24 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        if len(self.known) > self.most:
-            self.forget()
-        for t in texts:
-            raw = (t or "").encode("utf-8", "replace")
-            if raw.isascii() and b"<|" not in raw:  # special tokens keep their case
-                raw = raw.lower()
-            chunks = raw.split()
-            try:
+        for i in range(0, len(texts), 64):  # a few at once, so that what is new is learned in one call
+            if len(self.known) > self.most:
+                self.forget()
+            split = [self.chunks(t) for t in texts[i : i + 64]]
+            self.learn(list({c for chunks in split for c in chunks}.difference(self.known)))
+            for chunks in split:
                 at = np.fromiter(map(self.known.__getitem__, chunks), dtype=np.int64, count=len(chunks))
-            except KeyError:
-                self.learn(list(dict.fromkeys(c for c in chunks if c not in self.known)))
-                at = np.fromiter(map(self.known.__getitem__, chunks), dtype=np.int64, count=len(chunks))
-            size = self.size[at]
-            ends = np.cumsum(size)
-            total = int(ends[-1]) if len(ends) else 0
-            yield self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(total)]
+                size = self.size[at]
+                ends = np.cumsum(size)
+                total = int(ends[-1]) if len(ends) else 0
+                yield self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(total)]
+
+    @staticmethod
+    def chunks(text: str | None) -> list[bytes]:
+        raw = (text or "").encode("utf-8", "replace")
+        if raw.isascii() and b"<|" not in raw:  # special tokens keep their case
+            raw = raw.lower()
+        return raw.split()
 
 
 def encoder(path: str | None) -> Encoder:
@@ -81,6 +84,7 @@ def encoder(path: str | None) -> Encoder:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
@@ -133,6 +137,7 @@ def pack(docs: DataFrame, limit: int = 4096, end_id: int = 1, tokenizer: str | N
     local: pieces that a task packs together; fan_in: groups that meet at a level; nearly_full: the fill, as a share
     of limit, from which a bin is done at each level (the last one holds from there on).
     """
+    small_batches(docs.sparkSession)
     cut = materialise(pieces(docs, limit, end_id, tokenizer), "pieces")
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sonorant.llm.common import documents, materialise
+from sonorant.llm.common import documents, materialise, small_batches
 
 LENGTH, GRAM = 50, 16
 REACH = LENGTH - GRAM + 1  # 16-byte substrings in a window, and the most windows in a string
@@ -327,6 +327,7 @@ def suffix_dedup(docs: DataFrame, shard_bytes: int = 6_000_000, key_bytes: int =
 
     shard_bytes, key_bytes: text bytes per shard of the two rounds, which bound a task's memory; external: columns as files.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
         docs = docs.withColumn("sub", F.lit(0))

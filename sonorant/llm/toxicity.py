@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonorant.llm.common import documents, labels
+from sonorant.llm.common import documents, labels, small_batches
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -31,7 +31,7 @@ _HEADS = (4, 5, 6, 7, 8)
 class Vocabulary:
     """Hashes of words and of their heads (first letters, n-grams anchored at a word's start), of bounded size."""
 
-    def __init__(self, most: int = 300_000) -> None:
+    def __init__(self, most: int = 200_000) -> None:
         self.most = most
         self.forget()
 
@@ -131,6 +131,7 @@ def fit(docs: DataFrame, marks: DataFrame, per_class: int = 2500, bits: int = 20
 
 def toxicity(docs: DataFrame, marks: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs (doc_id, text); marks: doc_id, toxic."""
+    small_batches(docs.sparkSession)
     bits = options.get("bits", 20)
     w, bias = fit(docs, marks, **options)
     at = np.flatnonzero(w)
