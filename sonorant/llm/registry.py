@@ -20,4 +20,4 @@ QUERIES = {
 }
 
 #: The others have no form in SQL (trained models, seeded draws, tokenizers) and are held against plain Python in tests/llm.
-ORACLES = {"op8_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op3_ngram_join": ngram_join.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op10_suffix_dedup": suffix_dedup.ORACLE}

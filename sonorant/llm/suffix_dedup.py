@@ -378,3 +378,19 @@ def brute(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int, int,
         gone, runs, left = _cut(raw, np.array(spans, dtype=np.int64))
         out[d] = (len(raw), gone, runs, hashlib.sha256(left).hexdigest())
     return out
+
+
+ORACLE = r"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS p FROM h)),
+f AS (SELECT g, min(doc_id) AS first FROM w GROUP BY g HAVING count(DISTINCT doc_id) > 1),
+c AS (SELECT doc_id, p FROM w JOIN f USING (g) WHERE first < doc_id),
+b AS (SELECT doc_id, p, max(p + 50) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c),
+i AS (SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS k FROM b),
+s AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS z FROM i GROUP BY doc_id, k),
+t AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id),
+l AS (SELECT doc_id, a, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_ FROM (SELECT doc_id, a, z FROM s UNION ALL SELECT doc_id, len(h) // 2 AS a, NULL AS z FROM h)),
+q AS (SELECT doc_id, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) AS left_ FROM l JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT h.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(left_)) AS kept_sha256
+FROM h LEFT JOIN t USING (doc_id) JOIN q USING (doc_id)
+"""
