@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,16 +50,22 @@ def _remove(spark: SparkSession, path: str) -> None:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back.
 
-    Shuffle files that only this write needed are released at once, so that disk holds one step's.
+    Shuffle files of earlier steps are released before, so that disk holds one step's. A caller that goes on to a large
+    step without another write calls release() when it no longer holds df.
     """
     spark = df.sparkSession
+    release(spark)
     path = scratch(spark, name)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return out
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of DataFrames that nobody holds any more."""
+    for _ in range(2):  # the second pass finds what the first one's finalizers let go
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:

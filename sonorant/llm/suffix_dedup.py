@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sonorant.llm.common import documents, materialise, small_batches
+from sonorant.llm.common import documents, materialise, release, small_batches
 
 LENGTH, GRAM = 50, 16
 REACH = LENGTH - GRAM + 1  # 16-byte substrings in a window, and the most windows in a string
@@ -164,19 +164,14 @@ def minimizers(docs: DataFrame, n_shards: int) -> DataFrame:
 
 
 def shared_ordinals(payloads: list[bytes]) -> pd.DataFrame:
-    """doc_id, sub, ordinals of the strings of a shard whose minimizer two documents have."""
+    """doc_id, sub, ordinal of the strings of a shard whose minimizer two documents have."""
     x = _parts([_unpack(p, ("key", "doc", "sub", "start"))[0] for p in payloads])
     order = np.argsort(x["key"], kind="stable")
     key, doc = x["key"][order], x["doc"][order]
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     run = np.diff(np.append(begin, len(order)))
     chosen = order[np.repeat(np.minimum.reduceat(doc, begin) < np.maximum.reduceat(doc, begin), run)]
-    chosen = chosen[np.lexsort((x["start"][chosen], x["sub"][chosen], x["doc"][chosen]))]
-    doc, sub, start = (x[k][chosen] for k in ("doc", "sub", "start"))
-    if not len(chosen):
-        return pd.DataFrame({"doc_id": doc, "sub": sub, "ordinals": []}).astype({"ordinals": object})
-    cuts = np.append(np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1])])), len(doc))
-    return pd.DataFrame({"doc_id": doc[cuts[:-1]], "sub": sub[cuts[:-1]], "ordinals": [start[i:j].astype("<u4").tobytes() for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]})
+    return pd.DataFrame({"doc_id": x["doc"][chosen], "sub": x["sub"][chosen], "ordinal": x["start"][chosen].astype(np.int32)})
 
 
 def contents(docs: DataFrame, n_shards: int) -> DataFrame:
@@ -186,7 +181,7 @@ def contents(docs: DataFrame, n_shards: int) -> DataFrame:
         for doc, sub, raws, chosen in _blocks(batches):
             text, at, windows, key, flat = strings(raws)
             first = np.searchsorted(text, np.arange(len(raws)))
-            take = np.concatenate([first[i] + np.frombuffer(b"".join(c), "<u4") for i, c in enumerate(chosen)]).astype(np.int64)
+            take = np.concatenate([first[i] + np.sort(np.asarray(c, dtype=np.int64)) for i, c in enumerate(chosen)]).astype(np.int64)
             text, at, windows = text[take], at[take], windows[take]
             order, shard, low, cuts = _by_shard(key[take], n_shards)
             text, at, windows = text[order], at[order], windows[order]
@@ -343,10 +338,11 @@ def suffix_dedup(docs: DataFrame, shard_bytes: int = 6_000_000, key_bytes: int =
         return shard_spans(list(x["payload"]), external)
 
     usable = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "sub", "text")
-    chosen = minimizers(usable, n_keys).repartition(n_keys, "shard").groupBy("shard").applyInPandas(shared, "doc_id long, sub int, ordinals binary")
-    chosen = materialise(chosen, "ordinals").groupBy("doc_id", "sub").agg(F.collect_list("ordinals").alias("chosen"))
-    found = contents(usable.join(chosen, ["doc_id", "sub"]), n_shards).repartition(n_shards, "shard").groupBy("shard").applyInPandas(spans, "doc_id long, sub int, span long")
-    found = materialise(found, "spans")
+    chosen = materialise(minimizers(usable, n_keys).repartition(n_keys, "shard").groupBy("shard").applyInPandas(shared, "doc_id long, sub int, ordinal int"), "ordinals")
+    release(docs.sparkSession)
+    chosen = chosen.groupBy("doc_id", "sub").agg(F.collect_list("ordinal").alias("chosen"))
+    found = materialise(contents(usable.join(chosen, ["doc_id", "sub"]), n_shards).repartition(n_shards, "shard").groupBy("shard").applyInPandas(spans, "doc_id long, sub int, span long"), "spans")
+    release(docs.sparkSession)
     by_doc = found.groupBy("doc_id", "sub").agg(F.collect_list("span").alias("spans"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
