@@ -41,7 +41,7 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _KNOWN: dict[bytes, int] = {}
 _KNOWN_MOST = 200_000
-_WORDS = 16  # 64-bit words of a bitmap
+_WORDS = 16  # least 64-bit words of a bitmap
 
 
 def _hash(word: bytes) -> int:
@@ -195,24 +195,36 @@ def members(listed: DataFrame) -> DataFrame:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    bits = np.zeros(64 * _WORDS, dtype=np.uint8)
-    bits[(s & np.uint64(64 * _WORDS - 1)).astype(np.int64)] = 1
+    """Bit h mod B for each hash, with B the power of two (1,024 at least) that is two to four times the set's size."""
+    size = max(64 * _WORDS, 1 << (2 * len(s)).bit_length())
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[(s & np.uint64(size - 1)).astype(np.int64)] = 1
     return np.packbits(bits).view(np.uint64)
 
 
-def can_link(n: np.ndarray, maps: np.ndarray, percent: int) -> np.ndarray:
-    """Which members could reach the needed overlap with some other one, by size and bitmap."""
+def can_link(n: np.ndarray, maps: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which members could reach the needed overlap with some other one, by size and bitmap.
+
+    Each bit in which two bitmaps differ is a shingle that one set lacks. Sets that may link differ in size so little
+    that their bitmaps are of one length or of double; the longer is folded.
+    """
     out = np.zeros(len(n), dtype=bool)
     order = np.argsort(n, kind="stable")
-    n, maps = n[order], maps[order]
+    n = n[order]
+    words = np.array([len(maps[i]) for i in order])
     high = np.searchsorted(n, n * 100 // percent, side="right")
-    for i in range(len(n) - 1):
-        y = slice(i + 1, high[i])
-        differ = np.bitwise_count(maps[y] ^ maps[i]).sum(axis=1, dtype=np.int64)
-        hit = (n[y] + n[i] - differ) // 2 >= least_overlap(n[y], n[i], percent)
-        if hit.any():
-            out[order[i]] = True
-            out[order[i + 1 : high[i]][hit]] = True
+    for w in np.unique(words):
+        begin, end = np.searchsorted(words, w), np.searchsorted(words, w, side="right")
+        stop = np.searchsorted(words, 2 * w, side="right")
+        rows = [maps[i] for i in order[begin:end]] + [maps[i][:w] | maps[i][w:] for i in order[end:stop]]
+        held = np.stack(rows)
+        for i in range(begin, end):
+            y = slice(i + 1, min(high[i], stop))
+            differ = np.bitwise_count(held[y.start - begin : y.stop - begin] ^ held[i - begin]).sum(axis=1, dtype=np.int64)
+            hit = (n[y] + n[i] - differ) // 2 >= least_overlap(n[y], n[i], percent)
+            if hit.any():
+                out[order[i]] = True
+                out[order[y][hit]] = True
     return out
 
 
@@ -287,7 +299,7 @@ def ngram_join(docs: DataFrame, percent: int = 80, tracked: int = 16_384, freque
     def prune(x: pd.DataFrame) -> pd.DataFrame:
         if len(x) > bitmap_most:
             return x[["leader", "node"]]
-        bits = np.frombuffer(b"".join(x["bits"]), dtype=np.uint64).reshape(-1, _WORDS)
+        bits = [np.frombuffer(m, dtype=np.uint64) for m in x["bits"]]
         return x.loc[can_link(x["n"].to_numpy(), bits, percent), ["leader", "node"]]
 
     close = materialise(grouped.join(maps, "node").groupBy("leader").applyInPandas(prune, "leader long, node long"), "close")

@@ -177,6 +177,24 @@ def test_divide_skip_equals_all_pairs():
         assert root == want
 
 
+def test_bitmaps_lose_no_link():
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in (20, 400, 520, 600, 3000):
+        base = rng.integers(0, 1 << 62, n)
+        for _ in range(12):
+            keep = rng.random(n) > rng.choice([0.0, 0.05, 0.1, 0.3])
+            sets.append(np.unique(np.concatenate([base[keep], rng.integers(0, 1 << 62, rng.integers(0, n // 8))])).astype(np.uint64))
+    got = ngram_join.can_link(np.array([len(s) for s in sets]), [ngram_join.bitmap(s) for s in sets], 80)
+    linked = np.zeros(len(sets), dtype=bool)
+    for i, a in enumerate(sets):
+        for j in range(i):
+            o = len(np.intersect1d(a, sets[j]))
+            if 100 * o >= 80 * (len(a) + len(sets[j]) - o):
+                linked[[i, j]] = True
+    assert linked.any() and not (linked & ~got).any() and not got.all()
+
+
 def test_source_mix(spark, rows):
     rng = random.Random(3)
     docs = [(i, prose(rng, rng.randint(1, 60)), "en", f"s{i % 3 if i % 2 else 0}") for i in range(1200)] + [(5000 + i, t) for i, (_, t, *_) in enumerate(rows)] + [(6000, "tiny", "en", None)]
