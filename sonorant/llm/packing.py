@@ -12,8 +12,10 @@ documents; a null doc_id is kept as null; an empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,15 +26,18 @@ from pyspark.sql import functions as F
 from sonorant.llm.common import documents, materialise, small_batches
 
 _ENCODERS: dict[str, Encoder] = {}
+#: Fixed value: the tokenizer's own split, for ASCII in lower case.
+_ASCII_UNITS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
 class Encoder:
-    """Token ids of texts, with a bounded memory of the ids of chunks between ASCII white space.
+    """Token ids of texts, with a bounded memory of the ids of units.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are its chunks' ids in order.
+    Units are what the tokenizer itself splits an ASCII text into before merging, or else the chunks between ASCII white
+    space, which it drops and never merges across; so a text's ids are its units' ids in order.
     """
 
-    def __init__(self, path: str, most: int = 200_000) -> None:
+    def __init__(self, path: str, most: int = 700_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -45,37 +50,40 @@ class Encoder:
         self.start = np.zeros(1 << 14, dtype=np.int64)
         self.size = np.zeros(1 << 14, dtype=np.int64)
 
-    def learn(self, chunks: list[bytes]) -> None:
-        for e, chunk in zip(self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False), chunks, strict=True):
-            ids, k = e.ids, len(self.known)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if k >= len(self.start):
-                self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.start[k], self.size[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.known[chunk] = k
+    def learn(self, units: list[bytes]) -> None:
+        if not units:
+            return
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in units], add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        k, n = len(self.known), int(size.sum())
+        while self.used + n > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while k + len(ids) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.flat[self.used : self.used + n] = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=n)
+        self.start[k : k + len(ids)], self.size[k : k + len(ids)] = self.used + np.cumsum(size) - size, size
+        self.used += n
+        self.known.update(zip(units, range(k, k + len(ids)), strict=True))
 
     def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text."""
         for i in range(0, len(texts), 64):  # a few at once, so that what is new is learned in one call
             if len(self.known) > self.most:
                 self.forget()
-            split = [self.chunks(t) for t in texts[i : i + 64]]
-            self.learn(list({c for chunks in split for c in chunks}.difference(self.known)))
-            for chunks in split:
-                at = np.fromiter(map(self.known.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+            split = [self.units(t) for t in texts[i : i + 64]]
+            self.learn([u for u in set(chain.from_iterable(split)) if u not in self.known])
+            for units in split:
+                at = np.fromiter(map(self.known.__getitem__, units), dtype=np.int64, count=len(units))
                 size = self.size[at]
                 ends = np.cumsum(size)
                 total = int(ends[-1]) if len(ends) else 0
                 yield self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(total)]
 
     @staticmethod
-    def chunks(text: str | None) -> list[bytes]:
+    def units(text: str | None) -> list[bytes]:
         raw = (text or "").encode("utf-8", "replace")
         if raw.isascii() and b"<|" not in raw:  # special tokens keep their case
-            raw = raw.lower()
+            return _ASCII_UNITS.findall(raw.lower())
         return raw.split()
 
 
