@@ -3,7 +3,8 @@
 All rolling word 3-gram hashes of every text are joined with the positions of the same grams in fixed templates. A hit
 votes for the diagonal (text position - template position). Votes are added up by document, template and diagonal;
 neighbouring diagonals (small insertions or deletions) merge into one span; a span is verified by the share of the
-template's grams it covers, each counted once, and by comparing the words themselves. The table of templates is fixed
+template's grams it covers, each counted once, and by comparing the words themselves. A text has as many spans of a
+template as it has places of it, and each is judged where it lies. The table of templates is fixed
 (a few hundred rows), so its broadcast does not grow with the data, and only hits shuffle.
 
 Defined cases: a null text is empty (no words, no labels, score 0); repeated rows are scanned as separate documents; an
@@ -15,7 +16,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sonorant.llm.common import ascii_lower, documents
@@ -86,40 +87,40 @@ def license_scan(docs: DataFrame, slack: int = 3, share: float = 0.6) -> DataFra
         F.count(F.lit(1)).alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.collect_set("tpos").alias("covered")
     )
     exact = F.col("base") & (F.col("votes") == F.col("n_grams"))
-    d = F.struct("diag", "lo", "hi", "covered")
-    spans = diagonals.groupBy("doc_id", "_row", "n_words", "template", "label", "base", "n_grams").agg(
-        F.sort_array(F.collect_list(d)).alias("diags"), F.count(F.when(exact, 1)).alias("places"), F.min(F.when(exact, F.col("diag"))).alias("first"), F.max(F.when(exact, F.col("diag"))).alias("last")
-    )
-    # Neighbouring diagonals close to each other in the text merge; the best span's share of the template is the score.
-    none = F.lit(None)
-    shape = "struct<diag:int,lo:int,hi:int,covered:array<int>>"
-    state = f"struct<cur:{shape},best:struct<cover:int,lo:int,hi:int>>"
-
-    def better(best: Column, cur: Column) -> Column:
-        c = F.size(F.array_distinct(cur["covered"]))
-        new = F.struct(c.alias("cover"), cur["lo"].alias("lo"), cur["hi"].alias("hi"))
-        return F.when(best.isNull() | (c > best["cover"]), new).otherwise(best)
-
-    def step(acc: Column, x: Column) -> Column:
-        cur = acc["cur"]
-        joins = cur.isNotNull() & (x["diag"] - cur["diag"] <= slack) & (x["lo"] <= cur["hi"] + GRAM + slack)
-        grown = F.struct(x["diag"].alias("diag"), F.least(cur["lo"], x["lo"]).alias("lo"), F.greatest(cur["hi"], x["hi"]).alias("hi"), F.array_union(cur["covered"], x["covered"]).alias("covered"))
-        nxt = F.when(joins, grown).otherwise(x)
-        return F.struct(nxt.alias("cur"), better(acc["best"], nxt).alias("best")).cast(state)
-
-    folded = F.aggregate("diags", F.struct(none.cast(shape).alias("cur"), none.cast("struct<cover:int,lo:int,hi:int>").alias("best")).cast(state), step)
-    spans = spans.withColumn("best", folded["best"]).withColumn("cover", F.when(F.col("n_grams") > 0, F.col("best.cover") / F.col("n_grams")).otherwise(F.lit(0.0)))
+    # Neighbouring diagonals close to each other in the text merge: a gap between diagonals starts a run, a gap in the
+    # text starts a span within it. What lies after such a gap ends after all before it, so the run's end is the span's.
+    doc = ["doc_id", "_row", "n_words"]
+    one = [*doc, "template", "label", "base", "n_grams"]
+    by_diag = Window.partitionBy(*one).orderBy("diag")
+    in_run = Window.partitionBy(*one, "run").orderBy("diag")
+    runs = diagonals.withColumn("exact", exact).withColumn("gap", (F.col("diag") - F.lag("diag").over(by_diag) > slack).cast("int"))
+    runs = runs.withColumn("run", F.sum(F.coalesce("gap", F.lit(0))).over(by_diag))
+    end = F.max("hi").over(in_run.rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("apart", F.coalesce((F.col("lo") > end + GRAM + slack).cast("int"), F.lit(0))).withColumn("part", F.sum("apart").over(in_run))
+    covered = F.size(F.array_distinct(F.flatten(F.collect_list("covered"))))
+    spans = runs.groupBy(*one, "run", "part").agg(
+        covered.alias("covered"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        F.count(F.when(F.col("exact"), 1)).alias("places"), F.min(F.when(F.col("exact"), F.col("diag"))).alias("first"), F.max(F.when(F.col("exact"), F.col("diag"))).alias("last"),
+    )
+    # Every span that covers enough is a candidate; those that overlap in the text, directly or in a chain, are one heap.
+    spans = spans.withColumn("cover", F.when(F.col("n_grams") > 0, F.col("covered") / F.col("n_grams")).otherwise(F.lit(0.0)))
+    spans = spans.withColumn("enough", ~F.col("base") & (F.col("template") >= 0) & (F.col("cover") >= share))
+    by_place = Window.partitionBy(*doc).orderBy("lo", "hi", "template")
+    reach = F.max(F.when(F.col("enough"), F.col("hi"))).over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("fresh", F.coalesce((F.col("enough") & (F.col("lo") > reach)).cast("int"), F.lit(0))).withColumn("heap", F.sum("fresh").over(by_place))
     placed_base = F.col("base") & (F.col("places") > 0)
-    span = F.struct("cover", F.col("best.lo").alias("lo"), F.col("best.hi").alias("hi"), "label")
-    by_doc = spans.groupBy("doc_id", "_row", "n_words").agg(
+    heaps = spans.groupBy(*doc, "heap").agg(
         F.sum(F.when(F.col("base"), F.col("places")).otherwise(0)).alias("n_base"), F.min("first").alias("first_word"), F.max("last").alias("last_word"),
-        F.sort_array(F.collect_set(F.when(placed_base, F.col("label")))).alias("base_labels"),
-        F.collect_list(F.when(~F.col("base") & (F.col("template") >= 0), span)).alias("all"),
+        F.collect_set(F.when(placed_base, F.col("label"))).alias("base_labels"),
+        F.collect_list(F.when(F.col("enough"), F.struct("cover", "lo", "hi", "label", "template"))).alias("all"),
         F.max(F.when(placed_base, 1.0).when(~F.col("base"), F.col("cover")).otherwise(0.0)).alias("score"),
     )
-    # A span stands if it covers enough and no better one of another template lies on the same words.
-    stands = F.filter("all", lambda s: (s["cover"] >= share) & ~F.exists("all", lambda o: (o["cover"] > s["cover"]) & (o["lo"] <= s["hi"]) & (s["lo"] <= o["hi"])))
-    by_doc = by_doc.withColumn("spans", stands)
+    # A span stands if no better one of another template lies on the same words.
+    stands = F.filter("all", lambda s: ~F.exists("all", lambda o: (o["template"] != s["template"]) & (o["cover"] > s["cover"]) & (o["lo"] <= s["hi"]) & (s["lo"] <= o["hi"])))
+    by_doc = heaps.withColumn("spans", stands).groupBy(*doc).agg(
+        F.sum("n_base").alias("n_base"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.max("score").alias("score"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("base_labels")))).alias("base_labels"), F.flatten(F.collect_list("spans")).alias("spans"),
+    )
     return by_doc.select(
         "doc_id", "n_words", F.col("n_base").cast("long").alias("n_base"), F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"),
         F.array_join("base_labels", ",").alias("base_labels"), F.array_join(F.sort_array(F.array_union("base_labels", F.transform("spans", lambda s: s["label"]))), ",").alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),

@@ -250,6 +250,26 @@ def test_license_with_edits(spark):
     assert r[0]["labels"] == "mit" and 0.6 <= r[0]["score"] < 1 and r[1]["labels"] == ""
 
 
+def test_license_every_place(spark):
+    passage = license_scan.TEMPLATES[1][1]
+    n = len(passage.split())
+    rng = random.Random(4)
+    many = " ".join(f"{prose(rng, 20)} licensed under cc by sa 4 0" for _ in range(300))
+    texts = [
+        f"{passage} some words between {passage}",
+        f"{passage} {passage}",
+        "Code licensed under the GNU General Public License version 3 and, in part, other code released under the GNU General Public License version 2.",
+        many,
+        None,
+    ]
+    got = {r["doc_id"]: r for r in license_scan.license_scan(table(spark, list(enumerate(texts)))).collect()}
+    assert [tuple(s) for s in got[0]["spans"]] == [(0, n, "mit"), (n + 3, 2 * n + 3, "mit")] and got[0]["labels"] == "mit"
+    assert [tuple(s) for s in got[1]["spans"]] == [(0, n, "mit"), (n, 2 * n, "mit")]
+    assert got[2]["labels"] == "gpl-2,gpl-3" and [s["label"] for s in got[2]["spans"]] == ["gpl-3", "gpl-2"]
+    assert len(got[3]["spans"]) == 300 and {s["label"] for s in got[3]["spans"]} == {"cc-by-sa"} and got[3]["score"] == 1.0
+    assert (got[4]["n_words"], got[4]["labels"], got[4]["spans"], got[4]["score"]) == (0, "", [], 0.0)
+
+
 def test_packing_round_trip(spark, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
