@@ -2,7 +2,8 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir), works on all that its predecessor kept and
 returns a DataFrame, which is written as Parquet and read again as the next one's docs. All but the last return the
-columns of `documents`. Rows that a stage drops are matched by a shuffle join, or by broadcast while they are few.
+columns of `documents`. Rows that a stage drops are matched by a shuffle join, or by broadcast while they are few, and
+always as rows, by digests of their texts or numbers given to them, as a doc_id may be null or shared.
 
 Defined cases: null texts count as empty; repeated rows go in the exact dedup; an empty table passes through.
 """
@@ -37,8 +38,10 @@ def without(docs: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = materialise(quality_classifier(docs, labels(spark, sf_dir)).where("NOT kept").select("doc_id").distinct(), "rejected")
-    return without(docs, judged, ["doc_id"])
+    row = ["doc_id", "lang", "text_sha256"]  # what the verdict depends on
+    marked = docs.withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256))
+    judged = quality_classifier(marked, labels(spark, sf_dir), carry=("text_sha256",))
+    return without(marked, materialise(judged.where("NOT kept").select(row).distinct(), "rejected"), row).select(docs.columns)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +57,15 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_join(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return without(docs, materialise(found, "near-gone"), ["doc_id"])
+    rows = materialise(docs.withColumn("_rid", F.monotonically_increasing_id()), "near-rows")
+    found = ngram_join(rows.select(F.col("_rid").alias("doc_id"), "text")).where("doc_id <> component_id")
+    found = materialise(found.select(F.col("doc_id").alias("_rid"), "component_id"), "near-found")
+    linked = found.unionByName(found.select(F.col("component_id").alias("_rid"), "component_id").distinct())
+    # Of each component the row with the least doc_id stays, nulls last.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_rid"))
+    stay = linked.join(rows.select("_rid", "doc_id"), "_rid").groupBy("component_id").agg(F.min(order).alias("first")).select("first._rid")
+    gone = without(linked.select("_rid"), materialise(stay, "near-stay"), ["_rid"])
+    return without(rows, materialise(gone, "near-gone"), ["_rid"]).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,14 +77,15 @@ def _fold(items: Column, seed: int) -> Column:
     return F.aggregate(items, start, lambda acc, x: step(acc, x).cast(f"struct<left:{_ITEM},done:array<{_DONE}>>"))
 
 
-def source_mix(docs: DataFrame, seed: int = 7, block: int = 48, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for each row of docs (doc_id, text, source).
+def source_mix(docs: DataFrame, seed: int = 7, block: int = 48, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, rid: str | None = None) -> DataFrame:
+    """doc_id, rid, source, size, source_size, target, copies, taken for each row of docs (doc_id, text, source).
 
-    block: documents folded in one step; a level leaves one residual for each block.
+    block: documents folded in one step; a level leaves one residual for each block; rid: a column that numbers the rows,
+    which are numbered here without it.
     """
     sized = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.monotonically_increasing_id().alias("rid"),
+        (F.col(rid) if rid else F.monotonically_increasing_id()).alias("rid"),
     )
     sized = materialise(sized, "mix-sizes")
     goal = materialise(targets(sized, weights, share, most), "mix-targets")
@@ -126,7 +127,8 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """docs itself as the mix has it: each document as often as it is taken, all columns kept.
 
-    Documents are matched by doc_id, which must be unique here (the stage runs on deduplicated documents).
+    Rows are numbered and written first, and matched by number: doc_ids may be null or shared.
     """
-    copies = source_mix(docs, **options).where("copies > 0").select("doc_id", F.expr("sequence(1, copies)").alias("_copy"))
-    return docs.join(copies.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode("_copy")).select(*docs.columns)
+    rows = materialise(docs.withColumn("_rid", F.monotonically_increasing_id()), "mix-rows")
+    copies = source_mix(rows, rid="_rid", **options).where("copies > 0").select(F.col("rid").alias("_rid"), F.expr("sequence(1, copies)").alias("_copy"))
+    return rows.join(copies, "_rid").withColumn("_copy", F.explode("_copy")).select(*docs.columns)

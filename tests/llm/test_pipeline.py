@@ -68,3 +68,29 @@ def test_without_by_either_join(spark, monkeypatch):
     for most in (10, 0):
         monkeypatch.setattr(cp, "BROADCAST_IDS", most)
         assert [r["doc_id"] for r in cp.without(docs, gone, ["doc_id"]).collect()] == [1]
+
+
+def test_classify_judges_rows(spark, folder, tmp_path):
+    rng = random.Random(5)
+    rows = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 240")
+    clean = [prose(rng, 100) for _ in range(3)]
+    junk = [" ".join(w + "$$$" for w in t.split()) for t in clean]
+    docs = rows.unionByName(table(spark, [(None, clean[0]), (None, junk[0]), (9000, clean[1]), (9000, junk[1]), (9001, clean[2])]))
+    left = cp.classify(spark, docs, folder).where("doc_id IS NULL OR doc_id >= 9000").collect()
+    assert sorted(r["text"] for r in left) == sorted(clean)
+
+
+def test_near_drops_rows(spark, folder):
+    rng = random.Random(6)
+    a, b, c, d, e = (prose(rng, 90) for _ in range(5))
+    docs = table(spark, [(1, a), (2, a + " end"), (2, b), (7, c), (7, c), (None, d), (None, d + " end"), (None, e), (8, a + " fin")])
+    left = sorted((r["text"] for r in cp.near(spark, docs, folder).collect()), key=lambda t: (t[:20], len(t)))
+    assert [t.removesuffix(" end") for t in left] == sorted([a, b, c, d, e], key=lambda t: t[:20]) and a in left
+
+
+def test_mix_copies_rows(spark, folder):
+    rng = random.Random(7)
+    texts = [prose(rng, 50) for _ in range(30)]
+    docs = table(spark, [(None if i < 20 else 5, t, "en", "s") for i, t in enumerate(texts)])
+    got = [r["text"] for r in cp.mix(spark, docs, folder).collect()]
+    assert max(map(got.count, texts)) <= 2 and min(map(got.count, texts)) >= 1 and 44 <= len(got) <= 46
