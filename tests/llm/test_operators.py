@@ -314,6 +314,17 @@ def test_kneser_ney_is_a_distribution():
     assert kneser_ney.reduced("a a a b\nb c") == ("a b c", 3, 6) and kneser_ney.reduced(None) == ("", 0, 0)
 
 
+def test_classes_of_other_scripts():
+    def of(text):
+        return kneser_ney.classes_of(np.array([ord(c) for c in text], dtype=np.uint32)).tolist()
+
+    for letters in ("абвгдежзиклмнопрстуфхцчшщъыь", "αβγδεζηθικλμνξοπρστυφχψω", "ابتثجحخدذرزس", "日本語文章漢字"):
+        assert len(set(of(letters))) >= 0.6 * len(letters) and 47 not in of(letters)
+    assert set(of("“”„–—…😀\ufe0f\U0010ffff")) == {47} and of("Ж٣\u3000") == [30, 3, 1]
+    assert of("aZ é\n") == [4, 30, 1, 43 + 0xE9 % 4, 2]
+    assert not np.array_equal(kneser_ney.ngrams("слова речи"), kneser_ney.ngrams("ъъъъъ ъъъъ"))
+
+
 def test_quality_classifier_on_held_out_rows(spark):
     rng = random.Random(8)
     docs, marks = [], []
