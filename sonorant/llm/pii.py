@@ -33,7 +33,7 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _CODE = r"A-Za-z0-9+/_-"
-CANDIDATE = rf"(?<![{_CODE}])(?=[{_CODE}]{{0,127}}[0-9])[{_CODE}]{{9,}}+"
+CANDIDATE = rf"(?<![{_CODE}])(?=[A-Za-z+/_-]*+[0-9])[{_CODE}]{{9,}}+"
 
 # Cue words of the gazetteer labeler.
 CUES = ("token", "secret", "password", "passwd", "key", "apikey", "bearer", "ssn", "passport", "iban", "credential")

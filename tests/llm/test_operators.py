@@ -109,6 +109,15 @@ def test_pii_learns_secrets(spark):
     assert all(got[i] == ([4] if i % 2 else []) for i in got)
 
 
+def test_pii_candidates_with_a_late_digit(spark):
+    from pyspark.sql import functions as F
+
+    code = "Ab/" * 60 + "7f3c"
+    texts = [f"the token {code} here", "x" * 300 + " only letters and 12345678", code + "-" * 40_000, "a" * 200_000]
+    found = table(spark, list(enumerate(texts))).select("doc_id", pii.located(F.col("text"), pii.CANDIDATE).alias("s")).orderBy("doc_id").collect()
+    assert [[s["m"] for s in r["s"]] for r in found] == [[code], [], [texts[2]], []]
+
+
 def shingle_sets(texts):
     out = []
     for t in texts:
