@@ -6,7 +6,9 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import SparkSession
@@ -17,7 +19,8 @@ from sonorant.operators.speech import DenoiseSettings, GateSettings
 from sonorant.plans.options import PipelineOptions
 from sonorant.plans.pipeline import run
 from sonorant.sources import wav
-from sonorant.sources.transcripts import TableTranscripts
+from sonorant.sources.ranges import first_existing, model_folders, vad_model_beside
+from sonorant.sources.transcripts import RecogniserOptions, RecogniserTranscripts, TableTranscripts
 
 
 def parser() -> argparse.ArgumentParser:
@@ -58,12 +61,36 @@ def options(a: argparse.Namespace) -> PipelineOptions:
     )
 
 
-def main(argv: list[str] | None = None) -> int:
-    """0: done; 1: an unknown option or an unreadable input; 2: a number of samples changed."""
+def recogniser(a: argparse.Namespace, load: Callable[[dict[str, object]], Callable] | None = None) -> RecogniserTranscripts:
+    """The recogniser that the options name; not ready without a backend or a model file.
+
+    A model is a path or a file name in one of the model folders; the speech-activity model lies beside it by default.
+    """
+    folders = model_folders(os.getcwd(), os.path.dirname(os.path.abspath(sys.argv[0])), "")
+    path = first_existing([a.model, *(os.path.join(f, a.model) for f in folders)]) or ""
+    vad = "" if a.no_vad else a.vad_model or vad_model_beside(path) or ""
+    return RecogniserTranscripts(RecogniserOptions(model_path=path, vad_model_path=vad, language=a.language, beam_size=a.beam_size, use_vad=not a.no_vad, threads=a.threads), load)
+
+
+def main(argv: list[str] | None = None, load: Callable[[dict[str, object]], Callable] | None = None) -> int:
+    """0: done; 1: an unknown option, an unreadable input or model; 2: a number of samples changed. load: a recogniser backend."""
     try:
         a = parser().parse_args(argv)
     except SystemExit as e:
         return 1 if e.code else 0
+    provider = None
+    if a.censor and a.model:
+        if a.words:
+            print("Error: --words and --model are two sources of words", file=sys.stderr)
+            return 1
+        provider = recogniser(a, load)
+        if not provider.is_ready():
+            why = "no recogniser backend is available" if provider.options.model_path else "no such file"
+            print(f"Error: could not load model '{a.model}': {why}", file=sys.stderr)
+            return 1
+        print(f"Speech recognition: {provider.name}")
+    elif a.censor and not a.words:
+        print("No --model or --words given: censoring only the manual --range entries.")
     spark = SparkSession.builder.appName("sonorant").getOrCreate()
     assets = wav.read_assets(spark, a.input)
     bad = assets.where("error IS NOT NULL").select("path", "error").take(20)
@@ -73,7 +100,9 @@ def main(argv: list[str] | None = None) -> int:
     rates = [r["sample_rate"] for r in good.select("sample_rate").distinct().collect()]  # a handful
     if not rates:
         return 1
-    provider, code = (TableTranscripts.read(spark, a.words) if a.words else None), 1 if bad else 0
+    if a.words:
+        provider = TableTranscripts.read(spark, a.words)
+    code = 1 if bad else 0
     for rate in sorted(rates):
         some = good.where(good["sample_rate"] == rate)
         result = run(wav.read_chunks(spark, a.input).join(some.select("asset_id"), "asset_id", "left_semi"), some, float(rate), options(a), provider, a.folder)

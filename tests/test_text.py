@@ -161,6 +161,22 @@ def test_recogniser_backend(spark):
     assert RecogniserTranscripts(RecogniserOptions()).transcribe(mono, 48_000.0).count() == 0
 
 
+def test_command_line_recogniser(tmp_path, capsys):
+    from sonorant.plans import cli
+
+    model, vad = tmp_path / "base.bin", tmp_path / "ggml-silero-v5.1.2.bin"
+    args = ["in", "out", "--censor", "--language", "de", "--threads", "3", "--beam-size", "2", "--model", str(model)]
+    assert cli.main(args) == 1 and "no such file" in capsys.readouterr().err
+    model.touch()
+    vad.touch()
+    assert cli.main(args) == 1 and "no recogniser backend" in capsys.readouterr().err
+    assert cli.main([*args, "--words", "w"], lambda o: None) == 1
+    p = cli.recogniser(cli.parser().parse_args(args), lambda o: None)
+    assert p.is_ready() and p.options == RecogniserOptions(str(model), str(vad), "de", 2, threads=3)
+    o = cli.recogniser(cli.parser().parse_args([*args, "--no-vad"]), lambda o: None).options
+    assert not o.use_vad and not o.vad_enabled()
+
+
 def test_text_report(spark):
     row = ("a", 100, 100, -20.0, -16.0, -3.5, -1.0, 4.0, -0.5, 0.25, 1, 0.125, [("fuck", 0, 100, 0.5), ("ok", 100, 200, 0.5)], [(0, 10)])
     df = spark.createDataFrame([row], REPORT)
