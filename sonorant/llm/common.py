@@ -68,11 +68,23 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Let Python workers get at most so many rows at once: texts are long, and a worker holds a batch several times."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -> None:
+    """Let Python workers get at most so many rows and bytes at once: texts are long, and a worker holds a batch several
+    times. Settings of the caller that are smaller stay; operators are lazy, so the settings outlive this call."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = int(spark.conf.get(key).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, most)
+
+
+def id_in(name: str = "doc_id") -> Column:
+    """A long column on its way into Python: as a string, since pandas makes long columns with nulls doubles."""
+    return F.col(name).cast("long").cast("string").alias(name)
+
+
+def id_out(df: DataFrame, name: str = "doc_id") -> DataFrame:
+    """df, from Python, with the column a long again."""
+    return df.withColumn(name, F.col(name).cast("long"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
