@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sonorant.llm.common import documents, materialise, small_batches
+from sonorant.llm.common import documents, id_in, id_out, materialise, small_batches
 from sonorant.llm.components import components
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -113,14 +113,14 @@ def describe(docs: DataFrame, tracked: int) -> DataFrame:
                     size += len(s)
                     if size > 2_000_000:
                         held, parts, size = count(), [], 0
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n": n, "node": node, "summary": False, "bits": bits})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n": n, "node": node, "summary": False, "bits": bits})
         if parts:
             held = count()
         if held:
             keys = np.fromiter(held.keys(), dtype=np.uint64, count=len(held)).view(np.int64)
-            yield pd.DataFrame({"doc_id": pd.array([None] * len(held), dtype="Int64"), "n": list(held.values()), "node": keys, "summary": True, "bits": None})
+            yield pd.DataFrame({"doc_id": [None] * len(held), "n": list(held.values()), "node": keys, "summary": True, "bits": None})
 
-    return docs.mapInPandas(rows, "doc_id long, n long, node long, summary boolean, bits binary")
+    return id_out(docs.select(id_in("doc_id"), "text").mapInPandas(rows, "doc_id string, n long, node long, summary boolean, bits binary"))
 
 
 def prefixes(docs: DataFrame, last: np.ndarray, percent: int) -> DataFrame:

@@ -212,7 +212,7 @@ def encoder(path: str | None) -> Encoder:
 
 
 def pieces(docs: DataFrame, limit: int, end_id: int, tokenizer: str | None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of each piece."""
+    """doc_id (as a string, for the way through Python), piece, start, length, ids_crc32 of each piece."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end = encoder(tokenizer), np.array([end_id], dtype="<u4")
@@ -223,7 +223,7 @@ def pieces(docs: DataFrame, limit: int, end_id: int, tokenizer: str | None) -> D
                 rows += [(d, i, s, min(limit, len(ids) - s), zlib.crc32(ids[s : s + limit])) for i, s in enumerate(range(0, len(ids), limit))]
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return id_out(docs.select(id_in("doc_id"), "text").mapInPandas(cut, "doc_id string, piece int, start long, length long, ids_crc32 long"))
+    return docs.select(id_in("doc_id"), "text").mapInPandas(cut, "doc_id string, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -264,11 +264,11 @@ def handed_on(fill: np.ndarray, limit: int, least: int, handed: int) -> np.ndarr
 def pack(docs: DataFrame, limit: int = 4096, end_id: int = 1, tokenizer: str | None = None, **options) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece of docs (doc_id, text); options: place's."""
     small_batches(docs.sparkSession)
-    return place(materialise(pieces(docs, limit, end_id, tokenizer), "pieces"), limit, **options)
+    return id_out(place(materialise(pieces(docs, limit, end_id, tokenizer), "pieces"), limit, **options))
 
 
 def place(cut: DataFrame, limit: int, local: int = 60_000, fan_in: int = 16, handed: int = 1024, nearly_full: tuple[float, ...] = (0.995, 0.99, 0.98, 0.97, 0.95)) -> DataFrame:
-    """cut (rows with a length) with sequence_id and offset. It is read twice: give it written rows.
+    """cut (rows with a length; other columns pass through pandas) with sequence_id and offset.
 
     local: pieces that a task packs together; fan_in: groups that meet at a level; handed: bins over half full that a
     group hands on; nearly_full: the fill, as a share of limit, from which a bin is done at each level (the last one

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sonorant.llm.common import documents, materialise, release, small_batches
+from sonorant.llm.common import documents, id_in, id_out, materialise, release, small_batches
 
 LENGTH, GRAM = 50, 16
 REACH = LENGTH - GRAM + 1  # 16-byte substrings in a window, and the most windows in a string
@@ -352,9 +352,10 @@ def suffix_dedup(docs: DataFrame, shard_bytes: int = 6_000_000, key_bytes: int =
                 raw = (t or "").encode("utf-8", "surrogatepass")
                 gone, runs, left = _cut(raw, np.asarray(s, dtype=np.int64) if s is not None else np.zeros(0, dtype=np.int64))
                 rows.append((d, len(raw), gone, runs, hashlib.sha256(left).hexdigest(), left))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return docs.join(by_doc, ["doc_id", "sub"], "left").mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    whole = docs.join(by_doc, ["doc_id", "sub"], "left").select(id_in("doc_id"), "text", "spans")
+    return id_out(whole.mapInPandas(cut, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

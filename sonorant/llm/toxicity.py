@@ -1,12 +1,12 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Learns from at most `per_class` labelled rows of each class, chosen by a hash of their ids among the rows of the
-training folds; scoring reads every text whole. Features are the hashed unigrams, bigrams and skip-grams that a text
+Learns from at most `per_class` labelled ids of each class, chosen by a hash of the id among the training folds;
+scoring reads every text whole. Features are the hashed unigrams, bigrams and skip-grams that a text
 holds (2^bits slots); FTRL keeps per-coordinate learning rates and its L1 term leaves few weights, so the broadcast
 model is compact and of bounded size.
 
-Defined cases: a null or empty text has only the bias; without labelled rows of both classes every score is 0.5 or the
-one class's rate; repeated rows are scored one by one; an empty table gives an empty result.
+Defined cases: a null or empty text has only the bias; without labelled rows every score is 0.5, and with one class
+all scores lean to it; of rows that share a labelled id one is learned from; repeated rows are scored one by one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonorant.llm.common import documents, labels, small_batches
+from sonorant.llm.common import documents, id_in, id_out, labels, small_batches
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -108,9 +108,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, marks: DataFrame, per_class: int = 2500, bits: int = 20, epochs: int = 6, seed: int = 5) -> tuple[np.ndarray, float]:
-    """Weights and bias from at most per_class training rows of each class, for classes of equal weight."""
-    marks = marks.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def fit(docs: DataFrame, marks: DataFrame, per_class: int = 2500, bits: int = 20, epochs: int = 6, seed: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
+    """Slots, their weights and the bias from at most per_class training ids of each class, one row of each id.
+
+    The rows stream through one task in an order that a hash gives for each epoch, a batch in memory at a time; only the
+    weights that are not zero (2^bits at most) come back.
+    """
+    marks = marks.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     order = (F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id"))
     chosen = marks.where("toxic = 1").orderBy(*order).limit(per_class).unionByName(marks.where("toxic = 0").orderBy(*order).limit(per_class))
 
@@ -118,24 +122,28 @@ def fit(docs: DataFrame, marks: DataFrame, per_class: int = 2500, bits: int = 20
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "slots": [features(t, bits).astype("<i4").tobytes() for t in b["text"]]})
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(hashed, "doc_id long, toxic long, slots binary").toPandas()
-    rows = rows.sort_values(["doc_id", "slots"], kind="stable")
-    data = [(np.frombuffer(s, "<i4").astype(np.int64), int(y)) for s, y in zip(rows["slots"], rows["toxic"], strict=True)]
-    learner, rng = Ftrl(1 << bits), np.random.default_rng(seed)
-    for _ in range(epochs):
-        for i in rng.permutation(len(data)):
-            learner.learn(*data[i])
-    w, b = learner.model()
-    return learner.model()
+    def learned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        learner = Ftrl(1 << bits)
+        for b in batches:
+            for s, y in zip(b["slots"], b["toxic"].tolist(), strict=True):
+                learner.learn(np.frombuffer(s, "<i4").astype(np.int64), y)
+        w, bias = learner.model()
+        at = np.flatnonzero(w)
+        yield pd.DataFrame({"slot": np.append(at, -1), "weight": np.append(w[at].astype(float), bias)})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").mapInPandas(hashed, "doc_id long, toxic int, slots binary")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("toxic", "slots")).alias("r")).select("doc_id", "r.*", F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch"))
+    rows = rows.repartition(1).sortWithinPartitions("epoch", F.xxhash64("doc_id", "epoch", F.lit(seed)), "doc_id")
+    got = rows.select("toxic", "slots").mapInPandas(learned, "slot long, weight double").toPandas()
+    real = got[got["slot"] >= 0]
+    return real["slot"].to_numpy(), real["weight"].to_numpy(dtype=np.float32), float(got.loc[got["slot"] < 0, "weight"].sum())
 
 
 def toxicity(docs: DataFrame, marks: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs (doc_id, text); marks: doc_id, toxic."""
     small_batches(docs.sparkSession)
     bits = options.get("bits", 20)
-    w, bias = fit(docs, marks, **options)
-    at = np.flatnonzero(w)
-    model = docs.sparkSession.sparkContext.broadcast((at, w[at], bias))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, marks, **options))
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         where, values, b = model.value
@@ -145,7 +153,7 @@ def toxicity(docs: DataFrame, marks: DataFrame, **options) -> DataFrame:
             z = np.array([b + float(dense[features(t, bits)].sum(dtype=float)) for t in x["text"]], dtype=float)
             yield pd.DataFrame({"doc_id": x["doc_id"], "held_out": x["held_out"], "score": 1 / (1 + np.exp(-np.clip(z, -35, 35)))})
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInPandas(scored, "doc_id long, held_out boolean, score double")
+    out = id_out(docs.select(id_in("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInPandas(scored, "doc_id string, held_out boolean, score double"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

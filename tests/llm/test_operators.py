@@ -304,6 +304,30 @@ def test_packing_round_trip(spark, rows):
     assert len(bins) <= 1.15 * sum(r["length"] for r in got) / 4096 + 2
 
 
+def test_packing_what_has_no_partner(spark):
+    """200,000 pieces of which no two fit together: no task beyond the first level gets more than its share."""
+    from pyspark.sql import functions as F
+
+    n = 200_000
+    cut = spark.range(0, n, 1, 20).select(F.col("id").cast("string").alias("doc_id"), (2200 + F.col("id") % 1600).cast("long").alias("length"))
+    got = packing.place(cut, 4096, local=5000, fan_in=4, handed=64)
+    assert got.count() == n == got.select("sequence_id").distinct().count() and got.where("offset <> 0").count() == 0
+    fill = np.arange(2200, 3800)
+    assert packing.handed_on(fill, 4096, 2200, 64).sum() == 0 and packing.handed_on(fill, 4096, 1, 64).sum() == 64
+    assert packing.handed_on(np.append(fill, [100, 2048]), 4096, 100, 64)[-2:].all()
+
+
+def test_packing_over_levels(spark):
+    """Small and large pieces in many tasks end within a hundredth of the bound, each sequence gapless."""
+    from pyspark.sql import functions as F
+
+    cut = spark.range(0, 60_000, 1, 24).select(F.col("id").cast("string").alias("doc_id"), (1 + F.pmod(F.xxhash64("id"), F.lit(3000))).cast("long").alias("length"))
+    got = packing.place(cut, 4096, local=500, fan_in=4)
+    bins = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.min("offset").alias("begin"), F.countDistinct("offset").alias("k"), F.count("*").alias("m")).toPandas()
+    assert (bins["n"] == bins["end"]).all() and (bins["begin"] == 0).all() and (bins["k"] == bins["m"]).all() and bins["n"].max() <= 4096
+    assert len(bins) <= 1.01 * bins["n"].sum() / 4096 + 1
+
+
 def test_best_fit():
     rng = np.random.default_rng(1)
     x = rng.integers(1, 101, 500)
@@ -408,3 +432,15 @@ def test_collection_order():
     s, d = suffix_dedup.collection_order(flat, np.cumsum(size) - size, size)
     suffixes = [strings[i][len(strings[i]) - k :] for i, k in zip(s.tolist(), d.tolist(), strict=True)]
     assert suffixes == sorted(suffixes) and len(set(zip(s.tolist(), d.tolist(), strict=True))) == len(suffixes) == size.sum() + len(strings)
+
+
+BIG = 2**60
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_large_ids_beside_nulls(spark, labels, name):
+    """Ids above 2^53 come back as they are, also in a batch with null ids."""
+    rng = random.Random(13)
+    rows = [(BIG + i, prose(rng, 70)) for i in range(1, 6)] + [(None, prose(rng, 70)), (None, prose(rng, 60))]
+    got = OPERATORS[name](table(spark, rows).coalesce(1), labels).select("doc_id").collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
