@@ -27,34 +27,11 @@ def db_of(gain: float) -> float:
     return 20.0 * math.log10(max(gain, _TINY))
 
 
-def sigmoid(x: Column) -> Column:
-    return 1.0 / (1.0 + F.exp(-x))
-
-
 def block_loudness(mean_square: Column) -> Column:
     """Loudness of a block of K-weighted samples from its mean square."""
     return F.lit(-0.691) + 10.0 * F.log10(mean_square + F.lit(_TINY))
 
 
-def hann(n: int) -> Column:
-    """The periodic Hann window of n points, as an array."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: 0.5 * (1.0 - F.cos(i * F.lit(2.0 * math.pi / n))))
-
-
-def centred_hann(x: Column) -> Column:
-    """The Hann window over [-1, 1]."""
-    return 0.5 * (1.0 + F.cos(x * F.lit(math.pi)))
-
-
-def sinc(x: Column) -> Column:
-    return F.when(F.abs(x) < 1e-9, F.lit(1.0)).otherwise(F.sin(x * F.lit(math.pi)) / (x * F.lit(math.pi)))
-
-
-def smoothing(ms: Column, rate: Column) -> Column:
-    """One-pole coefficient of a time constant in ms."""
-    return F.exp(F.lit(-1.0) / (ms * F.lit(0.001) * rate))
-
-
 def smoothing_of(ms: float, rate: float) -> float:
     return math.exp(-1.0 / (ms * 0.001 * rate))
 
@@ -74,10 +51,6 @@ def clamp_index(v: Column, size: Column) -> Column:
     return F.greatest(F.lit(0).cast("bigint"), F.least(v, size))
 
 
-def frame_count(samples: Column, hop: int) -> Column:
-    return F.lit(1) + F.ceil(samples / F.lit(hop))
-
-
 def half_up(x: float) -> int:
     """Round half away from zero."""
     return int(math.floor(abs(x) + 0.5)) * (1 if x >= 0 else -1)

@@ -63,10 +63,6 @@ def parse_range(spec: Column) -> Column:
     return F.when(F.contains(spec, F.lit("-")), F.struct(number(parts[0]).alias("start_ms"), number(parts[1]).alias("end_ms")))
 
 
-def directory(path: Column) -> Column:
-    return F.regexp_extract(path, r"^(.*[/\\])", 1)
-
-
 def clean_name(path: Column) -> Column:
     """The default output name of an input file."""
     return F.concat(F.regexp_replace(path, r"(?i)\.[^./\\]*$", ""), F.lit("_clean.wav"))

@@ -5,34 +5,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonorant.functions.levels import db_to_gain, gain_of, gain_to_db, half_up
+from sonorant.functions.levels import gain_of, gain_to_db, half_up
 from sonorant.operators.scan import ordered_scan
 from sonorant.schemas import PCM_CHUNKS
 
 
-def lookahead_peak(ahead: int, keys: tuple[str, ...], ix: str = "sample_ix", value: str = "value") -> Column:
-    """Column: the largest magnitude from a sample to `ahead` samples on (the window ends with the signal)."""
-    return F.max(F.abs(F.col(value))).over(Window.partitionBy(*keys).orderBy(ix).rowsBetween(0, ahead))
-
-
-def wanted_gain(peak: Column, ceiling: float) -> Column:
-    return F.when(peak > ceiling, F.lit(ceiling) / peak).otherwise(F.lit(1.0))
-
-
-def release_fold(wanted: Column, release: float) -> Column:
-    """Gains of an array of wanted gains: instant attack, one-pole release, from 1. A fold within one row."""
-    start = F.struct(F.lit(1.0).alias("g"), F.array().cast("array<double>").alias("out"))
-
-    def step(a: Column, d: Column) -> Column:
-        g = F.least(d, (1.0 - release) * a["g"] + release * d)
-        return F.struct(g.alias("g"), F.concat(a["out"], F.array(g)).alias("out"))
-
-    return F.aggregate(wanted, start, step, lambda a: a["out"])
-
-
 def release_of(ms: float, rate: float) -> float:
     return 1.0 - math.exp(-1.0 / max(1.0, ms * 0.001 * rate))
 
@@ -74,7 +54,7 @@ class _Limiter:
 
     def _emit(self, row: dict, after: np.ndarray) -> dict:
         x = np.asarray(row["samples"], dtype=np.float32)
-        peak = sliding_max(np.abs(np.concatenate([x, after[: self.ahead]])), self.ahead + 1)[: len(x)]
+        peak = sliding_max(np.abs(np.concatenate([x, after[: self.ahead]])).astype(float), self.ahead + 1)[: len(x)]
         wanted = np.where(peak > self.ceiling, self.ceiling / np.maximum(peak, 1e-30), 1.0)
         g = release_scan(wanted, self.release, self.gain)
         self.gain = float(g[-1]) if len(g) else self.gain
@@ -106,15 +86,3 @@ def limited(chunks: DataFrame, rate: float, ceiling_db: float = -1.0, ahead_ms:
 def reduction_db(limited_chunks: DataFrame) -> DataFrame:
     """asset_id, limiter_reduction_db: the worst over channels."""
     return limited_chunks.groupBy("asset_id").agg(gain_to_db(F.min("least_gain")).alias("limiter_reduction_db"))
-
-
-def compressor_gain(envelope: Column, threshold_db: float = -18.0, ratio: float = 3.0) -> Column:
-    """Gain of the hard-knee curve at an envelope level."""
-    level = gain_to_db(envelope)
-    over = F.lit(threshold_db) + (level - threshold_db) / max(1.0, ratio)
-    return F.when((envelope > 0) & (level > threshold_db), db_to_gain(over - level)).otherwise(F.lit(1.0))
-
-
-def hard_clip(x: Column, ceiling_db: float = -1.0) -> Column:
-    c = gain_of(ceiling_db)
-    return F.least(F.lit(c), F.greatest(F.lit(-c), x))

@@ -39,29 +39,40 @@ def k_weighted(chunks: DataFrame, rate: float) -> DataFrame:
     return filtered(chunks, lambda: [Biquad(high_shelf(rate)), Biquad(low_cut(rate))])
 
 
-def hop_sums(samples: DataFrame, hop: int, keys: tuple[str, ...] = ("asset_id",), ix: str = "sample_ix", value: str = "value") -> DataFrame:
-    """Sums of squares over all channels in buckets of `hop` samples, with the number of samples a channel has there."""
-    square = F.col(value).cast("double") * F.col(value)
-    return samples.groupBy(*keys, F.floor(F.col(ix) / hop).alias("hop")).agg(F.sum(square).alias("energy"), F.countDistinct(ix).alias("n"))
+def chunk_hop_sums(chunks: DataFrame, hop: int, block: int | None = None) -> DataFrame:
+    """asset_id, hop, energy, n, head_energy, head_n: sums of squares over all channels in buckets of `hop` samples and
+    in each bucket's first block mod hop samples, with the number of samples a channel has there.
 
-
-def chunk_hop_sums(chunks: DataFrame, hop: int) -> DataFrame:
-    """hop_sums() of chunk rows: arrays are cut at bucket borders, so rows are buckets, not samples."""
+    Arrays are cut at bucket borders, so rows are buckets, not samples.
+    """
+    rest = (4 * hop if block is None else block) % hop
     first, last = F.floor(F.col("start_sample") / hop), F.floor((F.col("start_sample") + F.size("samples") - 1) / hop)
     cut = chunks.where(F.size("samples") > 0).select("asset_id", "channel", "start_sample", "samples", F.explode(F.sequence(first, last)).alias("hop"))
     lo = F.greatest(F.col("hop") * hop - F.col("start_sample"), F.lit(0))
-    hi = F.least((F.col("hop") + 1) * hop - F.col("start_sample"), F.size("samples"))
-    part = F.slice("samples", (lo + 1).cast("int"), (hi - lo).cast("int"))
-    energy = F.aggregate(part, F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    by = cut.select("asset_id", "channel", "hop", energy.alias("energy"), (hi - lo).alias("n"))
-    return by.groupBy("asset_id", "hop").agg(F.sum("energy").alias("energy"), F.sum(F.when(F.col("channel") == 0, F.col("n")).otherwise(0)).alias("n"))
+
+    def part(size: int) -> tuple[Column, Column]:
+        n = F.greatest(F.least(F.col("hop") * hop + size - F.col("start_sample"), F.size("samples")) - lo, F.lit(0))
+        return F.aggregate(F.slice("samples", (lo + 1).cast("int"), n.cast("int")), F.lit(0.0), lambda a, x: a + x.cast("double") * x), n
+
+    (energy, n), (head, head_n) = part(hop), part(rest)
+    by = cut.select("asset_id", "channel", "hop", energy.alias("energy"), n.alias("n"), head.alias("head_energy"), head_n.alias("head_n"))
+    one = F.col("channel") == 0
+    return by.groupBy("asset_id", "hop").agg(
+        F.sum("energy").alias("energy"), F.sum(F.when(one, F.col("n")).otherwise(0)).alias("n"), F.sum("head_energy").alias("head_energy"), F.sum(F.when(one, F.col("head_n")).otherwise(0)).alias("head_n")
+    )
 
 
-def blocks(hops: DataFrame, hop: int, keys: tuple[str, ...] = ("asset_id",), span: int = 4) -> DataFrame:
-    """Mean squares of complete blocks of `span` hops at every hop. The sum is over channels, the mean over one's length."""
-    w = Window.partitionBy(*keys).orderBy("hop").rowsBetween(0, span - 1)
-    b = hops.withColumns({"_e": F.sum("energy").over(w), "_n": F.sum("n").over(w)})
-    return b.where(F.col("_n") == span * hop).select(*keys, F.col("hop").alias("block"), (F.col("_e") / (span * hop)).alias("mean_square"))
+def blocks(hops: DataFrame, hop: int, block: int | None = None, keys: tuple[str, ...] = ("asset_id",)) -> DataFrame:
+    """Mean squares of complete blocks (four hops by default) at every hop. The sum is over channels, the mean over one's length."""
+    block = 4 * hop if block is None else block
+    whole = block // hop
+    order = Window.partitionBy(*keys).orderBy("hop")
+    full = order.rowsBetween(0, whole - 1)
+    energy, n = F.sum("energy").over(full), F.sum("n").over(full)
+    if block % hop:
+        energy, n = energy + F.lead("head_energy", whole).over(order), n + F.lead("head_n", whole).over(order)
+    b = hops.withColumns({"_e": energy, "_n": n})
+    return b.where(F.col("_n") == block).select(*keys, F.col("hop").alias("block"), (F.col("_e") / block).alias("mean_square"))
 
 
 def gated(block_rows: DataFrame, keys: tuple[str, ...] = ("asset_id",)) -> DataFrame:
@@ -77,10 +88,8 @@ def gated(block_rows: DataFrame, keys: tuple[str, ...] = ("asset_id",)) -> DataF
 
 def integrated(chunks: DataFrame, rate: float) -> DataFrame:
     """asset_id, lufs of chunk rows; silence and clips under 400 ms read -100."""
-    hop, block = half_up(0.1 * rate), half_up(0.4 * rate)
-    if block != 4 * hop:
-        raise ValueError("the sample rate must be a multiple of 10 Hz")
-    measured = gated(blocks(chunk_hop_sums(k_weighted(chunks, rate), hop), hop))
+    hop, block = half_up(0.1 * rate), half_up(0.4 * rate)  # each rounded on its own
+    measured = gated(blocks(chunk_hop_sums(k_weighted(chunks, rate), hop, block), hop, block))
     assets = chunks.select("asset_id").distinct()
     return assets.join(measured, "asset_id", "left").select("asset_id", F.coalesce("lufs", F.lit(NO_LEVEL)).alias("lufs"))
 

@@ -33,18 +33,22 @@ def listed(words: DataFrame, dictionary: Dictionary, text: str = "text") -> Data
     return words.where(is_listed(normalise(F.col(text)), dictionary))
 
 
-def semi_join_roots(words: DataFrame, roots: DataFrame, norm: str = "norm", entry: str = "entry", gram: int = 3) -> DataFrame:
+def semi_join_roots(words: DataFrame, roots: DataFrame, norm: str = "norm", entry: str = "entry", gram: int = 3, most: int = 100_000) -> DataFrame:
     """Rows whose normal form contains an entry of the table `roots`, of any size.
 
     An equi-join on each entry's first `gram` letters finds candidates among a word's grams and `contains` checks them,
-    instead of a nested loop over the dictionary; entries shorter than `gram` join on what they have.
+    instead of a nested loop over the dictionary. Grams are as long as entries need: shorter entries are asked for by
+    their own length. Up to `most` entries are broadcast, and their hits with them while those are as few.
     """
     entries = roots.select(F.col(entry).alias("_entry")).where(F.length("_entry") > 0).distinct()
     entries = entries.withColumn("_gram", F.substring("_entry", 1, gram))
-    word = words.select(norm).where(F.length(norm) > 0).distinct()
-    n = F.length(norm)
-    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.lit(gram)), lambda k: F.substring(F.col(norm), i, k)))))
-    hits = word.withColumn("_gram", F.explode(grams)).join(entries, "_gram").where(F.contains(norm, "_entry")).select(norm).distinct()
+    sizes = [r["n"] for r in entries.groupBy(F.length("_gram").alias("n")).count().collect()]  # at most `gram` rows
+    if not sizes:
+        return words.where(F.lit(False))
+    word, n = words.select(norm).distinct(), F.length(norm)
+    grams = F.concat(*[F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.substring(F.col(norm), i, F.lit(k)))).otherwise(F.array().cast("array<string>")) for k in sorted(sizes)])
+    side = F.broadcast(entries) if entries.limit(most + 1).count() <= most else entries
+    hits = word.withColumn("_gram", F.explode(F.array_distinct(grams))).join(side, "_gram").where(F.contains(norm, "_entry")).select(norm).distinct()
     return words.join(hits, norm, "left_semi")
 
 

@@ -31,7 +31,8 @@ def from_words(words: DataFrame, dictionary: Dictionary, margin_ms: int = 0, key
     """Merged sample ranges of listed words (start_ms, end_ms, sample_rate, num_samples) padded by a margin."""
     hit = listed(words, dictionary)
     rate = F.col("sample_rate")
-    r = hit.select(*keys, "num_samples", ms_to_samples(F.col("start_ms") - margin_ms, rate).alias("start"), ms_to_samples(F.col("end_ms") + margin_ms, rate).alias("end"))
+    margin = ms_to_samples(F.lit(margin_ms), rate)  # times become samples each on its own
+    r = hit.select(*keys, "num_samples", (ms_to_samples(F.col("start_ms"), rate) - margin).alias("start"), (ms_to_samples(F.col("end_ms"), rate) + margin).alias("end"))
     return merge(r, list(keys), total="num_samples")
 
 

@@ -13,11 +13,6 @@ def exploded(chunks: DataFrame) -> DataFrame:
     return chunks.select("asset_id", "channel", "start_sample", F.posexplode("samples").alias("_i", "value")).select("asset_id", "channel", (F.col("start_sample") + F.col("_i")).alias("sample_ix"), "value")
 
 
-def mixdown(samples: DataFrame, keys: tuple[str, ...] = ("asset_id",), ix: str = "sample_ix", value: str = "value") -> DataFrame:
-    """The mean over channels at each sample."""
-    return samples.groupBy(*keys, ix).agg(F.avg(F.col(value).cast("double")).alias(value))
-
-
 def mixdown_chunks(chunks: DataFrame) -> DataFrame:
     """Mixdown of aligned chunk rows: arrays are added as they are, no sample row is made. Channel -1 is the mix."""
     by = chunks.groupBy("asset_id", "chunk_ix", "start_sample").agg(F.collect_list("samples").alias("all"))

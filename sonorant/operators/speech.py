@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonorant.functions.levels import frame_coefficient, gain_of, half_up, sigmoid
+from sonorant.functions.levels import frame_coefficient, gain_of, half_up
 from sonorant.operators.scan import ordered_scan
 from sonorant.operators.signal import mixdown_chunks, multiplied
 from sonorant.operators.spectral import FrameStream, SpectralScan, Stft
@@ -24,7 +24,7 @@ class VoiceActivity:
     BIAS, SMOOTH, BLOCK, TINY = 5.0, 0.5, 48, 1e-12
 
     def __init__(self, sensitivity: float = 0.5) -> None:
-        self.sensitivity, self.noise = sensitivity, None
+        self.sensitivity, self.noise = min(1.0, max(0.0, sensitivity)), None
 
     def step(self, magnitude: np.ndarray) -> float:
         power = magnitude.astype(float) ** 2
@@ -47,15 +47,6 @@ class VoiceActivity:
         return float(p)
 
 
-def speech_probability(snr: Column, flat: Column, sensitivity: float = 0.5) -> Column:
-    """The probability as a column, from a frame's SNR and flatness."""
-
-    def clamp(x: Column) -> Column:
-        return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
-
-    return clamp(sigmoid((snr - (9.0 - 6.0 * sensitivity)) / 4.0) * (0.35 + 0.65 * clamp((0.7 - flat) / 0.5)))
-
-
 class _Activity:
     def __init__(self, sensitivity: float) -> None:
         self.vad = VoiceActivity(sensitivity)
@@ -162,31 +153,10 @@ class GateSettings:
     divisor: int = 4
 
 
-def hold_open(probability: Column, threshold: float, hold: int, keys: tuple[str, ...], order: str) -> Column:
-    """Whether any of the last `hold` frames reached the threshold; a hold of 0 never opens."""
-    if hold <= 0:
-        return F.lit(False)
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(hold - 1), 0)
-    return F.max(probability >= threshold).over(w)
-
-
 def hold_frames(hold_ms: float, hop: int, rate: float) -> int:
     return max(0, half_up(hold_ms * 0.001 / (hop / rate)))
 
 
-def gain_between(level: Column, following: Column, offset: Column, hop: int) -> Column:
-    """The gain of a sample between two frame centres; without a following frame the level holds."""
-    return level + (F.coalesce(following, level) - level) * offset / F.lit(hop)
-
-
-def spread(frame_levels: DataFrame, hop: int, keys: tuple[str, ...] = ("asset_id",), total: str = "num_samples") -> DataFrame:
-    """keys, sample_ix, gain for each sample from frame levels (keys, frame_ix, level, total)."""
-    following = F.lead("level").over(Window.partitionBy(*keys).orderBy("frame_ix"))
-    f = frame_levels.withColumn("_next", following).select(*keys, total, "frame_ix", "level", "_next", F.explode(F.sequence(F.lit(0), F.lit(hop - 1))).alias("_o"))
-    f = f.withColumn("sample_ix", F.col("frame_ix").cast("bigint") * hop + F.col("_o")).where(F.col("sample_ix") < F.col(total))
-    return f.select(*keys, "sample_ix", gain_between(F.col("level"), F.col("_next"), F.col("_o"), hop).alias("gain"))
-
-
 class _GateScan:
     """Envelope chunk rows of a mono signal: frames, activity, hold, followers, interpolation."""
 

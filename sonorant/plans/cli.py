@@ -19,7 +19,7 @@ from sonorant.operators.speech import DenoiseSettings, GateSettings
 from sonorant.plans.options import PipelineOptions
 from sonorant.plans.pipeline import run
 from sonorant.sources import wav
-from sonorant.sources.ranges import first_existing, model_folders, vad_model_beside
+from sonorant.sources.ranges import default_model, first_existing, model_folders, vad_model_beside
 from sonorant.sources.transcripts import RecogniserOptions, RecogniserTranscripts, TableTranscripts
 
 
@@ -64,14 +64,32 @@ def options(a: argparse.Namespace) -> PipelineOptions:
 def recogniser(a: argparse.Namespace, load: Callable[[dict[str, object]], Callable] | None = None) -> RecogniserTranscripts:
     """The recogniser that the options name; not ready without a backend or a model file.
 
-    A model is a path or a file name in one of the model folders; the speech-activity model lies beside it by default.
+    A model is a path or a file name in one of the model folders, or "auto" for the default one there; the
+    speech-activity model lies beside it by default.
     """
     folders = model_folders(os.getcwd(), os.path.dirname(os.path.abspath(sys.argv[0])), "")
-    path = first_existing([a.model, *(os.path.join(f, a.model) for f in folders)]) or ""
+    path = (default_model(folders) if a.model == "auto" else first_existing([a.model, *(os.path.join(f, a.model) for f in folders)])) or ""
     vad = "" if a.no_vad else a.vad_model or vad_model_beside(path) or ""
     return RecogniserTranscripts(RecogniserOptions(model_path=path, vad_model_path=vad, language=a.language, beam_size=a.beam_size, use_vad=not a.no_vad, threads=a.threads), load)
 
 
+def invalid(spark: SparkSession, a: argparse.Namespace) -> str | None:
+    """What is wrong with the paths of a run, if anything; checked before any work."""
+
+    def resolved(path: str) -> tuple[str, bool]:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return fs.makeQualified(p).toString().rstrip("/"), bool(fs.globStatus(p))
+
+    if not a.input or not resolved(a.input)[1]:
+        return f"choose an existing input, not '{a.input}'"
+    if not a.output:
+        return "choose an output folder"
+    if resolved(a.input)[0] == resolved(a.output)[0]:
+        return "the output must differ from the input"
+    return None
+
+
 def main(argv: list[str] | None = None, load: Callable[[dict[str, object]], Callable] | None = None) -> int:
     """0: done; 1: an unknown option, an unreadable input or model; 2: a number of samples changed. load: a recogniser backend."""
     try:
@@ -92,6 +110,9 @@ def main(argv: list[str] | None = None, load: Callable[[dict[str, object]], Call
     elif a.censor and not a.words:
         print("No --model or --words given: censoring only the manual --range entries.")
     spark = SparkSession.builder.appName("sonorant").getOrCreate()
+    if why := invalid(spark, a):
+        print(f"Error: {why}", file=sys.stderr)
+        return 1
     assets = wav.read_assets(spark, a.input)
     bad = assets.where("error IS NOT NULL").select("path", "error").take(20)
     for r in bad:
@@ -102,11 +123,12 @@ def main(argv: list[str] | None = None, load: Callable[[dict[str, object]], Call
         return 1
     if a.words:
         provider = TableTranscripts.read(spark, a.words)
-    code = 1 if bad else 0
+    code, common = 1 if bad else 0, wav.common_folder(good)
+    wav.check_names(good, common)
     for rate in sorted(rates):
         some = good.where(good["sample_rate"] == rate)
         result = run(wav.read_chunks(spark, a.input).join(some.select("asset_id"), "asset_id", "left_semi"), some, float(rate), options(a), provider, a.folder)
-        wav.write(result.chunks, some, a.output, a.bit_depth).count()
+        wav.write(result.chunks, some, a.output, a.bit_depth, common).count()
         for r in reports.text_report(result.report, Dictionary(), show_silenced=a.silence_non_speech).toLocalIterator():
             print(f"---- {r['asset_id']} ----\n{r['text']}")
         if not reports.changed_lengths(result.report).isEmpty():

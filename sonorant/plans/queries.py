@@ -1,525 +1,10 @@
-"""The query catalogue over the test tables, each with its DuckDB equivalent where SQL has one.
-
-The tables hold no audio: an embedding of 64 floats serves as a short signal, a spectral frame or frame levels, a user's
-events as a series, and the words of conversations and documents as transcripts (a word lasts 400 ms).
-"""
+"""The query catalogue over the test tables, each query with its DuckDB equivalent where SQL has one."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from sonorant.functions import levels as lv
-from sonorant.functions import text as tx
-from sonorant.functions.dictionary import Dictionary
-from sonorant.operators import censor, dynamics, loudness, match, ranges, signal, spectral, speech, tokens
-from sonorant.operators.filters import Biquad, filtered, high_pass
-from sonorant.plans.options import PipelineOptions
-from sonorant.plans.pipeline import run
-from sonorant.streaming import chain
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-#: The dictionary of the queries: the default one hardly ever matches the invented prose of the tables.
-ENTRIES = Dictionary((), ()).with_root("tion").with_root("heit").with_root("ment").with_word("the").with_word("und").with_word("que").with_word("of")
-RATE, WORD_MS = 16_000, 400
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-# ---- tables -------------------------------------------------------------------------------------------------------
-
-
-def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
-def _signals(spark: SparkSession, sf: str) -> DataFrame:
-    """vec_id, label, samples."""
-    return _table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").alias("samples"))
-
-
-def _samples(spark: SparkSession, sf: str) -> DataFrame:
-    return _signals(spark, sf).select("vec_id", "label", F.posexplode("samples").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
-
-
-def _words(spark: SparkSession, sf: str) -> DataFrame:
-    """conv_id, turn, ix, text, start_ms, end_ms of the words of conversations."""
-    w = _table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("ix", "text"))
-    return w.withColumns({"start_ms": F.col("ix").cast("bigint") * WORD_MS, "end_ms": (F.col("ix").cast("bigint") + 1) * WORD_MS})
-
-
-def _events(spark: SparkSession, sf: str) -> DataFrame:
-    """user_id, ms (since a fixed instant), value, event_id."""
-    ms = F.timestamp_diff("MILLISECOND", F.lit("2020-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
-    return _table(spark, sf, "events").select("user_id", "event_id", ms.alias("ms"), "value", "ts")
-
-
-S = "(SELECT vec_id, label, unnest(range(0, len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"
-W = "(SELECT conv_id, turn, unnest(range(0, len(string_split(text, ' ')))) AS ix, unnest(string_split(text, ' ')) AS text FROM conversations)"
-EV = "(SELECT user_id, event_id, value, ts, CAST((epoch_us(ts) - epoch_us(TIMESTAMP '2020-01-01')) // 1000 AS BIGINT) AS ms FROM events)"
-
-
-def _norm(c: str) -> str:
-    """SQL of a word's normal form."""
-    letters = f"string_split(regexp_replace(translate(translate({c}, '{tx.UPPER}', '{tx.LOWER}'), '{tx.LOOKALIKE}', '{tx.CYRILLIC}'), '{tx.OTHER}', '', 'g'), '')"
-    return f"array_to_string(list_filter({letters}, lambda c, k: k = 1 OR c <> {letters}[k - 1]), '')"
-
-
-def _listed(norm: str) -> str:
-    roots = " OR ".join(f"contains({norm}, '{r}')" for r in ENTRIES.roots)
-    return f"({norm} <> '' AND ({roots} OR {norm} IN ({', '.join(repr(w) for w in ENTRIES.words)})))"
-
-
-def _merge_sql(source: str, keys: str) -> str:
-    """Gaps and islands over rows (keys, s, e)."""
-    return f"""
-WITH r AS (SELECT * FROM ({source}) WHERE e > s),
-m AS (SELECT *, max(e) OVER (PARTITION BY {keys} ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r),
-n AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY s ROWS UNBOUNDED PRECEDING) AS island FROM m)
-SELECT {keys}, CAST(min(s) AS BIGINT) AS "start", CAST(max(e) AS BIGINT) AS "end" FROM n GROUP BY {keys}, island
-"""
-
-
-# ---- words and ranges ---------------------------------------------------------------------------------------------
-
-
-@query(f"SELECT DISTINCT text AS word, {_norm('text')} AS norm FROM {W}")
-def word_normalise(spark: SparkSession, sf: str) -> DataFrame:
-    return _words(spark, sf).select(F.col("text").alias("word")).distinct().withColumn("norm", tx.normalise(F.col("word")))
-
-
-_DOC_WORDS = "(SELECT DISTINCT doc_id, unnest(string_split(text, ' ')) AS w FROM documents)"
-
-
-def _doc_words(spark: SparkSession, sf: str) -> DataFrame:
-    w = _table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("w")).distinct()
-    return w.withColumn("norm", tx.normalise(F.col("w")))
-
-
-@query(f"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, {_norm('w')} AS norm FROM {_DOC_WORDS}) WHERE {' OR '.join(f'contains(norm, {r!r})' for r in ENTRIES.roots)} GROUP BY doc_id")
-def dict_semi_join_roots(spark: SparkSession, sf: str) -> DataFrame:
-    roots = ENTRIES.table(spark).where("mode = 'substring'")
-    return match.semi_join_roots(_doc_words(spark, sf), roots).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, {_norm('w')} AS norm FROM {_DOC_WORDS}) WHERE norm IN ({', '.join(repr(w) for w in ENTRIES.words)}) GROUP BY doc_id")
-def dict_semi_join_words(spark: SparkSession, sf: str) -> DataFrame:
-    whole = ENTRIES.table(spark).where("mode = 'whole'")
-    return match.semi_join_words(_doc_words(spark, sf), whole).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(
-    f"SELECT conv_id, turn, ix, concat(CASE WHEN {_listed('norm')} THEN '  [*] ' ELSE '      ' END, '[', ix * {WORD_MS}, '-', (ix + 1) * {WORD_MS}, ' ms] ', text) AS line "
-    f"FROM (SELECT conv_id, turn, ix, text, {_norm('text')} AS norm FROM {W})"
-)
-def transcript_lines(spark: SparkSession, sf: str) -> DataFrame:
-    w = match.flag(_words(spark, sf), ENTRIES)
-    return w.select("conv_id", "turn", F.col("ix").cast("bigint").alias("ix"), tx.flag_line(F.col("text"), F.col("start_ms"), F.col("end_ms"), F.col("flagged")).alias("line"))
-
-
-_MARGIN = 40
-_TOTAL = f"(max(ix + 1) OVER (PARTITION BY conv_id, turn)) * {WORD_MS * RATE // 1000}"
-
-
-@query(_merge_sql(
-    f"SELECT conv_id, turn, greatest(0, least(((ix * {WORD_MS} - {_MARGIN}) * {RATE}) // 1000, total)) AS s, greatest(0, least((((ix + 1) * {WORD_MS} + {_MARGIN}) * {RATE}) // 1000, total)) AS e "
-    f"FROM (SELECT *, {_norm('text')} AS norm, {_TOTAL} AS total FROM {W}) WHERE {_listed('norm')}", "conv_id, turn"))
-def word_ranges_merged(spark: SparkSession, sf: str) -> DataFrame:
-    """The flagship: listed words of transcripts as merged sample ranges."""
-    w = _words(spark, sf)
-    size = _table(spark, sf, "conversations").select("conv_id", "turn", (F.size(F.split("text", " ")).cast("bigint") * (WORD_MS * RATE // 1000)).alias("num_samples"))
-    w = w.join(size, ["conv_id", "turn"]).withColumn("sample_rate", F.lit(RATE))
-    return ranges.from_words(w, ENTRIES, _MARGIN, ("conv_id", "turn"))
-
-
-_PAD = 1_800_000
-
-
-@query(_merge_sql(f"SELECT user_id, ms - {_PAD} AS s, ms + {_PAD} AS e FROM {EV}", "user_id"))
-def event_ranges_merged(spark: SparkSession, sf: str) -> DataFrame:
-    r = _events(spark, sf).select("user_id", (F.col("ms") - _PAD).alias("start"), (F.col("ms") + _PAD).alias("end"))
-    return ranges.merge(r, ["user_id"])
-
-
-@query(_merge_sql(f"SELECT user_id, ms - {_PAD} AS s, ms + {_PAD} AS e FROM {EV} UNION ALL SELECT DISTINCT user_id, 0 AS s, 90000000 AS e FROM events", "user_id"))
-def manual_union_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    e = _events(spark, sf)
-    manual = e.select("user_id").distinct().select("user_id", F.lit(0).cast("bigint").alias("start"), F.lit(90_000_000).cast("bigint").alias("end"))
-    return ranges.union_merge(manual, e.select("user_id", (F.col("ms") - _PAD).alias("start"), (F.col("ms") + _PAD).alias("end")), ["user_id"])
-
-
-_HOUR = 21_600_000
-
-
-@query(
-    f"WITH c AS (SELECT DISTINCT user_id, (ms // {_HOUR}) * {_HOUR} AS lo, (ms // {_HOUR} + 1) * {_HOUR} AS hi FROM {EV}), r AS (SELECT user_id, event_id, ms AS s, ms + 7200000 AS e FROM {EV}) "
-    "SELECT user_id, CAST(lo AS BIGINT) AS lo, count(*) AS n, CAST(sum(least(e, hi) - greatest(s, lo)) AS BIGINT) AS overlap FROM c JOIN r USING (user_id) WHERE s < hi AND e > lo GROUP BY user_id, lo"
-)
-def overlap_join_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    e = _events(spark, sf)
-    c = e.select("user_id", (F.floor(F.col("ms") / _HOUR) * _HOUR).alias("lo")).distinct().withColumn("hi", F.col("lo") + _HOUR)
-    r = e.select("user_id", "event_id", F.col("ms").alias("start"), (F.col("ms") + 7_200_000).alias("end"))
-    pairs = ranges.overlap_join(c, r, ["user_id"], _HOUR)
-    return pairs.groupBy("user_id", "lo").agg(F.count(F.lit(1)).alias("n"), F.sum(F.least("end", "hi") - F.greatest("start", "lo")).alias("overlap"))
-
-
-@query(
-    f"""
-WITH w AS (SELECT conv_id, turn, ix, text FROM {W}),
-t AS (SELECT conv_id, turn, ix, 0 AS part, ' ' || substr(text, 1, 3) AS s FROM w UNION ALL SELECT conv_id, turn, ix, 1, substr(text, 4) FROM w WHERE length(text) > 3),
-u AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY ix, part) - 1 AS n FROM t),
-v AS (SELECT *, sum(CASE WHEN s[1] IN (' ', chr(10)) OR n = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY n ROWS UNBOUNDED PRECEDING) AS word FROM u),
-g AS (SELECT conv_id, turn, word, string_agg(regexp_replace(s, '^[ \\n]+', ''), '' ORDER BY n) AS text, min(n) * 200 AS start_ms, max(n) * 200 + 200 AS end_ms, avg((n % 7) / 8.0) AS p FROM v GROUP BY conv_id, turn, word)
-SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY word) - 1 AS INTEGER) AS word_ix, text, CAST(start_ms AS BIGINT) AS start_ms, CAST(end_ms AS BIGINT) AS end_ms, round(p, 6) AS probability
-FROM g WHERE text <> ''
-"""
-)
-def token_to_word(spark: SparkSession, sf: str) -> DataFrame:
-    w = _words(spark, sf)
-    parts = F.array(F.struct(F.lit(0).alias("part"), F.concat(F.lit(" "), F.substring("text", 1, 3)).alias("text")), F.struct(F.lit(1).alias("part"), F.expr("substring(text, 4)").alias("text")))
-    long_ = F.filter(parts, lambda p: (p["part"] == 0) | (F.length("text") > 3))
-    t = w.select("conv_id", "turn", "ix", F.explode(long_).alias("t")).select("conv_id", "turn", "ix", "t.part", "t.text")
-    n = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("ix", "part")) - 1
-    t = t.withColumn("token_ix", n).withColumns({"segment_ix": F.lit(0), "token_id": F.lit(5), "t0_cs": F.col("token_ix").cast("bigint") * 20, "t1_cs": F.col("token_ix").cast("bigint") * 20 + 20, "p": (F.col("token_ix") % 7) / 8.0})
-    out = tokens.to_words(t, 50_257, ("conv_id", "turn"))
-    return out.withColumn("probability", F.round("probability", 6))
-
-
-_SPECS = ("100-250.9", "5-", "-7-9", "x-12", "nodash")
-
-
-@query("SELECT * FROM (VALUES ('100-250.9', 100, 250), ('5-', 5, 0), ('-7-9', 0, 7), ('x-12', 0, 12), ('nodash', NULL, NULL)) t(spec, start_ms, end_ms)".replace("100, 250)", "CAST(100 AS BIGINT), CAST(250 AS BIGINT))"))
-def parse_range_specs(spark: SparkSession, sf: str) -> DataFrame:
-    r = spark.createDataFrame([(s,) for s in _SPECS], "spec string").withColumn("r", tx.parse_range(F.col("spec")))
-    return r.select("spec", "r.start_ms", "r.end_ms")
-
-
-@query("SELECT url, regexp_extract(url, '^(.*[/\\\\])', 1) AS folder, regexp_replace(url, '(?i)\\.[^./\\\\]*$', '') || '_clean.wav' AS output FROM pages")
-def path_names(spark: SparkSession, sf: str) -> DataFrame:
-    return _table(spark, sf, "pages").select("url", tx.directory(F.col("url")).alias("folder"), tx.clean_name(F.col("url")).alias("output"))
-
-
-# ---- levels -------------------------------------------------------------------------------------------------------
-
-_DB = "20 * log10(greatest(abs(x), 1e-12))"
-
-
-@query(
-    f"SELECT vec_id, CAST(i AS INTEGER) AS i, round({_DB}, 4) AS db, round(pow(10, {_DB} * 0.05), 6) AS gain, round(1 / (1 + exp(-x)), 6) AS p, round(-0.691 + 10 * log10(x * x + 1e-12), 4) AS lufs, round(exp(-1 / ((i + 1) * 0.001 * 16000)), 6) AS k, "
-    f"round(0.5 * (1 + cos(x * pi())), 6) AS w, round(CASE WHEN abs(x) < 1e-9 THEN 1 ELSE sin(x * pi()) / (x * pi()) END, 6) AS s FROM {S}"
-)
-def level_functions(spark: SparkSession, sf: str) -> DataFrame:
-    x = F.col("x")
-    db = lv.gain_to_db(F.abs(x))
-    return _samples(spark, sf).select(
-        "vec_id", "i", F.round(db, 4).alias("db"), F.round(lv.db_to_gain(db), 6).alias("gain"), F.round(lv.sigmoid(x), 6).alias("p"), F.round(lv.block_loudness(x * x), 4).alias("lufs"),
-        F.round(lv.smoothing((F.col("i") + 1).cast("double"), F.lit(16000.0)), 6).alias("k"), F.round(lv.centred_hann(x), 6).alias("w"), F.round(lv.sinc(x), 6).alias("s"),
-    )
-
-
-@query(f"SELECT event_id, CAST(((ms % 1000000) * 44100) // 1000 AS BIGINT) AS at, CAST(greatest(0, least(((ms % 1000000) * 44100) // 1000, 20000000)) AS BIGINT) AS held, CAST(1 + ceil(abs(ms % 1000000) / 256.0) AS BIGINT) AS frames FROM {EV}")
-def sample_positions(spark: SparkSession, sf: str) -> DataFrame:
-    ms = F.col("ms") % 1_000_000
-    at = lv.ms_to_samples(ms, F.lit(44_100))
-    return _events(spark, sf).select("event_id", at.alias("at"), lv.clamp_index(at, F.lit(20_000_000).cast("bigint")).alias("held"), lv.frame_count(F.abs(ms), 256).alias("frames"))
-
-
-@query("SELECT vec_id, round(CASE WHEN p > 0 THEN 20 * log10(p) ELSE -100 END, 4) AS true_peak_db FROM (SELECT vec_id, CAST(list_max(list_transform(embedding, lambda x: abs(x))) AS DOUBLE) AS p FROM embeddings)")
-def true_peak_db(spark: SparkSession, sf: str) -> DataFrame:
-    c = _signals(spark, sf).select(F.col("vec_id").alias("asset_id"), "samples")
-    return signal.true_peak(c).select(F.col("asset_id").alias("vec_id"), F.round("true_peak_db", 4).alias("true_peak_db"))
-
-
-@query(f"SELECT label, CAST(i AS INTEGER) AS i, round(avg(x), 6) AS value FROM {S} GROUP BY label, i")
-def mixdown(spark: SparkSession, sf: str) -> DataFrame:
-    m = signal.mixdown(_samples(spark, sf), ("label",), "i", "x")
-    return m.select("label", "i", F.round("x", 6).alias("value"))
-
-
-_HOP = 8
-_BLOCKS = f"""h AS (SELECT vec_id, i // {_HOP} AS hop, sum(x * x) AS e, count(DISTINCT i) AS n FROM {S} GROUP BY ALL),
-b AS (SELECT vec_id, hop, sum(e) OVER w AS e, sum(n) OVER w AS n FROM h WINDOW w AS (PARTITION BY vec_id ORDER BY hop ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
-m AS (SELECT vec_id, hop AS block, e / {4 * _HOP} AS mean_square FROM b WHERE n = {4 * _HOP})"""
-
-
-def _blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return loudness.blocks(loudness.hop_sums(_samples(spark, sf), _HOP, ("vec_id",), "i", "x"), _HOP, ("vec_id",))
-
-
-@query(f"WITH {_BLOCKS} SELECT vec_id, CAST(block AS BIGINT) AS block, round(mean_square, 7) AS mean_square FROM m")
-def block_mean_square(spark: SparkSession, sf: str) -> DataFrame:
-    return _blocks(spark, sf).select("vec_id", "block", F.round("mean_square", 7).alias("mean_square"))
-
-
-_GATED = f"""WITH {_BLOCKS}, l AS (SELECT *, -0.691 + 10 * log10(mean_square + 1e-12) AS loudness FROM m),
-a AS (SELECT *, -0.691 + 10 * log10(avg(CASE WHEN loudness >= -70 THEN mean_square END) OVER (PARTITION BY vec_id)) - 10 AS least FROM l),
-g AS (SELECT vec_id, coalesce(-0.691 + 10 * log10(avg(CASE WHEN loudness >= -70 AND loudness >= least THEN mean_square END)), -100) AS lufs FROM a GROUP BY vec_id)"""
-
-
-@query(f"{_GATED} SELECT vec_id, round(lufs, 4) AS lufs, round(greatest(-24, least(24, -16 - lufs)), 4) AS gain_db FROM g")
-def gated_loudness(spark: SparkSession, sf: str) -> DataFrame:
-    g = loudness.gated(_blocks(spark, sf), ("vec_id",))
-    return g.select("vec_id", F.round("lufs", 4).alias("lufs"), F.round(loudness.mastering_gain_db(F.col("lufs")), 4).alias("gain_db"))
-
-
-# ---- dynamics, gate, censor ---------------------------------------------------------------------------------------
-
-
-@query(f"SELECT vec_id, CAST(i AS INTEGER) AS i, round(max(abs(x)) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING), 6) AS peak FROM {S}")
-def lookahead_max(spark: SparkSession, sf: str) -> DataFrame:
-    return _samples(spark, sf).select("vec_id", "i", F.round(dynamics.lookahead_peak(5, ("vec_id",), "i", "x"), 6).alias("peak"))
-
-
-_CEIL, _REL = 0.1, 0.25
-
-
-@query(
-    f"""
-WITH RECURSIVE p AS (SELECT vec_id, i, x, max(abs(x)) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS peak FROM {S}),
-d AS (SELECT vec_id, i, x, CASE WHEN peak > {_CEIL} THEN {_CEIL} / peak ELSE 1.0 END AS d FROM p),
-c AS (SELECT vec_id, i, x, least(d, {1 - _REL} + {_REL} * d) AS g FROM d WHERE i = 0 UNION ALL SELECT d.vec_id, d.i, d.x, least(d.d, {1 - _REL} * c.g + {_REL} * d.d) FROM c JOIN d ON d.vec_id = c.vec_id AND d.i = c.i + 1)
-SELECT vec_id, round(min(g), 6) AS least_gain, round(20 * log10(greatest(min(g), 1e-12)), 4) AS reduction_db, round(sum(x * g), 5) AS total FROM c GROUP BY vec_id
-"""
-)
-def limiter_apply(spark: SparkSession, sf: str) -> DataFrame:
-    s = _signals(spark, sf)
-    n = F.size("samples")
-    ahead = F.transform("samples", lambda x, i: F.array_max(F.transform(F.slice("samples", i + 1, F.least(F.lit(6), n - i)), lambda y: F.abs(y.cast("double")))))
-    g = dynamics.release_fold(F.transform(ahead, lambda p: dynamics.wanted_gain(p, _CEIL)), _REL)
-    s = s.withColumn("g", g)
-    total = F.aggregate(F.zip_with("samples", "g", lambda x, g: x.cast("double") * g), F.lit(0.0), lambda a, b: a + b)
-    return s.select("vec_id", F.round(F.array_min("g"), 6).alias("least_gain"), F.round(lv.gain_to_db(F.array_min("g")), 4).alias("reduction_db"), F.round(total, 5).alias("total"))
-
-
-_HELD = f"SELECT user_id, event_id, max(value >= 90) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS speech FROM {EV}"
-
-
-def _held(spark: SparkSession, sf: str) -> DataFrame:
-    e = _events(spark, sf).withColumn("at", F.struct("ts", "event_id"))
-    return e.withColumn("speech", speech.hold_open(F.col("value"), 90.0, 5, ("user_id",), "at"))
-
-
-@query(_HELD)
-def hold_gate(spark: SparkSession, sf: str) -> DataFrame:
-    return _held(spark, sf).select("user_id", "event_id", "speech")
-
-
-@query(f"SELECT user_id, count(*) AS frames, round(avg(CASE WHEN speech THEN 1.0 ELSE 0.0 END), 6) AS speech_ratio FROM ({_HELD}) GROUP BY user_id")
-def speech_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    return _held(spark, sf).groupBy("user_id").agg(F.count(F.lit(1)).alias("frames"), F.round(F.avg(F.col("speech").cast("double")), 6).alias("speech_ratio"))
-
-
-_SPREAD = f"""WITH f AS (SELECT vec_id, i, x, coalesce(lead(x) OVER (PARTITION BY vec_id ORDER BY i), x) AS y FROM {S}),
-e AS (SELECT vec_id, i * 4 + o AS sample_ix, x + (y - x) * o / 4.0 AS gain FROM f, (SELECT unnest(range(0, 4)) AS o) WHERE i * 4 + o < 250)"""
-
-
-@query(f"{_SPREAD} SELECT vec_id, CAST(sample_ix AS BIGINT) AS sample_ix, round(gain, 6) AS gain FROM e")
-def envelope_interpolate(spark: SparkSession, sf: str) -> DataFrame:
-    f = _samples(spark, sf).select("vec_id", F.col("i").alias("frame_ix"), F.col("x").alias("level"), F.lit(250).alias("num_samples"))
-    return speech.spread(f, 4, ("vec_id",)).select("vec_id", "sample_ix", F.round("gain", 6).alias("gain"))
-
-
-@query(f"{_SPREAD} SELECT vec_id, round(avg(CASE WHEN gain < 0.05 THEN 1.0 ELSE 0.0 END), 6) AS silenced, CAST(count(*) AS BIGINT) AS n FROM e GROUP BY vec_id")
-def silenced_share(spark: SparkSession, sf: str) -> DataFrame:
-    f = _samples(spark, sf).select("vec_id", F.col("i").alias("frame_ix"), F.col("x").alias("level"), F.lit(250).alias("num_samples"))
-    return speech.spread(f, 4, ("vec_id",)).groupBy("vec_id").agg(F.round(F.avg((F.col("gain") < 0.05).cast("double")), 6).alias("silenced"), F.count(F.lit(1)).alias("n"))
-
-
-@query(f"SELECT vec_id, CAST(i AS INTEGER) AS i, round(x * (0.5 + (i % 4) / 8.0), 6) AS value FROM {S} WHERE i < 40")
-def envelope_multiply(spark: SparkSession, sf: str) -> DataFrame:
-    e = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: 0.5 + (i % 4) / 8.0)
-    s = _signals(spark, sf).select("vec_id", F.posexplode(signal.multiplied(F.transform("samples", lambda x: x.cast("double")), e)).alias("i", "value"))
-    return s.select("vec_id", "i", F.round("value", 6).alias("value"))
-
-
-_RATE = 1000.0  # of the embeddings as signals; a fade of 5 ms is 5 samples
-_RANGES = "(SELECT vec_id, 4 + vec_id % 5 AS s, 30 + vec_id % 11 AS e FROM embeddings UNION ALL SELECT vec_id, 50 AS s, 50 + vec_id % 4 AS e FROM embeddings WHERE vec_id % 4 > 0)"
-
-
-def _chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Embeddings as two chunk rows each."""
-    s = _signals(spark, sf)
-    half = F.explode(F.array(*[F.struct(F.lit(i).alias("chunk_ix"), F.lit(32 * i).cast("bigint").alias("start_sample"), F.slice("samples", 32 * i + 1, 32).alias("samples")) for i in (0, 1)]))
-    return s.select(F.col("vec_id").cast("string").alias("asset_id"), F.lit(0).alias("channel"), half.alias("c")).select("asset_id", "channel", "c.*")
-
-
-def _ranges(spark: SparkSession, sf: str) -> DataFrame:
-    v = _signals(spark, sf).select("vec_id")
-    one = v.select(F.col("vec_id").cast("string").alias("asset_id"), (4 + F.col("vec_id") % 5).alias("start"), (30 + F.col("vec_id") % 11).alias("end"))
-    return one.unionByName(v.where("vec_id % 4 > 0").select(F.col("vec_id").cast("string").alias("asset_id"), F.lit(50).cast("bigint").alias("start"), (50 + F.col("vec_id") % 4).alias("end")))
-
-
-def _censor_sql(wet: str) -> str:
-    return f"""
-WITH r AS (SELECT vec_id, s, e, least(5, (e - s) // 2) AS fade FROM {_RANGES}),
-j AS (SELECT p.vec_id, p.i, p.x, r.s, r.e, r.fade, sqrt(avg(p.x * p.x) OVER (PARTITION BY p.vec_id, r.s)) AS rms FROM {S} p LEFT JOIN r ON r.vec_id = p.vec_id AND r.s <= p.i AND p.i < r.e),
-k AS (SELECT *, CASE WHEN fade > 0 AND i - s < fade THEN (i - s) / fade WHEN fade > 0 AND e - i <= fade THEN (e - i) / fade ELSE 1.0 END AS env FROM j)
-SELECT CAST(vec_id AS VARCHAR) AS asset_id, CAST(i AS BIGINT) AS sample_ix, round(CASE WHEN s IS NULL THEN x ELSE x * (1 - env) + ({wet}) * env END, 2) + 0.0 AS value FROM k
-"""
-
-
-def _censored(spark: SparkSession, sf: str, mode: str) -> DataFrame:
-    out = censor.censored(_chunks(spark, sf), _ranges(spark, sf), _RATE, mode, hz=125.0, width=16)
-    return signal.exploded(out).select("asset_id", "sample_ix", (F.round(F.col("value").cast("double"), 2) + 0.0).alias("value"))
-
-
-@query(_censor_sql("0.0"))
-def censor_mute(spark: SparkSession, sf: str) -> DataFrame:
-    return _censored(spark, sf, "mute")
-
-
-@query(_censor_sql("least(0.95, greatest(0.05, 2 * rms)) * sin(2 * pi() * 125 / 1000 * (i - s))"))
-def censor_beep(spark: SparkSession, sf: str) -> DataFrame:
-    return _censored(spark, sf, "beep")
-
-
-_GAIN = "CASE WHEN value > 0 AND 20 * log10(greatest(value / 100, 1e-12)) > -18 THEN pow(10, (-18 + (20 * log10(greatest(value / 100, 1e-12)) + 18) / 3.0 - 20 * log10(greatest(value / 100, 1e-12))) * 0.05) ELSE 1.0 END"
-
-
-@query(f"SELECT event_id, round({_GAIN}, 6) AS gain, round(least(0.8912509381337456, greatest(-0.8912509381337456, value / 50)), 6) AS clipped FROM events")
-def compressor_curve(spark: SparkSession, sf: str) -> DataFrame:
-    v = F.col("value")
-    return _events(spark, sf).select("event_id", F.round(dynamics.compressor_gain(v / 100), 6).alias("gain"), F.round(dynamics.hard_clip(v / 50), 6).alias("clipped"))
-
-
-# ---- spectra ------------------------------------------------------------------------------------------------------
-
-_DFT = f"""WITH k AS (SELECT unnest(range(0, 33)) AS k), d AS (SELECT vec_id, k, sum(x * cos(2 * pi() * ((k * i) % 64) / 64)) AS re, -sum(x * sin(2 * pi() * ((k * i) % 64) / 64)) AS im FROM {S}, k GROUP BY vec_id, k),
-w AS (SELECT vec_id, k, re * re + im * im AS p FROM d)"""
-
-
-def _power(spark: SparkSession, sf: str) -> DataFrame:
-    re, im = spectral.dft(F.col("samples"), 64)
-    return _signals(spark, sf).select("vec_id", re.alias("re"), im.alias("im")).select("vec_id", spectral.power(F.col("re"), F.col("im")).alias("p"), spectral.magnitude(F.col("re"), F.col("im")).alias("m"))
-
-
-@query(f"{_DFT} SELECT vec_id, CAST(k AS INTEGER) AS bin, round(p, 4) AS power, round(sqrt(p), 4) AS magnitude FROM w")
-def spectral_power(spark: SparkSession, sf: str) -> DataFrame:
-    return _power(spark, sf).select("vec_id", F.posexplode(F.arrays_zip("p", "m")).alias("bin", "z")).select("vec_id", "bin", F.round("z.p", 4).alias("power"), F.round("z.m", 4).alias("magnitude"))
-
-
-_FRAME = f"""{_DFT}, f AS (SELECT vec_id, exp(avg(ln(p + 1e-12))) / (avg(p) + 1e-12) AS flat, 10 * log10((sum(p) + 1e-12) / (33 * 0.25 + 1e-12)) AS snr FROM w GROUP BY vec_id)"""
-
-
-@query(f"{_FRAME} SELECT vec_id, round(flat, 5) AS flatness, round(snr, 4) AS snr_db, round(least(1, greatest(0, 1 / (1 + exp(-(snr - 6) / 4)) * (0.35 + 0.65 * least(1, greatest(0, (0.7 - flat) / 0.5))))), 5) AS probability FROM f")
-def frame_activity(spark: SparkSession, sf: str) -> DataFrame:
-    noise = F.transform("p", lambda _: F.lit(0.5))
-    f = _power(spark, sf).select("vec_id", spectral.flatness(F.col("p")).alias("flat"), spectral.snr_db(F.col("p"), noise).alias("snr"))
-    return f.select("vec_id", F.round("flat", 5).alias("flatness"), F.round("snr", 4).alias("snr_db"), F.round(speech.speech_probability(F.col("snr"), F.col("flat")), 5).alias("probability"))
-
-
-@query(f"SELECT vec_id, CAST(i AS INTEGER) AS bin, round(0.25 * coalesce(lag(x) OVER w, x) + 0.5 * x + 0.25 * coalesce(lead(x) OVER w, x), 6) AS value FROM {S} WINDOW w AS (PARTITION BY vec_id ORDER BY i)")
-def freq_smooth3(spark: SparkSession, sf: str) -> DataFrame:
-    x = F.transform("samples", lambda v: v.cast("double"))
-    return _signals(spark, sf).select("vec_id", x.alias("x")).select("vec_id", F.posexplode(spectral.smooth3(F.col("x"))).alias("bin", "v")).select("vec_id", "bin", F.round("v", 6).alias("value"))
-
-
-@query(f"SELECT vec_id, CAST(i AS BIGINT) AS sample_ix, round(x, 4) + 0.0 AS value FROM {S}")
-def stft_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Framing, window, overlap join and normalisation give the signal back."""
-    g = spectral.Stft(4, 4)
-    s = _signals(spark, sf)
-    w, n = F.array(*[F.lit(float(x)) for x in g.window]), F.size("samples")
-    frame = F.explode(F.transform(F.sequence(F.lit(0), F.lit(g.frames(64) - 1)), lambda f: F.struct(f.alias("frame_ix"), F.transform(F.sequence(F.lit(0), F.lit(g.size - 1)), lambda k: _at(F.col("samples"), f * g.hop - g.half + k, n) * F.get(w, k)).alias("points"))))
-    frames = s.select(F.col("vec_id").alias("asset_id"), F.lit(0).alias("channel"), frame.alias("f")).select("asset_id", "channel", "f.frame_ix", "f.points")
-    out = spectral.overlap_add(frames, g, s.select(F.col("vec_id").alias("asset_id"), n.alias("num_samples")))
-    return out.select(F.col("asset_id").alias("vec_id"), "sample_ix", (F.round("value", 4) + 0.0).alias("value"))
-
-
-def _at(x: Column, i: Column, n: Column) -> Column:
-    return F.when((i >= 0) & (i < n), F.get(x, i).cast("double")).otherwise(F.lit(0.0))
-
-
-@query("SELECT CAST(i AS INTEGER) AS i, round(0.5 * (1 - cos(2 * pi() * i / 64)), 6) AS w FROM (SELECT unnest(range(0, 64)) AS i)")
-def hann_window(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(1).select(F.posexplode(lv.hann(64)).alias("i", "w")).select("i", F.round("w", 6).alias("w"))
-
-
-_RATES = (16_000, 44_100, 48_000)
-
-
-@query(
-    "WITH r AS (SELECT unnest([16000, 44100, 48000]) AS rate), s AS (SELECT rate, tan(pi() * 1681.974450955533 / rate) AS k, pow(10, 3.999843853973347 / 20) AS v, pow(pow(10, 3.999843853973347 / 20), 0.4996667741545416) AS b, 0.7071752369554196 AS q FROM r), "
-    "h AS (SELECT rate, tan(pi() * 38.13547087602444 / rate) AS k, 0.5003270373238773 AS q FROM r) "
-    "SELECT s.rate, round((v + b * s.k / s.q + s.k * s.k) / (1 + s.k / s.q + s.k * s.k), 8) AS shelf_b0, round(2 * (s.k * s.k - 1) / (1 + s.k / s.q + s.k * s.k), 8) AS shelf_a1, "
-    "round(1 / (1 + h.k / h.q + h.k * h.k), 8) AS cut_b0, round((1 - h.k / h.q + h.k * h.k) / (1 + h.k / h.q + h.k * h.k), 8) AS cut_a2 FROM s JOIN h USING (rate)"
-)
-def k_weighting_design(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(r, round(loudness.high_shelf(r).b0, 8), round(loudness.high_shelf(r).a1, 8), round(loudness.low_cut(r).b0, 8), round(loudness.low_cut(r).a2, 8)) for r in _RATES]
-    return spark.createDataFrame(rows, "rate int, shelf_b0 double, shelf_a1 double, cut_b0 double, cut_a2 double")
-
-
-_HPF = high_pass(1000.0, 80.0)
-
-
-@query(
-    f"""
-WITH RECURSIVE s AS {S},
-y AS (SELECT vec_id, i, {_HPF.b0!r} * x AS y, {_HPF.b1!r} * x - {_HPF.a1!r} * ({_HPF.b0!r} * x) AS z1, {_HPF.b2!r} * x - {_HPF.a2!r} * ({_HPF.b0!r} * x) AS z2 FROM s WHERE i = 0
-UNION ALL SELECT s.vec_id, s.i, {_HPF.b0!r} * x + z1, {_HPF.b1!r} * x - {_HPF.a1!r} * ({_HPF.b0!r} * x + z1) + z2, {_HPF.b2!r} * x - {_HPF.a2!r} * ({_HPF.b0!r} * x + z1) FROM y JOIN s ON s.vec_id = y.vec_id AND s.i = y.i + 1)
-SELECT CAST(vec_id AS VARCHAR) AS asset_id, CAST(i AS BIGINT) AS sample_ix, round(y, 2) + 0.0 AS value FROM y
-"""
-)
-def high_pass_filter(spark: SparkSession, sf: str) -> DataFrame:
-    out = filtered(_chunks(spark, sf), lambda: [Biquad(high_pass(1000.0, 80.0))])
-    return signal.exploded(out).select("asset_id", "sample_ix", (F.round(F.col("value").cast("double"), 2) + 0.0).alias("value"))
-
-
-# ---- whole stages (no SQL form; held against fixtures in the tests) --------------------------------------------------
-
-
-def _long_signals(spark: SparkSession, sf: str) -> DataFrame:
-    """Embeddings of a label in a row: one recording a label, a chunk row an embedding."""
-    ix = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    s = _signals(spark, sf).withColumn("chunk_ix", ix)
-    return s.select(F.concat(F.lit("label-"), F.col("label").cast("string")).alias("asset_id"), F.lit(0).alias("channel"), "chunk_ix", (F.col("chunk_ix").cast("bigint") * 64).alias("start_sample"), "samples")
-
-
-@query()
-def resample_signals(spark: SparkSession, sf: str) -> DataFrame:
-    return spectral.resampled(_signals(spark, sf).select("vec_id", "samples"), 48_000.0, 16_000.0)
-
-
-@query()
-def voice_activity(spark: SparkSession, sf: str) -> DataFrame:
-    m = spectral.frames(_long_signals(spark, sf), spectral.Stft(6, 4), magnitudes=True)
-    return speech.voice_activity(m).select("asset_id", "frame_ix", "probability")
-
-
-@query()
-def denoise(spark: SparkSession, sf: str) -> DataFrame:
-    s = speech.DenoiseSettings(order=6)
-    return speech.non_speech_ratio(speech.denoised(_long_signals(spark, sf), s))
-
-
-@query()
-def silence_non_speech(spark: SparkSession, sf: str) -> DataFrame:
-    _, envelope = speech.silenced(_long_signals(spark, sf), 16_000.0, speech.GateSettings(order=6))
-    return speech.silenced_ratio(envelope)
-
-
-@query()
-def streaming_chain_batch(spark: SparkSession, sf: str) -> DataFrame:
-    b = _long_signals(spark, sf).select(F.col("asset_id").alias("stream_id"), F.col("chunk_ix").cast("bigint").alias("block_seq"), F.col("samples").alias("left"), F.col("samples").alias("right"))
-    return chain.batch(b, 48_000.0)
+from sonorant.plans import signal_queries, word_queries
+from sonorant.plans.catalogue import ORACLES, QUERIES
 
+word_ranges_merged = word_queries.word_ranges_merged
 
-@query()
-def pipeline_report(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = _long_signals(spark, sf)
-    assets = chunks.groupBy("asset_id").agg(F.lit(16_000).alias("sample_rate"), F.sum(F.size("samples")).cast("bigint").alias("num_samples"))
-    o = PipelineOptions(censor=True, ranges=("10-30",), denoise_settings=speech.DenoiseSettings(order=6))
-    return run(chunks, assets, 16_000.0, o).report
+__all__ = ["ORACLES", "QUERIES", "signal_queries", "word_queries", "word_ranges_merged"]

@@ -6,15 +6,18 @@ of the bytes and samples are decoded chunk row by chunk row; what is not needed
 
 from __future__ import annotations
 
+import os
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sonorant.functions.text import clean_name
 from sonorant.schemas import ASSETS, CHUNK, PCM_CHUNKS
 
 NOT_RIFF = "not a RIFF/WAVE file"
@@ -94,6 +97,24 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_assets(spark: SparkSession, path: str) -> DataFrame:
     """One row a file, with `error` for those that are no readable WAV."""
+    return described(_files(spark, path).select("path", "content"))
+
+
+def read_chunks(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
+    """Chunk rows of all readable files; `read_assets` has the errors of the others."""
+    return decoded(_files(spark, path).select("path", "content"), chunk)
+
+
+def _one_by_one(df: DataFrame) -> DataFrame:
+    """A file is a row; a worker gets a few megabytes of them at a time, or one."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 64), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        if not 0 < int(df.sparkSession.conf.get(key).rstrip("b")) <= most:
+            df.sparkSession.conf.set(key, most)
+    return df
+
+
+def described(files: DataFrame) -> DataFrame:
+    """ASSETS and `error` of files (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -106,11 +127,11 @@ def read_assets(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((name, name, None, None, None, None, None, str(e)))
             yield pd.DataFrame(rows, columns=[*[c.split()[0] for c in ASSETS.split(", ")], "error"]).astype({"sample_rate": "Int32", "channels": "Int32", "num_samples": "Int64", "bits": "Int32", "is_float": "boolean"})
 
-    return _files(spark, path).select("path", "content").mapInPandas(run, ASSETS + ", error string")
+    return _one_by_one(files).mapInPandas(run, ASSETS + ", error string")
 
 
-def read_chunks(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
-    """Chunk rows of all readable files; `read_assets` has the errors of the others."""
+def decoded(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """PCM_CHUNKS of files (path, content); what is no readable WAV has none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -123,7 +144,7 @@ def read_chunks(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame
                     x = decode(w, first, min(chunk, w.samples - first))
                     yield pd.DataFrame({"asset_id": name, "channel": range(w.channels), "chunk_ix": i, "start_sample": first, "samples": list(x)})
 
-    return _files(spark, path).select("path", "content").mapInPandas(run, PCM_CHUNKS)
+    return _one_by_one(files).mapInPandas(run, PCM_CHUNKS)
 
 
 def header(rate: int, channels: int, bits: int, samples: int) -> bytes:
@@ -163,33 +184,55 @@ def encoded(chunks: DataFrame, assets: DataFrame, bits: int = 16) -> DataFrame:
     return body.unionByName(assets.select("asset_id", "sample_rate", "channels", "num_samples").mapInPandas(heads, "asset_id string, part_ix int, content binary"))
 
 
-def write(chunks: DataFrame, assets: DataFrame, folder: str, bits: int = 16) -> DataFrame:
-    """Write each asset as <folder>/<name>_clean.wav through Hadoop-free file access of the executors' mount.
+def output_name(asset_id: Column, common: str) -> Column:
+    """The output's path below the output folder: the input's below the folder that all inputs have in common."""
+    return clean_name(F.substring(asset_id, F.lit(len(common) + 1), F.length(asset_id)))
+
+
+def common_folder(assets: DataFrame) -> str:
+    """The folder that all assets are in, with its last slash: what the first and the last path share."""
+    ends = assets.agg(F.min("asset_id"), F.max("asset_id")).first()
+    shared = os.path.commonprefix([x or "" for x in ends])
+    return shared[: shared.rfind("/") + 1]
+
+
+def check_names(assets: DataFrame, common: str) -> None:
+    """An error if two inputs would have one output."""
+    clash = assets.groupBy(output_name(F.col("asset_id"), common).alias("name")).agg(F.countDistinct("asset_id").alias("n")).where("n > 1").first()
+    if clash is not None:
+        raise WavError(f"{clash['n']} inputs have one output, {clash['name']}")
+
+
+def write(chunks: DataFrame, assets: DataFrame, folder: str, bits: int = 16, common: str | None = None) -> DataFrame:
+    """Write each asset as <folder>/<path below the common input folder>_clean.wav, through the executors' mount.
 
     folder must be one that all executors share. Pieces of an asset arrive in order and are appended as they come; the
-    file is renamed when complete, so that a lost executor leaves no half file. Returns asset_id, path, bytes.
+    file is renamed when complete, so that a lost executor leaves no half file. Inputs that would have one output are an
+    error. common: the input folder, where assets are a part of the inputs. Returns asset_id, path, bytes.
     """
-    import os
+    common = common_folder(assets) if common is None else common
+    check_names(assets, common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.makedirs(folder, exist_ok=True)
-        current, out, done = None, None, []
+        current, out, final, done = None, None, "", []
 
         def finish() -> None:
             if out is not None:
                 size = out.tell()
                 out.close()
-                os.replace(out.name, out.name.removesuffix(f".{os.getpid()}"))
-                done.append((current, out.name.removesuffix(f".{os.getpid()}"), size))
+                os.replace(out.name, final)
+                done.append((current, final, size))
 
         for b in batches:
-            for asset, content in zip(b["asset_id"], b["content"], strict=True):
+            for asset, name, content in zip(b["asset_id"], b["name"], b["content"], strict=True):
                 if asset != current:
                     finish()
-                    stem = os.path.splitext(os.path.basename(asset))[0]
-                    current, out = asset, open(f"{folder}/{stem}_clean.wav.{os.getpid()}", "wb")  # noqa: SIM115
+                    current, final = asset, f"{folder}/{name}"
+                    os.makedirs(os.path.dirname(final), exist_ok=True)
+                    out = open(f"{final}.{uuid.uuid4().hex}", "wb")  # noqa: SIM115
                 out.write(content)
         finish()
         yield pd.DataFrame(done, columns=["asset_id", "path", "bytes"])
 
-    return encoded(chunks, assets, bits).repartition("asset_id").sortWithinPartitions("asset_id", "part_ix").mapInPandas(run, "asset_id string, path string, bytes bigint")
+    named = encoded(chunks, assets, bits).withColumn("name", output_name(F.col("asset_id"), common))
+    return named.repartition("asset_id").sortWithinPartitions("asset_id", "part_ix").mapInPandas(run, "asset_id string, path string, bytes bigint")

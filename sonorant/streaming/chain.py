@@ -2,7 +2,10 @@
 
 Blocks of a stream carry a sequence number. A stateful processor keeps the state of each stream_id and, as blocks may
 come out of order, those that are ahead of their turn; a block that came already is dropped. The same code runs over a
-table in a batch, so both give the same samples however a signal is cut into blocks.
+table in a batch, so both give the same samples however a signal is cut into blocks. A block that more than `most_waiting`
+others wait for, or that does not come for `patience_ms` while others wait, counts as lost: the chain goes on with the
+next one that is there, and the lost one, should it come later, is dropped. Patience needs timers, with which Spark runs
+batches without data for as long as a query runs, so that one with availableNow would not end; it is off by default.
 """
 
 from __future__ import annotations
@@ -147,37 +150,74 @@ def batch(blocks: DataFrame, rate: float, settings: ChainSettings | None = None)
 class ChainProcessor(StatefulProcessor):
     """State for each stream: the chain's numbers, the next block's sequence number, blocks that wait for their turn."""
 
-    def __init__(self, settings: ChainSettings, rate: float, first: int = 0) -> None:
-        self.settings, self.rate, self.first = settings, rate, first
+    def __init__(self, settings: ChainSettings, rate: float, first: int = 0, patience_ms: int | None = None, most_waiting: int = 256) -> None:
+        self.settings, self.rate, self.first, self.patience_ms, self.most_waiting = settings, rate, first, patience_ms, most_waiting
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("chain", "next bigint, numbers array<double>")
+        self.timer = handle.getValueState("timer", "due bigint, next bigint")
         self.waiting = handle.getMapState("waiting", "block_seq bigint", "left array<float>, right array<float>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def _resume(self) -> tuple[Chain, int]:
         chain, turn = Chain(self.settings, self.rate), self.first
         if self.state.exists():
             turn, numbers = self.state.get()
             chain.load(np.asarray(numbers))
-        held = {}
-        for b in rows:
-            for seq, left, right in zip(b["block_seq"], b["left"], b["right"], strict=True):
-                if seq >= turn:
-                    held[int(seq)] = (left, right)
+        return chain, turn
+
+    def _run(self, name: str, chain: Chain, turn: int, held: dict, skip: bool) -> tuple[int, list[tuple]]:
+        """Blocks from the turn on, as far as they are there; with skip, lost ones before the next are passed over."""
         out = []
-        while turn in held or self.waiting.containsKey((turn,)):
-            if turn in held:
+        if skip and held and turn not in held:
+            turn = min(held)
+        while True:
+            while turn in held:
                 left, right = held.pop(turn)
-            else:
-                left, right = self.waiting.getValue((turn,))
-            if self.waiting.containsKey((turn,)):
-                self.waiting.removeKey((turn,))
-            left, right = chain.process(np.asarray(left, dtype=np.float32), None if right is None else np.asarray(right, dtype=np.float32))
-            out.append((key[0], turn, left, right))
-            turn += 1
-        for seq, (left, right) in held.items():
+                left, right = chain.process(np.asarray(left, dtype=np.float32), None if right is None else np.asarray(right, dtype=np.float32))
+                out.append((name, turn, left, right))
+                turn += 1
+            if len(held) <= self.most_waiting:
+                return turn, out
+            turn = min(held)
+
+    def _now(self, timers) -> int:
+        return 0 if self.patience_ms is None else timers.getCurrentProcessingTimeInMs()
+
+    def _finish(self, chain: Chain, turn: int, held: dict, before: set[int], now: int) -> None:
+        for seq in before - set(held):
+            self.waiting.removeKey((seq,))
+        for seq in set(held) - before:
+            left, right = held[seq]
             self.waiting.updateValue((seq,), ([float(x) for x in left], None if right is None else [float(x) for x in right]))
         self.state.update((turn, [float(x) for x in chain.save()]))
+        if self.patience_ms is None:
+            return
+        due = self.timer.get()[0] if self.timer.exists() else 0
+        if held and due <= now:  # one timer at a time; when it fires, what has waited since is passed over
+            self.timer.update((now + self.patience_ms, turn))
+            self.handle.registerTimer(now + self.patience_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        chain, turn = self._resume()
+        held = {int(k[0]): v for k, v in self.waiting.iterator()}
+        before = set(held)
+        for b in rows:
+            for seq, left, right in zip(b["block_seq"], b["left"], b["right"], strict=True):
+                if seq >= turn:
+                    held.setdefault(int(seq), (left, right))
+        turn, out = self._run(key[0], chain, turn, held, False)
+        self._finish(chain, turn, held, before, self._now(timerValues))
+        if out:
+            yield pd.DataFrame(out, columns=["stream_id", "block_seq", "left", "right"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        chain, turn = self._resume()
+        held = {int(k[0]): v for k, v in self.waiting.iterator()}
+        before = set(held)
+        late = self.timer.exists() and self.timer.get()[1] == turn  # no block came in its turn since the timer was set
+        turn, out = self._run(key[0], chain, turn, held, late)
+        self._finish(chain, turn, held, before, self._now(timerValues))
         if out:
             yield pd.DataFrame(out, columns=["stream_id", "block_seq", "left", "right"])
 
@@ -185,13 +225,14 @@ class ChainProcessor(StatefulProcessor):
         pass
 
 
-def stream(blocks: DataFrame, rate: float, settings: ChainSettings | None = None) -> DataFrame:
+def stream(blocks: DataFrame, rate: float, settings: ChainSettings | None = None, patience_ms: int | None = None, most_waiting: int = 256) -> DataFrame:
     """The chain over a streaming DataFrame of blocks (needs the RocksDB state store).
 
     Mono or stereo in is mono or stereo out, in append mode; there is no tail and no delayed output.
     """
     check_schema(blocks)
-    return blocks.select("stream_id", "block_seq", "left", "right").groupBy("stream_id").transformWithStateInPandas(statefulProcessor=ChainProcessor(settings or ChainSettings(), rate), outputStructType=STREAM_BLOCKS, outputMode="append", timeMode="none")
+    processor = ChainProcessor(settings or ChainSettings(), rate, patience_ms=patience_ms, most_waiting=most_waiting)
+    return blocks.select("stream_id", "block_seq", "left", "right").groupBy("stream_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=STREAM_BLOCKS, outputMode="append", timeMode="none" if patience_ms is None else "processingTime")
 
 
 def check_schema(blocks: DataFrame) -> None:

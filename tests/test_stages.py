@@ -132,6 +132,22 @@ def test_loudness(spark):
     assert got["short"] == got["quiet"] == -100.0
 
 
+@pytest.mark.parametrize("rate", [11_025, 22_050, 44_101])
+def test_loudness_at_odd_rates(spark, rate):
+    """Hops and blocks are rounded apart: a block need not be four hops."""
+    x = RNG.normal(0, 0.1, rate * 2)
+    hop, block = int(0.1 * rate + 0.5), int(0.4 * rate + 0.5)
+    weighted = joined(loudness.k_weighted(chunks(spark, {"a": [x]}, 5000), rate), "a")
+    squares = [float((weighted[i : i + block].astype(float) ** 2).mean()) for i in range(0, len(x) - block + 1, hop)]
+    rows = loudness.blocks(loudness.chunk_hop_sums(loudness.k_weighted(chunks(spark, {"a": [x]}, 5000), rate), hop, block), hop, block).orderBy("block").collect()
+    assert [r["mean_square"] for r in rows] == pytest.approx(squares, rel=1e-9)
+    assert -40 < loudness.integrated(chunks(spark, {"a": [x]}, 5000), float(rate)).first()["lufs"] < 0
+
+
+def test_sensitivity_is_held_within_bounds():
+    assert speech.VoiceActivity(7.0).sensitivity == 1.0 and speech.VoiceActivity(-1.0).sensitivity == 0.0
+
+
 def test_true_peak(spark):
     x = RNG.uniform(-1, 1, 5000)
     got = {r["asset_id"]: r["true_peak_db"] for r in signal.true_peak(chunks(spark, {"a": [x], "quiet": [np.zeros(10)]})).collect()}

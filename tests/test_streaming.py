@@ -65,6 +65,43 @@ def test_stream_with_late_blocks(spark, tmp_path):
     assert np.allclose(np.concatenate([r["right"] for r in got]), whole()[1], atol=1e-6)
 
 
+def test_stream_goes_on_after_a_lost_block(spark, tmp_path):
+    for i in (0, 2, 3, 4, 1):  # 1 comes after the others were done without it
+        at = 500 * i
+        spark.createDataFrame([("s", i, [float(v) for v in LEFT[at : at + 500]], None)], STREAM_BLOCKS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(STREAM_BLOCKS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = chain.stream(src, 48_000.0, most_waiting=1).writeStream.outputMode("append").format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    q.awaitTermination()
+    assert [r["block_seq"] for r in spark.read.parquet(str(tmp_path / "out")).orderBy("block_seq").collect()] == [0, 2, 3, 4]
+
+
+def test_stream_loses_patience(spark, tmp_path):
+    import time
+
+    for i in (0, 2):  # 1 never comes
+        at = 500 * i
+        spark.createDataFrame([("s", i, [float(v) for v in LEFT[at : at + 500]], None)], STREAM_BLOCKS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(STREAM_BLOCKS).parquet(str(tmp_path / "in"))
+    q = chain.stream(src, 48_000.0, patience_ms=1500).writeStream.outputMode("append").format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="500 milliseconds").start(str(tmp_path / "out"))
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            seen = [r["block_seq"] for r in spark.read.schema(STREAM_BLOCKS).parquet(str(tmp_path / "out")).collect()] if (tmp_path / "out").is_dir() else []
+            if len(seen) == 2:
+                break
+        assert sorted(seen) == [0, 2]
+    finally:
+        q.stop()
+
+
+def test_patience_passes_over_lost_blocks():
+    p, c = chain.ChainProcessor(chain.ChainSettings(), 48_000.0), chain.Chain(chain.ChainSettings(), 48_000.0)
+    held = {i: (LEFT[:10], None) for i in (3, 4, 6)}
+    assert p._run("s", c, 1, held, False) == (1, []) and len(held) == 3
+    turn, out = p._run("s", c, 1, held, True)
+    assert turn == 5 and [x[1] for x in out] == [3, 4] and set(held) == {6}
+
+
 def test_schema_check(spark):
     with pytest.raises(ValueError):
         chain.check_schema(spark.createDataFrame([("s", 1)], "stream_id string, block_seq bigint"))

@@ -13,7 +13,7 @@ from sonorant.operators import match, ranges, report, tokens
 from sonorant.plans import cli
 from sonorant.schemas import REPORT, TOKENS
 from sonorant.sources import wav
-from sonorant.sources.ranges import manual_ranges, model_folders, vad_model_beside
+from sonorant.sources.ranges import default_model, manual_ranges, model_folders, vad_model_beside
 from sonorant.sources.transcripts import RecogniserOptions, RecogniserTranscripts
 from tests.signals import chunks
 
@@ -139,7 +139,39 @@ def test_manual_ranges_and_models(spark):
     got = sorted((r["start"], r["end"]) for r in manual_ranges(assets, ["100-200.7", "no", "5-"]).collect())
     assert got == [(40, 0), (800, 1600)] and manual_ranges(assets, []).count() == 0
     assert vad_model_beside("/m/x.bin", exists=lambda p: p == "/m/ggml-silero-v5.1.2.bin") == "/m/ggml-silero-v5.1.2.bin"
-    assert model_folders("/a/b", "/a", "/u")[:3] == ["/u", "/a/b/models", "/a/models"]
+    assert vad_model_beside("/m/x.bin", exists=lambda p: False, files=lambda f: ["x.bin", "my-Silero.bin"] if f == "/m/" else []) == "/m/my-Silero.bin"
+    assert model_folders("/a/b", "/a", "/u")[:5] == ["/u", "/a/b/models", "/a/b", "/a/models", "/a"]
+    there = {"/a": ["ggml-silero-v6.2.0.bin", "ggml-tiny.bin"], "/b": ["ggml-base.bin"]}
+    assert default_model(["/a", "/b"], lambda p: p == "/b/ggml-base.bin", lambda d: there.get(d, [])) == "/b/ggml-base.bin"
+    assert default_model(["/c", "/a"], lambda p: False, lambda d: there.get(d, [])) == "/a/ggml-tiny.bin" and default_model(["/c"], lambda p: False, lambda d: []) is None
+
+
+def test_outputs_of_equal_names(spark, tmp_path):
+    assets = spark.createDataFrame([(f"file:/in/{d}/same.wav", 8000, 1, 3) for d in "xy"], "asset_id string, sample_rate int, channels int, num_samples bigint")
+    c = chunks(spark, {f"file:/in/{d}/same.wav": [np.array([v, v, v], dtype=np.float32)] for d, v in (("x", 0.25), ("y", 0.5))}, 2)
+    done = {r["path"] for r in wav.write(c, assets, str(tmp_path), 32).collect()}
+    assert done == {f"{tmp_path}/{d}/same_clean.wav" for d in "xy"}
+    w = wav.parse((tmp_path / "y" / "same_clean.wav").read_bytes())
+    assert wav.decode(w, 0, 3).tolist() == [[0.5, 0.5, 0.5]] and len(list(tmp_path.rglob("*.wav*"))) == 2
+    clash = spark.createDataFrame([("/in/a.wav",), ("/in/a.WAV",)], "asset_id string")
+    with pytest.raises(wav.WavError):
+        wav.check_names(clash, wav.common_folder(clash))
+
+
+def test_margin_and_time_become_samples_apart(spark):
+    w = spark.createDataFrame([("a", "fuck", 1000, 1100, 44_100, 100_000)], "asset_id string, text string, start_ms bigint, end_ms bigint, sample_rate int, num_samples bigint")
+    r = ranges.from_words(w, Dictionary(), 41).first()
+    assert (r["start"], r["end"]) == (44_100 - 1808, 48_510 + 1808)
+
+
+def test_invalid_runs(spark, tmp_path):
+    import argparse
+
+    def run(source, target):
+        return cli.invalid(spark, argparse.Namespace(input=source, output=target))
+
+    assert "existing" in run(str(tmp_path / "none"), "/o") and "differ" in run(str(tmp_path), str(tmp_path) + "/") and "output" in run(str(tmp_path), "")
+    assert run(str(tmp_path), str(tmp_path / "out")) is None
 
 
 def test_recogniser_backend(spark):
