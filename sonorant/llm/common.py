@@ -25,12 +25,14 @@ def ascii_lower(c: Column) -> Column:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share (spark.checkpoint.dir).
 
-    Only where the session has no such folder, as in tests, a temporary one is set.
+    Only a local session without such a folder gets a temporary one; on a cluster its absence is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.sparkContext.getCheckpointDir()
         if not base:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             base = tempfile.mkdtemp(prefix="sonorant-")
             spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/sonorant/{name}-{uuid.uuid4().hex[:12]}"
@@ -87,6 +89,17 @@ def id_out(df: DataFrame, name: str = "doc_id") -> DataFrame:
     return df.withColumn(name, F.col(name).cast("long"))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until df has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

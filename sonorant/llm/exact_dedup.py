@@ -2,8 +2,8 @@
 
 A Misra-Gries style frequent-items sketch (Spark's approx_top_k, a mergeable sketch of fixed size) nominates digests
 that may be frequent. An exact, map-side combined count verifies the nominees; the verified winners (at most
-`max_heavy` rows) are broadcast and their rows never shuffle. All other digests use an ordinary window shuffle, where no
-group is larger than the sketch's guarantee allows.
+`max_heavy` rows) are broadcast and their rows never shuffle. All other digests use ordinary shuffling: counts combined
+map-side, and a join of the rows with the groups of two or more.
 
 Defined cases: a null text counts as empty; ties (equal doc_id and equal text) leave exactly one row; a null doc_id is
 larger than every other; an empty table gives an empty result; other columns of the input are ignored.
@@ -11,7 +11,7 @@ larger than every other; an empty table gives an empty result; other columns of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonorant.llm.common import documents, materialise
@@ -26,30 +26,30 @@ def normalised(text: Column) -> Column:
 
 def nominees(digests: DataFrame, max_heavy: int, tracked: int) -> DataFrame:
     """At most max_heavy digests that may be frequent, from the mergeable sketch."""
-    top = digests.agg(F.expr(f"approx_top_k(text_sha256, {max_heavy}, {tracked})").alias("top"))
-    return top.select(F.explode("top.item").alias("text_sha256"))
+    top = digests.agg(F.expr(f"approx_top_k(digest, {max_heavy}, {tracked})").alias("top"))
+    return top.select(F.explode("top.item").alias("digest"))
 
 
-def exact_dedup(docs: DataFrame, max_heavy: int = 64, tracked: int = 1024, heavy_rows: int = 500) -> DataFrame:
+def exact_dedup(docs: DataFrame, max_heavy: int = 512, tracked: int = 4096, heavy_rows: int = 500) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs (doc_id, text).
 
     max_heavy bounds the broadcast winners, tracked the sketch; a nominee with under heavy_rows rows is not a winner.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("text_sha256"), F.monotonically_increasing_id().alias("_row"))
-    rows = materialise(rows, "digests")
-    order = F.struct(F.col("doc_id").isNull().alias("_null"), F.col("doc_id").alias("doc_id"), F.col("_row").alias("_row"))
-    winners = (
-        rows.join(F.broadcast(nominees(rows, max_heavy, tracked)), "text_sha256", "left_semi")
-        .groupBy("text_sha256").agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("group_size"))
-        .where(F.col("group_size") >= heavy_rows)
-    )
+    sha = F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256))  # 32 bytes
+    rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), sha.alias("digest"), F.monotonically_increasing_id().alias("row")), "digests")
+    order = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
+    group = [F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size")]
+    hex_ = rows.select(F.hex("digest").alias("digest"))  # the sketch takes strings
+    found = nominees(hex_, max_heavy, tracked).select(F.unhex("digest").alias("digest"))
+    winners = rows.join(F.broadcast(found), "digest", "left_semi").groupBy("digest").agg(*group).where(F.col("group_size") >= heavy_rows)
     winners = materialise(winners, "heavy")  # max_heavy rows at most
-    heavy = rows.join(F.broadcast(winners), "text_sha256")
-    w = Window.partitionBy("text_sha256")
-    light = rows.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti").withColumns({"_first": F.min(order).over(w), "group_size": F.count(F.lit(1)).over(w)})
-    return heavy.select("doc_id", "_row", "_first", "group_size", "text_sha256").unionByName(light.select("doc_id", "_row", "_first", "group_size", "text_sha256")).select(
-        "doc_id", F.col("_first.doc_id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), (F.col("_first._row") == F.col("_row")).alias("kept"), "text_sha256"
-    )
+    heavy = rows.join(F.broadcast(winners), "digest")
+    # Groups are combined map-side; the join back is one that Spark can split where a digest is frequent after all.
+    light = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
+    several = materialise(light.groupBy("digest").agg(*group).where("group_size > 1"), "groups")
+    light = light.join(several, "digest", "left").select("doc_id", "digest", "row", F.coalesce("first", order).alias("first"), F.coalesce("group_size", F.lit(1)).alias("group_size"))
+    every = heavy.select("doc_id", "digest", "row", "first", "group_size").unionByName(light)
+    return every.select("doc_id", F.col("first.doc_id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), (F.col("first.row") == F.col("row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ is ever emitted; the work goes as follows.
 2. Linked sets of size n share one of their first n - ceil(0.8 n) + 1 shingles in that order. Those (shingle, node)
    rows shuffle by shingle and form inverted lists; lists of one node end here.
 3. Each list takes its most central node as leader (the one whose lists are longest, as the original of a family is);
-   a leader's group is all nodes of the lists it leads. Two linked nodes share a list, so they share a group.
+   a leader's group is all nodes of the lists it leads. Two linked nodes share a list, so they share a group. A large
+   group is dealt into blocks, and each pair of blocks is searched on its own.
 4. A bitmap of each set bounds overlaps from above; members that can reach no other member leave the group, and only
    the sets of those that stay are sent.
 5. Each group is searched by T-occurrence queries: the short inverted lists of the query are merged, nodes with enough
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonorant.llm.common import documents, id_in, id_out, materialise, small_batches
@@ -186,12 +187,22 @@ def lists(prefix: DataFrame, percent: int) -> DataFrame:
     return prefix.repartition("sig").sortWithinPartitions("sig", "n", "node").mapInPandas(rows, "sig long, node long, n int, m int")
 
 
-def members(listed: DataFrame) -> DataFrame:
-    """leader, node: the groups, without those of one node."""
+def members(listed: DataFrame, block_sets: int, block_shingles: int) -> DataFrame:
+    """leader, lo, hi, node: the groups, without those of one node, as pairs of blocks.
+
+    A group of more than block_sets nodes or block_shingles shingles is dealt into blocks by a hash, and every block
+    meets itself and every other (lo, hi); most groups are one block (0, 0).
+    """
     central = listed.groupBy("node").agg(F.sum("m").alias("weight"))
     led = listed.join(central, "node").groupBy("sig").agg(F.max(F.struct("weight", "node")).alias("top"))
-    pairs = listed.join(led.select("sig", F.col("top.node").alias("leader")), "sig").select("leader", "node").distinct()
-    return pairs.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("leader"))).where("size > 1")
+    led = materialise(led.select("sig", F.col("top.node").alias("leader")), "leaders")
+    pairs = materialise(listed.join(led, "sig").select("leader", "node", "n").distinct(), "pairs")
+    size = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).where("size > 1")
+    blocks = F.greatest(F.ceil(F.col("size") / block_sets), F.ceil(F.col("total") / block_shingles)).cast("int")
+    size = materialise(size.select("leader", blocks.alias("blocks")), "sizes")
+    dealt = pairs.join(size, "leader").select("leader", "node", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
+    dealt = dealt.select("leader", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return dealt.select("leader", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node")
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -278,11 +289,11 @@ def divide_skip(sets: list[np.ndarray], percent: int = 80, mu: float = 0.0085) -
     return links
 
 
-def ngram_join(docs: DataFrame, percent: int = 80, tracked: int = 16_384, frequent: int = 48, bitmap_most: int = 6_000, broadcast_ids: int = 500_000) -> DataFrame:
+def ngram_join(docs: DataFrame, percent: int = 80, tracked: int = 16_384, frequent: int = 48, block_sets: int = 512, block_shingles: int = 4_000_000, broadcast_ids: int = 500_000) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text).
 
     tracked bounds the frequent-shingle summary and its broadcast; frequent is the count that makes one frequent (both
-    only set the order of shingles); groups above bitmap_most members skip the bitmap and are searched directly;
+    only set the order of shingles); block_sets and block_shingles bound what one task searches at a time;
     up to broadcast_ids nodes (16 bytes each) are broadcast to find their texts, more are joined by a shuffle.
     """
     spark = docs.sparkSession
@@ -293,16 +304,16 @@ def ngram_join(docs: DataFrame, percent: int = 80, tracked: int = 16_384, freque
     top = seen.where("summary").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= frequent).orderBy(F.desc("n"), "node").limit(tracked).collect()
     last = np.sort(np.array([r["node"] for r in top], dtype=np.int64).view(np.uint64))
     listed = materialise(lists(prefixes(docs, last, percent), percent), "lists")
-    grouped = materialise(members(listed).select("leader", "node", "size"), "groups")
+    grouped = materialise(members(listed, block_sets, block_shingles), "groups")
     maps = seen.where("bits IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
 
+    task = ["leader", "lo", "hi"]
+
     def prune(x: pd.DataFrame) -> pd.DataFrame:
-        if len(x) > bitmap_most:
-            return x[["leader", "node"]]
         bits = [np.frombuffer(m, dtype=np.uint64) for m in x["bits"]]
-        return x.loc[can_link(x["n"].to_numpy(), bits, percent), ["leader", "node"]]
+        return x.loc[can_link(x["n"].to_numpy(), bits, percent), [*task, "node"]]
 
-    close = materialise(grouped.join(maps, "node").groupBy("leader").applyInPandas(prune, "leader long, node long"), "close")
+    close = materialise(grouped.join(maps, "node").groupBy(*task).applyInPandas(prune, "leader long, lo int, hi int, node long"), "close")
     # One text of each node that is left, found by doc_id; the ids are broadcast while they are few.
     first = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(close.select("node").distinct(), "node", "left_semi")
     first = materialise(first, "firsts")
@@ -322,11 +333,17 @@ def ngram_join(docs: DataFrame, percent: int = 80, tracked: int = 16_384, freque
         node = x["node"].to_numpy()
         return pd.DataFrame({"a": [node[i] for i, _ in found], "b": [node[j] for _, j in found]}, dtype=np.int64)
 
-    links = close.join(held, "node").groupBy("leader").applyInPandas(search, "a long, b long")
+    links = close.join(held, "node").groupBy(*task).applyInPandas(search, "a long, b long")
     roots = materialise(components(links), "roots")
-    rooted = nodes.join(roots, "node", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
-    least = rooted.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = rooted.join(least.withColumnRenamed("root", "_root"), F.col("root") == F.col("_root"), "left")
+    # By node, then by document: both joins have a small table on one side that is written first, so that Spark can
+    # split the rows of a frequent node or root among tasks.
+    least = materialise(nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")), "least")
+    rooted = materialise(least.join(roots, "node").select("node", "root", "least"), "rooted")
+    by_root = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
+    linked = rooted.join(by_root, "root").select("node", "component_id")
+    alone = least.join(roots.select("node"), "node", "left_anti").select("node", F.col("least").alias("component_id"))
+    by_node = materialise(linked.unionByName(alone), "by-node")
+    out = nodes.join(by_node.withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -4,7 +4,9 @@ Each document of a source gets the same fractional number of copies, target / so
 the fraction is rounded by pivoting: two fractional documents trade probability, weighed by their sizes, until one of
 them is 0 or 1, which keeps the source's expected words and, but for the last residual, its actual words. Blocks of
 documents are folded in parallel; each leaves one residual, and residuals are folded again, level by level, until a
-source has one, which a hash of its id rounds. All randomness is a hash of ids and the seed, so reruns agree.
+source has one, which a hash rounds. All randomness is a hash of doc_id, source, text and the seed, and so is the order
+in which documents meet; so reruns agree, and so does the same table in other partitions (repeated rows are alike: which
+of them is taken more often is open, how often they are together is not).
 
 Defined cases: null source is a source of its own, last in order; null or empty text has size 0 and no copies beyond
 the whole part; repeated rows are mixed as separate documents; an empty table gives an empty result.
@@ -15,12 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sonorant.llm.common import WORD, documents, materialise
+from sonorant.llm.common import WORD, documents, fresh, materialise
 
 #: Relative weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
-_ITEM = "struct<rid:bigint,doc_id:bigint,size:bigint,p:double>"
-_DONE = "struct<rid:bigint,doc_id:bigint,size:bigint,up:int>"
+_ITEM = "struct<h:bigint,rid:bigint,size:bigint,p:double>"
+_DONE = "struct<rid:bigint,up:int>"
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -55,17 +57,17 @@ def _fold(items: Column, seed: int) -> Column:
         # a rises by up to gain (x falls by the same words), or x rises and a falls by loss: words are kept.
         gain = F.least((1 - pa) * wa, pb * wb)
         loss = F.least(pa * wa, (1 - pb) * wb)
-        u = F.pmod(F.xxhash64(a["rid"], x["rid"], F.lit(seed)), F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
+        u = F.pmod(F.xxhash64(a["h"], x["h"], F.lit(seed)), F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
         up = u * (gain + loss) < loss
         na = F.when(up, F.when((1 - pa) * wa <= pb * wb, F.lit(1.0)).otherwise(pa + gain / wa)).otherwise(F.when(pa * wa <= (1 - pb) * wb, F.lit(0.0)).otherwise(pa - loss / wa))
         nb = F.when(up, F.when((1 - pa) * wa <= pb * wb, pb - gain / wb).otherwise(F.lit(0.0))).otherwise(F.when(pa * wa <= (1 - pb) * wb, pb + loss / wb).otherwise(F.lit(1.0)))
         a_done = (na <= 0.0) | (na >= 1.0)
 
         def done(y: Column, p: Column) -> Column:
-            return F.struct(y["rid"].alias("rid"), y["doc_id"].alias("doc_id"), y["size"].alias("size"), (p >= 1.0).cast("int").alias("up"))
+            return F.struct(y["rid"].alias("rid"), (p >= 1.0).cast("int").alias("up"))
 
         def left(y: Column, p: Column) -> Column:
-            return F.struct(y["rid"].alias("rid"), y["doc_id"].alias("doc_id"), y["size"].alias("size"), p.alias("p"))
+            return F.struct(y["h"].alias("h"), y["rid"].alias("rid"), y["size"].alias("size"), p.alias("p"))
 
         both = a_done & ((nb <= 0.0) | (nb >= 1.0))
         pivot = F.struct(
@@ -85,7 +87,7 @@ def source_mix(docs: DataFrame, seed: int = 7, block: int = 48, weights: tuple[i
     """
     sized = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        (F.col(rid) if rid else F.monotonically_increasing_id()).alias("rid"),
+        (F.col(rid) if rid else F.monotonically_increasing_id()).alias("rid"), F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text"), F.lit(seed)).alias("h"),
     )
     sized = materialise(sized, "mix-sizes")
     goal = materialise(targets(sized, weights, share, most), "mix-targets")
@@ -94,24 +96,24 @@ def source_mix(docs: DataFrame, seed: int = 7, block: int = 48, weights: tuple[i
     sized = sized.withColumns({"whole": F.floor(ratio).cast("long"), "p": ratio - F.floor(ratio)})
     settled = (F.col("p") <= 0.0) | (F.col("size") == 0)
     parts = [sized.where(settled).select("rid", F.lit(0).alias("up"))]
-    items = sized.where(~settled).select("source", "rid", "doc_id", "size", "p")
+    items = sized.where(~settled).select("source", "h", "rid", "size", "p")
     largest = goal.agg(F.max("n_docs")).first()[0] or 0
     blocks, level = max(1, -(-largest // block)), 0
     while True:
-        key = F.pmod(F.xxhash64("doc_id", "rid", F.lit(seed + level)), F.lit(blocks))
-        item = F.struct(F.xxhash64("doc_id", "rid", F.lit(seed)).alias("h"), "rid", "doc_id", "size", "p")
+        key = F.pmod(F.xxhash64("h", F.lit(seed + level)), F.lit(blocks))
+        item = F.struct("h", "size", "p", "rid")  # in this order; rid tells only repeated rows apart
         folded = (
             items.groupBy("source", key.alias("block"))
-            .agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: F.struct(x["rid"].alias("rid"), x["doc_id"].alias("doc_id"), x["size"].alias("size"), x["p"].alias("p"))).alias("items"))
+            .agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: F.struct(x["h"].alias("h"), x["rid"].alias("rid"), x["size"].alias("size"), x["p"].alias("p"))).alias("items"))
             .select("source", _fold(F.col("items"), seed).alias("f"))
         )
         folded = materialise(folded.select("source", "f.left", "f.done"), f"mix-level{level}")
         parts.append(folded.select(F.explode("done").alias("d")).select("d.rid", "d.up"))
-        items = folded.where(F.col("left").isNotNull()).select("source", "left.rid", "left.doc_id", "left.size", "left.p")
+        items = folded.where(F.col("left").isNotNull()).select("source", "left.h", "left.rid", "left.size", "left.p")
         if blocks == 1:
             break
         blocks, level = max(1, -(-blocks // block)), level + 1
-    u = F.pmod(F.xxhash64("doc_id", "rid", F.lit(seed), F.lit("last")), F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
+    u = F.pmod(F.xxhash64("h", F.lit("last")), F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
     parts.append(items.select("rid", (u < F.col("p")).cast("int").alias("up")))
     ups = parts[0]
     for p in parts[1:]:
@@ -129,6 +131,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
     Rows are numbered and written first, and matched by number: doc_ids may be null or shared.
     """
-    rows = materialise(docs.withColumn("_rid", F.monotonically_increasing_id()), "mix-rows")
-    copies = source_mix(rows, rid="_rid", **options).where("copies > 0").select(F.col("rid").alias("_rid"), F.expr("sequence(1, copies)").alias("_copy"))
-    return rows.join(copies, "_rid").withColumn("_copy", F.explode("_copy")).select(*docs.columns)
+    rid, copy = fresh(docs, "rid", "copy")
+    rows = materialise(docs.withColumn(rid, F.monotonically_increasing_id()), "mix-rows")
+    copies = source_mix(rows, rid=rid, **options).where("copies > 0").select(F.col("rid").alias(rid), F.expr("sequence(1, copies)").alias(copy))
+    return rows.join(copies, rid).withColumn(copy, F.explode(copy)).select(*docs.columns)
