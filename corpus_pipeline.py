@@ -11,11 +11,12 @@ Defined cases: null texts count as empty; repeated rows go in the exact dedup; a
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonorant.llm.common import documents, labels, materialise
+from sonorant.llm.common import documents, fresh, labels, materialise
 from sonorant.llm.exact_dedup import exact_dedup, normalised
 from sonorant.llm.kneser_ney import quality_classifier
 from sonorant.llm.ngram_join import ngram_join
@@ -28,51 +29,59 @@ BROADCAST_IDS = 500_000
 
 def without(docs: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of docs whose keys are not in gone (nulls equal)."""
-    gone = gone.select([F.col(k).alias(f"_{k}") for k in keys])
+    names = fresh(docs, *[f"gone_{k}" for k in keys])
+    gone = gone.select([F.col(k).alias(n) for k, n in zip(keys, names, strict=True)])
     side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("merge")
-    on = None
-    for k in keys:
-        same = F.col(k).eqNullSafe(F.col(f"_{k}"))
-        on = same if on is None else on & same
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)])
     return docs.join(side, on, "left_anti")
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    row = ["doc_id", "lang", "text_sha256"]  # what the verdict depends on
-    marked = docs.withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256))
-    judged = quality_classifier(marked, labels(spark, sf_dir), carry=("text_sha256",))
+    """docs without the rows that the quality classifier rejects, each by its own text and language.
+
+    Labels are learned by doc_id; a null or empty text is kept; rows that share an id are judged apart.
+    """
+    (digest,) = fresh(docs, "digest")
+    row = ["doc_id", "lang", digest]  # what the verdict depends on
+    marked = docs.withColumn(digest, F.sha2(F.col("text").cast("binary"), 256))
+    judged = quality_classifier(marked, labels(spark, sf_dir), carry=(digest,))
     return without(marked, materialise(judged.where("NOT kept").select(row).distinct(), "rejected"), row).select(docs.columns)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of the rows with equal texts the one with the least doc_id, nulls last; of repeated rows one, whichever."""
+    (digest,) = fresh(docs, "digest")
     found = materialise(exact_dedup(docs), "exact")
-    by = found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    by = found.groupBy("doc_id", F.col("text_sha256").alias(digest)).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     by = materialise(by.where("NOT kept OR n > 1"), "exact-gone")
-    names = docs.columns
-    marked = docs.withColumn("text_sha256", F.sha2(normalised(F.col("text")).cast("binary"), 256))
-    left = without(marked, by.where("NOT kept"), ["doc_id", "text_sha256"])
+    marked = docs.withColumn(digest, F.sha2(normalised(F.col("text")).cast("binary"), 256))
+    left = without(marked, by.where("NOT kept"), ["doc_id", digest])
     if not by.where("kept").isEmpty():  # repeated rows: one of each stays
-        left = left.dropDuplicates(["doc_id", "text_sha256"])
-    return left.select(names)
+        left = left.dropDuplicates(["doc_id", digest])
+    return left.select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = materialise(docs.withColumn("_rid", F.monotonically_increasing_id()), "near-rows")
-    found = ngram_join(rows.select(F.col("_rid").alias("doc_id"), "text")).where("doc_id <> component_id")
-    found = materialise(found.select(F.col("doc_id").alias("_rid"), "component_id"), "near-found")
-    linked = found.unionByName(found.select(F.col("component_id").alias("_rid"), "component_id").distinct())
-    # Of each component the row with the least doc_id stays, nulls last.
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_rid"))
-    stay = linked.join(rows.select("_rid", "doc_id"), "_rid").groupBy("component_id").agg(F.min(order).alias("first")).select("first._rid")
-    gone = without(linked.select("_rid"), materialise(stay, "near-stay"), ["_rid"])
-    return without(rows, materialise(gone, "near-gone"), ["_rid"]).select(docs.columns)
+    """Of each component of linked rows the one with the least doc_id, nulls last; rows that link with nothing stay."""
+    (rid,) = fresh(docs, "rid")
+    rows = materialise(docs.withColumn(rid, F.monotonically_increasing_id()), "near-rows")
+    found = ngram_join(rows.select(F.col(rid).alias("doc_id"), "text")).where("doc_id <> component_id")
+    found = materialise(found.select(F.col("doc_id").alias(rid), "component_id"), "near-found")
+    linked = found.unionByName(found.select(F.col("component_id").alias(rid), "component_id").distinct())
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col(rid))
+    stay = linked.join(rows.select(rid, "doc_id"), rid).groupBy("component_id").agg(F.min(order).alias("first")).select(f"first.{rid}")
+    gone = without(linked.select(rid), materialise(stay, "near-stay"), [rid])
+    return without(rows, materialise(gone, "near-gone"), [rid]).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix takes it; a null source is a source, rows without words come as often as the whole
+    part of their source's copies."""
     return mixed(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows in sequences; a null or empty text is one piece of one token."""
     return pack(docs)
 
 
