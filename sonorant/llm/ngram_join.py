@@ -12,8 +12,8 @@ is ever emitted; the work goes as follows.
    group is dealt into blocks, and each pair of blocks is searched on its own.
 4. A bitmap of each set bounds overlaps from above; members that can reach no other member leave the group, and only
    the sets of those that stay are sent.
-5. Each group is searched by T-occurrence queries: the short inverted lists of the query are merged, nodes with enough
-   occurrences are probed in the long lists by binary search, and those that reach the required overlap link. Nodes
+5. Each group is searched by T-occurrence queries: a heap merges the short inverted lists of the query, nodes with
+   enough occurrences are probed in the long lists by binary search, and those that reach the required overlap link. Nodes
    already in the query's component are skipped, so a family of copies costs about one comparison a member.
 6. Links form components; documents take the smallest doc_id of theirs.
 
@@ -27,7 +27,9 @@ component no id unless all ids are null; an empty table gives an empty result; o
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -239,6 +241,38 @@ def can_link(n: np.ndarray, maps: list[np.ndarray], percent: int) -> np.ndarray:
     return out
 
 
+def merge_skip(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
+    """(value, occurrences) of the values that at least `least` of the sorted lists have, by a heap of the lists' heads.
+
+    A value with too few occurrences lets as many lists as could not reach the threshold alone jump, by binary search,
+    to the next value that the others have.
+    """
+    heap = [(x[0], i) for i, x in enumerate(lists)]
+    heapify(heap)
+    at, found = [0] * len(lists), []
+    while len(heap) >= least:
+        top, taken = heap[0][0], []
+        while heap and heap[0][0] == top:
+            taken.append(heappop(heap)[1])
+        if len(taken) >= least:
+            found.append((top, len(taken)))
+            for i in taken:
+                at[i] += 1
+                if at[i] < len(lists[i]):
+                    heappush(heap, (lists[i][at[i]], i))
+            continue
+        while heap and len(taken) < least - 1:
+            taken.append(heappop(heap)[1])
+        if not heap:
+            break
+        goal = heap[0][0]
+        for i in taken:
+            at[i] = bisect_left(lists[i], goal, at[i])
+            if at[i] < len(lists[i]):
+                heappush(heap, (lists[i][at[i]], i))
+    return found
+
+
 def divide_skip(sets: list[np.ndarray], percent: int = 80, mu: float = 0.0085) -> list[tuple[int, int]]:
     """Links that join the components of the sets: T-occurrence queries with DivideSkip, sets in the order given.
 
@@ -262,25 +296,18 @@ def divide_skip(sets: list[np.ndarray], percent: int = 80, mu: float = 0.0085) -
         mine = own[x][np.argsort(freq[own[x]], kind="stable")]
         longest = int(freq[mine[-1]])
         aside = min(t - 1, max(int(t / (mu * np.log2(max(longest, 2)) + 1)), 0))
-        short, long_ = mine[: n - aside], mine[n - aside :]
-        met = np.concatenate([owners[begin[k] : begin[k + 1]] for k in short.tolist()])
-        if len(met) > len(sets):
-            times = np.bincount(met, minlength=len(sets))
-            found = np.flatnonzero(times >= t - aside)
-            times = times[found]
-        else:
-            found, times = np.unique(met, return_counts=True)
-            found, times = found[times >= t - aside], times[times >= t - aside]
-        # Each pair is asked from its smaller set, or the earlier of equal ones.
-        right = ((size[found] > n) | ((size[found] == n) & (found > x))) & (percent * size[found] <= 100 * n) & (root[found] != root[x])
-        need = least_overlap(size[found], n, percent)
-        right &= times + aside >= need
-        long_ = np.sort(long_)
-        for y, c, least in zip(found[right].tolist(), times[right].tolist(), need[right].tolist(), strict=True):
-            if root[y] == root[x]:
+        short, long_ = mine[: n - aside], np.sort(mine[n - aside :])
+        merged = merge_skip([owners[begin[k] : begin[k + 1]].tolist() for k in short.tolist()], t - aside)
+        for y, c in merged:
+            m = int(size[y])
+            # Each pair is asked from its smaller set, or the earlier of equal ones.
+            if not (m > n or (m == n and y > x)) or percent * m > 100 * n or root[y] == root[x]:
+                continue
+            least = int(least_overlap(m, n, percent))
+            if c + aside < least:
                 continue
             at = np.searchsorted(own[y], long_)
-            c += int((own[y][np.minimum(at, len(own[y]) - 1)] == long_).sum())
+            c += int((own[y][np.minimum(at, m - 1)] == long_).sum())
             if c >= least:
                 links.append((x, y))
                 a, b = sorted((root[x], root[y]), key=lambda r: -len(kin[r]))

@@ -1,10 +1,13 @@
 """Personal data: exact base kinds plus weak supervision for further spans (native).
 
-Base kinds (email, ip, card, phone) are leftmost non-overlapping matches with their checks. The method proposes code-like
-tokens as further candidates. Four labelers vote on each: a shape regex, a gazetteer of cue words before it, its context's
-punctuation, and its character mix. Expectation-maximisation over the counts of vote patterns (at most 3^4 patterns
-times a few dozen feature cells, whatever the corpus) estimates each labeler's reliability and a posterior for every
-cell; a logistic span classifier is trained on those posteriors and then scores every candidate as a column expression.
+Base kinds (email, ip, card, phone) are leftmost non-overlapping matches with their checks. The method proposes three
+kinds of further candidates: code-like tokens (secrets, account and document numbers), names (two or three capitalised
+words) and postal addresses (a house number beside capitalised words). Four labelers vote on each candidate, in terms of
+its kind: a shape regex, a gazetteer (cue words, given names, street words), the context around it, and its character
+mix. For each kind, expectation-maximisation over the counts of vote patterns (at most 3^4 patterns times a few dozen
+feature cells, whatever the corpus) estimates each labeler's reliability and a posterior for every cell; a logistic span
+classifier is trained on those posteriors and then scores every candidate as a column expression. A candidate that no
+labeler takes for personal data is never a span.
 
 Texts are read once: spans and features are written to the shared folder, and both the counts and the answer come from
 that small table.
@@ -23,7 +26,8 @@ from pyspark.sql import functions as F
 
 from sonorant.llm.common import documents, materialise
 
-KINDS = ("email", "ip", "card", "phone", "secret")
+KINDS = ("email", "ip", "card", "phone", "secret", "name", "address")
+N_BASE = 4
 
 # Patterns as the contract has them, in a form that takes linear time on long runs: a match can begin only where a run
 # of its first class begins, or right after the match before it.
@@ -34,10 +38,22 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _CODE = r"A-Za-z0-9+/_-"
 CANDIDATE = rf"(?<![{_CODE}])(?=[A-Za-z+/_-]*+[0-9])[{_CODE}]{{9,}}+"
+_CAP = r"\p{Lu}[\p{Ll}'\u2019-]++"
+NAME = rf"(?<![\p{{L}}\p{{N}}])(?!(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Sr|Sra|Dear|By|Contact)\b){_CAP}(?:[\x20](?:\p{{Lu}}\.|{_CAP})){{1,2}}+(?![\p{{L}}\p{{N}}])"
+ADDRESS = rf"(?<![\p{{L}}\p{{N}}.,])(?:[0-9]{{1,5}}[a-z]?[\x20](?:{_CAP}\.?[\x20]?){{1,4}}+|{_CAP}(?:[\x20]{_CAP}){{0,2}}+[\x20][0-9]{{1,4}}[a-z]?)(?![\p{{L}}\p{{N}}])"
+CANDIDATES = (CANDIDATE, NAME, ADDRESS)
 
-# Cue words of the gazetteer labeler.
+# Cue words of the gazetteer labeler for codes; given names, titles and street words for the others.
 CUES = ("token", "secret", "password", "passwd", "key", "apikey", "bearer", "ssn", "passport", "iban", "credential")
 NEUTRAL = ("version", "isbn", "issue", "page", "chapter", "year", "doi", "commit", "figure")
+GIVEN = (
+    "James", "John", "Robert", "Michael", "William", "David", "Richard", "Joseph", "Thomas", "Charles", "Daniel", "Matthew", "Anthony", "Mark", "Paul", "Peter", "George", "Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara",
+    "Susan", "Jessica", "Sarah", "Karen", "Nancy", "Lisa", "Anna", "Maria", "Hans", "Karl", "Klaus", "Wolfgang", "Heike", "Sabine", "Monika", "Pierre", "Jean", "Marie", "Sophie", "Claire", "Carlos", "Juan", "Pedro", "Luis", "Carmen", "Ana",
+)
+NOT_GIVEN = ("The", "This", "That", "In", "On", "At", "It", "Is", "And", "Of", "To", "New", "North", "South", "East", "West", "Monday", "January", "Der", "Die", "Das", "Und", "Le", "La", "Les", "El", "Los", "United", "University", "Chapter")
+TITLES = ("mr", "mrs", "ms", "dr", "prof", "herr", "frau", "mme", "monsieur", "madame", "sr", "sra", "name", "called", "signed", "contact", "patient", "dear", "by")
+STREETS = ("Street", "St", "Avenue", "Ave", "Road", "Rd", "Lane", "Ln", "Drive", "Boulevard", "Blvd", "Court", "Square", "Way", "Rue", "Calle", "Avenida")
+AT = ("at", "address", "lives", "live", "resides", "residing", "anschrift", "wohnhaft", "adresse")
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -94,42 +110,68 @@ def base_spans(text: Column) -> Column:
     ))
 
 
-def _votes(m: Column, before: Column, after: Column) -> list[Column]:
-    """The labelers: 1 for personal, -1 for not, 0 for no opinion."""
-    cue = F.regexp_extract(F.lower(before), r"([a-z]+)[^a-z0-9]{0,4}$", 1)
+def _cue(before: Column) -> Column:
+    """The word before a candidate, in lower case."""
+    return F.regexp_extract(F.lower(before), r"(\p{L}+)[^\p{L}\p{N}]{0,4}$", 1)
+
+
+def _code_votes(m: Column, before: Column, after: Column) -> tuple[list[Column], list[Column]]:
+    """Votes of the labelers (1 for personal, -1 for not, 0 for no opinion) and features: length, characters, quotes, cue."""
+    cue, n = _cue(before), F.length(m)
     distinct = F.size(F.array_distinct(_chars(m)))
-    shape = F.when(m.rlike(r"^[0-9a-f]{32,}$|^[0-9A-F]{32,}$|^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$|^[0-9]{3}-[0-9]{2}-[0-9]{4}$") | ((F.length(m) >= 20) & m.rlike("[0-9]") & m.rlike("[A-Za-z]")), 1).when((F.length(m) < 12) | m.rlike("^[0-9]+$"), -1).otherwise(0)
+    shape = F.when(m.rlike(r"^[0-9a-f]{32,}$|^[0-9A-F]{32,}$|^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$|^[0-9]{3}-[0-9]{2}-[0-9]{4}$") | ((n >= 20) & m.rlike("[0-9]") & m.rlike("[A-Za-z]")), 1).when((n < 12) | m.rlike("^[0-9]+$"), -1).otherwise(0)
     words = F.when(cue.isin(*CUES), 1).when(cue.isin(*NEUTRAL), -1).otherwise(0)
     marks = F.when(before.rlike("[=:]\\s?[\"']?$"), 1).when(before.rlike(r"[a-zà-ÿ.,]\s$") & after.rlike(r"^\s"), -1).otherwise(0)
     mix = F.when((distinct >= 11) & m.rlike("[a-zA-Z]"), 1).when(distinct <= 10, -1).otherwise(0)
-    return [shape, words, marks, mix]
-
-
-def _features(m: Column, before: Column) -> list[Column]:
-    """Categories of the span classifier: length, characters, quotes, cue."""
-    n = F.length(m)
     size = F.when(n < 12, 0).when(n < 20, 1).when(n < 32, 2).otherwise(3)
     chars = F.when(m.rlike("^[0-9]+$"), 0).when(m.rlike("^[0-9a-fA-F]+$"), 1).when(m.rlike("^[0-9A-Za-z]+$"), 2).otherwise(3)
-    quoted = before.rlike("[\"']$").cast("int")
-    cue = F.regexp_extract(F.lower(before), r"([a-z]+)[^a-z0-9]{0,4}$", 1).isin(*CUES).cast("int")
-    return [size, chars, quoted, cue]
-
-
+    return [shape, words, marks, mix], [size, chars, before.rlike("[\"']$").cast("int"), cue.isin(*CUES).cast("int")]
+
+
+def _name_votes(m: Column, before: Column, after: Column) -> tuple[list[Column], list[Column]]:
+    """As _code_votes; features: words, first word, title before, sentence start."""
+    parts = F.split(m, " ")
+    first, cue = F.get(parts, F.lit(0)), _cue(before)
+    opens = before.rlike(r"(^|[.!?\n]\s*)$")
+    shape = F.when(m.rlike(r" \p{Lu}\. "), 1).when(m.rlike(r"\p{Ll}{16}"), -1).otherwise(0)
+    words = F.when(first.isin(*GIVEN), 1).when(first.isin(*NOT_GIVEN), -1).otherwise(0)
+    context = F.when(cue.isin(*TITLES), 1).when(opens, -1).otherwise(0)
+    mix = F.when(after.rlike(r"^(,|'s|\s*[(<])") & ~opens & first.isin(*GIVEN), 1).when(F.length(m) > 40, -1).otherwise(0)
+    kind = F.when(first.isin(*GIVEN), 0).when(first.isin(*NOT_GIVEN), 1).otherwise(2)
+    return [shape, words, context, mix], [F.least(F.size(parts), F.lit(3)), kind, cue.isin(*TITLES).cast("int"), opens.cast("int")]
+
+
+def _address_votes(m: Column, before: Column, after: Column) -> tuple[list[Column], list[Column]]:
+    """As _code_votes; features: order, length, street word, cue."""
+    parts, cue = F.split(F.regexp_replace(m, r"\.", ""), " "), _cue(before)
+    street = F.exists(parts, lambda p: p.isin(*STREETS)) | m.rlike("(?i)(stra(ß|ss)e|str|weg|platz|allee|gasse)\\b")
+    ahead = m.rlike("^[0-9]")
+    shape = F.when(street & (ahead | m.rlike("[0-9][a-z]?$")), 1).when(m.rlike(r"\p{Ll}{20}"), -1).otherwise(0)
+    words = F.when(street, 1).otherwise(-1)
+    context = F.when(cue.isin(*AT) | after.rlike(r"^,\s*(\p{Lu}|[0-9]{4,5})"), 1).when(before.rlike(r"[.!?]\s*$"), -1).otherwise(0)
+    mix = F.when(street & (F.length(m) <= 40), 1).when(F.length(m) > 40, -1).otherwise(0)
+    return [shape, words, context, mix], [ahead.cast("int"), F.least(F.size(parts), F.lit(3)), street.cast("int"), cue.isin(*AT).cast("int")]
+
+
+VOTERS = (_code_votes, _name_votes, _address_votes)
 N_VOTES, LEVELS = 4, (4, 4, 2, 2)
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """array<struct<start,end,v,f>> of the code-like tokens that touch no base span."""
+    """array<struct<kind,start,end,v,f>> of the candidates that touch no base span; kind counts from 0 for codes."""
+    none = F.expr("CAST(array() AS array<struct<kind:int,start:int,end:int,v:array<int>,f:array<int>>>)")
 
-    def described(s: Column) -> Column:
-        before = F.substring(text, F.greatest(F.lit(1), s["start"] - 23), F.least(F.lit(24), s["start"]))
-        after = F.substring(text, s["end"] + 1, F.lit(2))
-        v, f = _votes(s["m"], before, after), _features(s["m"], before)
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.array(*[x.cast("int") for x in v]).alias("v"), F.array(*[x.cast("int") for x in f]).alias("f"))
+    def of(kind: int) -> Column:
+        def described(s: Column) -> Column:
+            before = F.substring(text, F.greatest(F.lit(1), s["start"] - 23), F.least(F.lit(24), s["start"]))
+            after = F.substring(text, s["end"] + 1, F.lit(8))
+            v, f = VOTERS[kind](s["m"], before, after)
+            return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.array(*[x.cast("int") for x in v]).alias("v"), F.array(*[x.cast("int") for x in f]).alias("f"))
 
-    free = F.filter(located(text, CANDIDATE), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    none = F.expr("CAST(array() AS array<struct<start:int,end:int,v:array<int>,f:array<int>>>)")
-    return F.when(text.rlike("[0-9]"), F.transform(free, described)).otherwise(none)
+        free = F.filter(located(text, CANDIDATES[kind]), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+        return F.when(text.rlike("[0-9]") if kind == 0 else text.rlike(CANDIDATES[kind]), F.transform(free, described)).otherwise(none)
+
+    return F.concat(*[of(k) for k in range(len(CANDIDATES))])
 
 
 def fit_reliabilities(cells: list[tuple[tuple[int, ...], float]], rounds: int = 50) -> tuple[float, list[dict[tuple[int, int], float]], list[float]]:
@@ -176,23 +218,30 @@ def find_pii(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     seen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
     seen = materialise(seen.select("doc_id", "base", candidates(F.col("text"), F.col("base")).alias("cand")), "pii-spans")
-    # At most 81 vote patterns x 64 feature cells come back, whatever the corpus.
-    counts = seen.select(F.explode("cand").alias("c")).groupBy("c.v", "c.f").agg(F.count(F.lit(1)).alias("n")).collect()
-    counts = sorted((tuple(r["v"]), tuple(r["f"]), float(r["n"])) for r in counts)
-    if not counts:
-        return seen.select("doc_id", "base", F.col("base").alias("spans"))
-    _, _, post = fit_reliabilities([(v, n) for v, _, n in counts])
-    bias, weight = fit_classifier([(f, p, n) for (_, f, n), p in zip(counts, post)])
+    # At most 81 vote patterns x 64 feature cells come back for each kind, whatever the corpus.
+    counts = seen.select(F.explode("cand").alias("c")).groupBy("c.kind", "c.v", "c.f").agg(F.count(F.lit(1)).alias("n")).collect()
+    cand = F.col("cand")
+    extra = F.expr("CAST(array() AS array<struct<start:int,kind:int,end:int>>)")
+    for kind in range(len(CANDIDATES)):
+        cells = sorted((tuple(r["v"]), tuple(r["f"]), float(r["n"])) for r in counts if r["kind"] == kind)
+        if cells:
+            extra = F.concat(extra, F.transform(F.filter(cand, _personal(kind, cells)), lambda c: F.struct(c["start"].alias("start"), F.lit(N_BASE + kind).alias("kind"), c["end"].alias("end"))))
+    return seen.select("doc_id", "base", F.array_sort(F.concat("base", extra)).alias("spans"))
+
+
+def _personal(kind: int, cells: list[tuple[tuple[int, ...], tuple[int, ...], float]]):
+    """The trained test of one kind's candidates."""
+    _, _, post = fit_reliabilities([(v, n) for v, _, n in cells])
+    bias, weight = fit_classifier([(f, p, n) for (_, f, n), p in zip(cells, post)])
     tables = [F.array(*[F.lit(weight[i, x]) for x in range(n)]) for i, n in enumerate(LEVELS)]
 
-    def personal(c: Column) -> Column:
+    def test(c: Column) -> Column:
         z = F.lit(bias)
         for i, t in enumerate(tables):
             z = z + F.get(t, F.get(c["f"], F.lit(i)))
-        return z >= 0
+        return (c["kind"] == kind) & F.array_contains(c["v"], 1) & (z >= 0)
 
-    extra = F.transform(F.filter("cand", personal), lambda c: F.struct(c["start"].alias("start"), F.lit(len(KINDS) - 1).alias("kind"), c["end"].alias("end")))
-    return seen.select("doc_id", "base", F.array_sort(F.concat("base", extra)).alias("spans"))
+    return test
 
 
 def digest(spans: Column) -> Column:
