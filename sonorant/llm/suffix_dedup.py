@@ -8,11 +8,12 @@ and tells each document which of its strings have one that another document has
 
 A shard builds the transform of its distinct strings column by column: each round inserts one symbol of every string.
 The places of the new symbols follow from the transform so far (the stable order of its symbols, an LF step), and one
-sequential sweep merges them into the column. Following the finished transform gives every suffix's place; suffixes
-that share 50 bytes with their neighbour form classes; a window goes if its class also starts in a smaller document.
+sequential sweep merges them into the column, and into a second one of the bytes (50 at most) that each suffix shares
+with the one before it. Following the finished transform gives every suffix's place; suffixes that share 50 bytes with
+their neighbour form classes; a window goes if its class also starts in a smaller document.
 
-The column is an array that one sweep a round reads and rewrites in order; with shards of bounded size it is held in
-memory, and with `external` it is a file in the task's temporary folder, removed at the end of the task.
+The columns are arrays that one sweep a round reads and rewrites in order; with shards of bounded size they are held in
+memory, and with `external` they are files in the task's temporary folder, removed at the end of the task.
 
 Defined cases: null or empty text has no bytes and nothing removed; a row with a null doc_id neither removes nor loses
 bytes; rows with equal doc_id do not remove each other's bytes; an empty table gives an empty result.
@@ -196,13 +197,29 @@ def contents(docs: DataFrame, n_shards: int) -> DataFrame:
     return docs.mapInPandas(rows, "shard int, payload binary")
 
 
-def collection_order(flat: np.ndarray, start: np.ndarray, size: np.ndarray, external: str | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted suffixes of a collection of strings: (string, suffix length), by the transform built column by column.
+def _least_between(values: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The least of values[left..right], ends included, for each pair: minima over powers of two, up to the widest asked."""
+    k = np.frexp((right - left + 1).astype(float))[1] - 1
+    n, top = len(values), int(k.max(initial=0))
+    table = np.empty((top + 1, n), dtype=values.dtype)
+    table[0] = values
+    for j in range(top):
+        width = n - (2 << j) + 1
+        np.minimum(table[j, :width], table[j, 1 << j : (1 << j) + width], out=table[j + 1, :width])
+    flat = table.ravel()
+    return np.minimum(flat[k * n + left], flat[k * n + right - (1 << k) + 1])
+
+
+def collection_order(flat: np.ndarray, start: np.ndarray, size: np.ndarray, external: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted suffixes of a collection of strings, as (string, suffix length, prefix shared with the one before, at
+    most LENGTH), by the transform built column by column.
 
     Round j inserts, for each string of at least j symbols, the symbol before its suffix of length j (255, never in UTF-8,
     where there is none). The suffixes with an entry before them, in stable order of that entry, are the new order
-    after the empty suffixes, so an entry's rank among equal symbols is the place of the suffix it begins.
-    external: a folder in which the column is a file, written in order each round.
+    after the empty suffixes, so an entry's rank among equal symbols is the place of the suffix it begins. A suffix and
+    the one before it that begin with one symbol share one more than the least that their tails, and those between the
+    tails, share with their predecessors; so each round settles the prefixes of what it inserts and of what follows that.
+    external: a folder in which the column and the prefixes are files, written in order each round.
     """
     m = len(start)
     end = start + size
@@ -210,7 +227,7 @@ def collection_order(flat: np.ndarray, start: np.ndarray, size: np.ndarray, exte
     def column(name: str, n: int) -> np.ndarray:
         return np.empty(n, dtype=np.uint8) if external is None else np.memmap(f"{external}/{name}", dtype=np.uint8, mode="w+", shape=(n,))
 
-    mark = flat[end - 1].copy()
+    mark, shared = flat[end - 1].copy(), np.zeros(m, dtype=np.uint8)
     who, fresh = np.arange(m), np.arange(m)  # strings by the place of the newest entry, and those places
     for j in range(1, int(size.max(initial=0)) + 1):
         new = np.zeros(len(mark), dtype=bool)
@@ -218,17 +235,30 @@ def collection_order(flat: np.ndarray, start: np.ndarray, size: np.ndarray, exte
         string = np.empty(len(mark), dtype=np.int32)
         string[fresh] = who
         by = np.argsort(mark, kind="stable")
-        at = np.flatnonzero(new[by])  # places among the suffixes that are not empty
+        is_new = new[by]
+        at = np.flatnonzero(is_new)  # places among the suffixes that are not empty
         who = string[by[at]]
         fresh = at + m
         more = size[who] > j
         symbol = np.where(more, flat[np.where(more, end[who] - j - 1, 0)], 255).astype(np.uint8)
-        c = column(f"column{j % 2}", len(mark) + len(at))
-        old = np.ones(len(c), dtype=bool)
+        n = len(mark) + len(at)
+        c, prefix = column(f"column{j % 2}", n), column(f"prefix{j % 2}", n)
+        old = np.ones(n, dtype=bool)
         old[fresh] = False
-        c[old] = mark
+        c[old], prefix[old] = mark, shared
         c[fresh] = symbol
-        mark = c
+        near = is_new[: n - m].copy()
+        near[1:] |= is_new[: n - m - 1]
+        if len(near) and near[0]:
+            prefix[m], near[0] = 0, False
+        ask = np.flatnonzero(near)
+        before, own = by[ask - 1], by[ask]
+        same = mark[before] == mark[own]
+        value = np.zeros(len(ask), dtype=np.uint8)
+        if same.any():
+            value[same] = np.minimum(_least_between(shared, before[same] + 1, own[same]), LENGTH - 1) + 1
+        prefix[m + ask] = value
+        mark, shared = c, prefix
     # Follow the transform from the empty suffixes on: the place of each string's suffix of length 1, 2, ...
     step = np.empty(len(mark), dtype=np.int64)
     step[np.argsort(mark, kind="stable")] = np.arange(m, len(mark) + m)
@@ -239,22 +269,17 @@ def collection_order(flat: np.ndarray, start: np.ndarray, size: np.ndarray, exte
         going = size[who] >= j
         who, place = who[going], step[place[going]]
         string[place], depth[place] = who, j
-    return string, depth
+    return string, depth, shared
 
 
 def repeated(flat: np.ndarray, start: np.ndarray, size: np.ndarray, least: np.ndarray, external: str | None = None) -> np.ndarray:
     """For each window of each string, in order, the smallest document of the window's class; least: that of each string."""
-    string, depth = collection_order(flat, start, size, external)
+    string, depth, shared = collection_order(flat, start, size, external)
+    # Suffixes shorter than a window lie between classes, never within one: what shares LENGTH bytes has as many.
+    begin = np.flatnonzero(shared < LENGTH)
+    low = np.repeat(np.minimum.reduceat(np.where(depth >= LENGTH, least[string], np.iinfo(np.int64).max), begin), np.diff(np.append(begin, len(string)))) if len(string) else np.zeros(0, dtype=np.int64)
     whole = depth >= LENGTH
-    string, offset = string[whole], (size[string[whole]] - depth[whole]).astype(np.int64)
-    at = start[string] + offset
-    eight = np.ndarray(shape=(len(flat) - 7,), dtype="<u8", buffer=np.ascontiguousarray(flat), strides=(1,))
-    same = np.ones(max(len(at) - 1, 0), dtype=bool)
-    for o in (0, 8, 16, 24, 32, 40, LENGTH - 8):
-        x = eight[at + o]
-        same &= x[1:] == x[:-1]
-    begin = np.flatnonzero(np.concatenate([[True], ~same])) if len(at) else np.zeros(0, dtype=np.int64)
-    low = np.repeat(np.minimum.reduceat(least[string], begin), np.diff(np.append(begin, len(at)))) if len(at) else np.zeros(0, dtype=np.int64)
+    string, offset, low = string[whole], (size[string[whole]] - depth[whole]).astype(np.int64), low[whole]
     windows = size - LENGTH + 1
     out = np.empty(int(windows.sum()), dtype=np.int64)
     out[(np.cumsum(windows) - windows)[string] + offset] = low

@@ -489,9 +489,12 @@ def test_collection_order():
     rng = random.Random(12)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(50, 84))) for _ in range(40)] + [b"a" * 60, b"a" * 84]
     flat, size = np.frombuffer(b"".join(strings) + bytes(8), np.uint8), np.array([len(s) for s in strings])
-    s, d = suffix_dedup.collection_order(flat, np.cumsum(size) - size, size)
+    s, d, shared = suffix_dedup.collection_order(flat, np.cumsum(size) - size, size)
     suffixes = [strings[i][len(strings[i]) - k :] for i, k in zip(s.tolist(), d.tolist(), strict=True)]
     assert suffixes == sorted(suffixes) and len(set(zip(s.tolist(), d.tolist(), strict=True))) == len(suffixes) == size.sum() + len(strings)
+    for k, (x, y) in enumerate(zip(suffixes, suffixes[1:]), 1):
+        both = next((n for n in range(min(len(x), len(y), 50)) if x[n] != y[n]), min(len(x), len(y), 50))
+        assert shared[k] == both
 
 
 BIG = 2**60
