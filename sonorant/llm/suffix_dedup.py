@@ -29,6 +29,8 @@ from contextlib import nullcontext
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -197,6 +199,11 @@ def contents(docs: DataFrame, n_shards: int) -> DataFrame:
     return docs.mapInPandas(rows, "shard int, payload binary")
 
 
+def _order(symbols: np.ndarray) -> np.ndarray:
+    """The stable order of byte symbols, by counting."""
+    return pc.array_sort_indices(pa.array(np.asarray(symbols))).to_numpy().view(np.int64)
+
+
 def _least_between(values: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The least of values[left..right], ends included, for each pair: minima over powers of two, up to the widest asked."""
     k = np.frexp((right - left + 1).astype(float))[1] - 1
@@ -234,7 +241,7 @@ def collection_order(flat: np.ndarray, start: np.ndarray, size: np.ndarray, exte
         new[fresh] = mark[fresh] != 255
         string = np.empty(len(mark), dtype=np.int32)
         string[fresh] = who
-        by = np.argsort(mark, kind="stable")
+        by = _order(mark)
         is_new = new[by]
         at = np.flatnonzero(is_new)  # places among the suffixes that are not empty
         who = string[by[at]]
@@ -261,7 +268,7 @@ def collection_order(flat: np.ndarray, start: np.ndarray, size: np.ndarray, exte
         mark, shared = c, prefix
     # Follow the transform from the empty suffixes on: the place of each string's suffix of length 1, 2, ...
     step = np.empty(len(mark), dtype=np.int64)
-    step[np.argsort(mark, kind="stable")] = np.arange(m, len(mark) + m)
+    step[_order(mark)] = np.arange(m, len(mark) + m)
     string, depth = np.empty(len(mark), dtype=np.int32), np.zeros(len(mark), dtype=np.uint8)
     who, place = np.arange(m), np.arange(m)
     string[place] = who

@@ -21,7 +21,7 @@ def folder(spark, tmp_path_factory):
         marks.append((i, int(i % 12 != 0), 0))
     rows += [(300 + i, rows[i][1], "en", "s0") for i in range(1, 240, 9)] + [(600 + i, rows[i][1] + " end", "en", "s1") for i in range(2, 240, 11)]
     path = tmp_path_factory.mktemp("pipe")
-    table(spark, rows + [(5000 + i, t) for i, (_, t, *_) in enumerate(odd(rng)) if t != "x" * 30_000]).write.parquet(f"{path}/documents.parquet")
+    table(spark, rows + [(5000 + i, t) for i, (_, t, *_) in enumerate(odd(rng))]).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(marks, LABELS).write.parquet(f"{path}/labels.parquet")
     return str(path)
 
@@ -94,3 +94,27 @@ def test_mix_copies_rows(spark, folder):
     docs = table(spark, [(None if i < 20 else 5, t, "en", "s") for i, t in enumerate(texts)])
     got = [r["text"] for r in cp.mix(spark, docs, folder).collect()]
     assert max(map(got.count, texts)) <= 2 and min(map(got.count, texts)) >= 1 and 44 <= len(got) <= 46
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stage_of_odd_rows_with_clashing_columns(spark, folder, stage):
+    """Columns named as a stage's own change nothing; an empty table passes through; several null ids and shared ids stay apart."""
+    from pyspark.sql import functions as F
+
+    f = cp.STAGES[stage][1]
+    rng = random.Random(30 + stage)
+    rows = [(None, prose(rng, 80)) for _ in range(3)] + [(BIG + i // 2, prose(rng, 80)) for i in range(6)] + [(None, None), (1, "")]
+    plain = table(spark, rows)
+    names = ["rid", "_rid", "copy", "digest", "gone_rid", "gone_doc_id", "component_id", "text_sha256", "kept", "node", "_id"]
+    clashing = plain.select("*", *[F.lit(f"mine {n}").alias(n) for n in names])
+    want, got = f(spark, plain, folder).collect(), f(spark, clashing, folder)
+    key = ("doc_id", "text") if stage < 4 else ("doc_id", "piece", "length", "ids_crc32")
+    assert sorted((repr([r[k] for k in key]) for r in got.collect())) == sorted(repr([r[k] for k in key]) for r in want)
+    if stage < 4:
+        assert got.columns == clashing.columns and all(r[n] == f"mine {n}" for r in got.collect() for n in names)
+    if stage in (0, 2):  # nothing here is rejected or a near copy
+        assert len(want) == len(rows)
+    assert f(spark, table(spark, []), folder).count() == 0
+
+
+BIG = 2**60
