@@ -2,7 +2,7 @@
 
 Every stage keeps each recording's number of samples. Disabled stages are not in the plan. Recordings (and channels,
 where a stage has them apart) are independent keys, so a run is as parallel as there are recordings. Results that several
-later steps read are written once and read again if a folder is given.
+later steps read are written once and read again where there is a shared folder.
 """
 
 from __future__ import annotations
@@ -46,9 +46,11 @@ def _lengths(chunks: DataFrame, name: str) -> DataFrame:
 def run(chunks: DataFrame, assets: DataFrame, rate: float, options: PipelineOptions | None = None, provider: TranscriptProvider | None = None, folder: str | None = None) -> Result:
     """Clean recordings of one sample rate. chunks: PCM_CHUNKS; assets: asset_id, sample_rate, num_samples.
 
-    folder: a path that all executors share, for results that are read more than once.
+    folder: a path that all executors share, for results that are read more than once; spark.checkpoint.dir by default,
+    and without either they are computed again. What is written stays until the caller removes it.
     """
     o, spark = options or PipelineOptions(), chunks.sparkSession
+    folder = folder or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     source = chunks.select("asset_id", "channel", "chunk_ix", "start_sample", "samples")
     report = assets.select("asset_id").join(_lengths(source, "input_samples"), "asset_id", "left").fillna(0, ["input_samples"])
     report = report.join(loudness.integrated(source, rate).withColumnRenamed("lufs", "input_lufs"), "asset_id", "left")
