@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sonorant.llm import exact_dedup, kneser_ney, license_scan, ngram_join, packing, pii, quality_rules, source_mix, suffix_dedup, toxicity
+from sonorant.llm import base_queries, exact_dedup, kneser_ney, license_scan, ngram_join, packing, pii, quality_rules, source_mix, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -17,7 +17,8 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "pipeline": corpus_pipeline.run,
-}
+} | base_queries.QUERIES
 
-#: The others have no form in SQL (trained models, seeded draws, tokenizers) and are held against plain Python in tests/llm.
-ORACLES = {"op3_ngram_join": ngram_join.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op10_suffix_dedup": suffix_dedup.ORACLE}
+#: The others have no form in SQL (trained models, seeded draws, tokenizers) and are held against plain Python in tests/llm;
+#: the base columns of four of them have queries of their own.
+ORACLES = {"op3_ngram_join": ngram_join.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op10_suffix_dedup": suffix_dedup.ORACLE} | base_queries.ORACLES
