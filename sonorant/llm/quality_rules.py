@@ -1,15 +1,19 @@
 """Quality rules: an isolation forest on rule statistics.
 
-Every text is reduced to rule statistics in one pass (word length, shares of symbols, capitals, repeats, ...). A forest
-of random splits is grown on half of a bounded sample of labelled rows (parameter `sample`); a document whose mean path
-is short is anomalous. A split's statistic is drawn in proportion to the ranges that the node's rows have, as in random
-cut forests, in units of the spread that the good labelled rows have; so a statistic that is nearly constant among good
-documents and not in the sample is split first, and nobody sets a range by hand. The threshold comes from the other
-half: it rejects as many bad rows as it can, and good ones at a price that `false_rejects` sets.
+Every text is reduced to rule statistics in one pass (word length, shares of symbols, capitals, repeats, ...), which are
+written once. Labelled ids fall into two halves by a hash. All rows of the first are the training set: the good ones set
+the statistics' units (quantiles, by Spark's mergeable summary), and each tree has `subsample` of the set's rows, drawn
+anew for each tree, as an isolation forest has it. A document whose mean path is short is anomalous. A split's
+statistic is drawn in proportion to the ranges that the node's rows have, as in random cut forests, in units of the
+spread that the good labelled rows have; so a statistic that is nearly constant among good documents and not in the
+training set is split first, and nobody sets a range by hand. The threshold comes from all rows of the other half: it
+rejects as many bad rows as it can, and good ones at a price that `false_rejects` sets. Up to 20,000 labelled rows go to
+the driver; beyond, it sees the trees' rows alone, drawn by hashes (trees x 192 expected, whatever the corpus), and the
+counts of all scores in at most 1,000,000 cells.
 The forest (trees x 2 * subsample nodes) is of fixed size and travels with the scoring function.
 
 Defined cases: a null text has no words; texts under 50 words fail the base rule; without labelled rows of both classes
-in each half of the sample, those that fail the base rule aside, the method rejects nothing; of rows that share a
+in each half, those that fail the base rule aside, the method rejects nothing; of rows that share a
 labelled id one is learned from, and a label given twice counts as the lower; repeated rows are scored one by one; an
 empty table gives an empty result.
 """
@@ -27,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonorant.llm.common import documents, id_in, id_out, labels, small_batches
+from sonorant.llm.common import documents, id_in, id_out, labels, materialise, small_batches
 
 _UPPER = bytes(range(65, 91))
 _DIGIT = b"0123456789"
@@ -104,18 +108,19 @@ class Forest:
         return 2.0 ** (-self.path[trees, node].mean(axis=1) / self.norm)
 
 
-def grow(x: np.ndarray, good: np.ndarray, trees: int = 128, subsample: int = 64, least_unit: float = 0.01, seed: int = 11) -> Forest:
-    """A forest on the rows of x; good: those that set the statistics' units (least_unit where they hardly differ)."""
+def grow(x: np.ndarray | list[np.ndarray], spread: np.ndarray, trees: int = 128, subsample: int = 64, least_unit: float = 0.01, seed: int = 11) -> Forest:
+    """A forest on the rows of x, or with a tree on each part of a list; spread: the low, middle and high of each
+    statistic among good rows, which set the units (least_unit where they hardly differ)."""
     rng = np.random.default_rng(seed)
-    low, centre, high = np.quantile(good, [0.005, 0.5, 0.995], axis=0)
+    low, centre, high = spread
     unit = np.maximum(high - low, least_unit)
-    x = (x - centre) / unit
-    m = min(subsample, len(x))
+    m = min(subsample, max(map(len, x)) if isinstance(x, list) else len(x))
     depth = max(1, math.ceil(math.log2(max(m, 2))))
     nodes = 2 ** (depth + 1) - 1
     rule, split, path = np.full((trees, nodes), -1, dtype=np.int32), np.zeros((trees, nodes)), np.zeros((trees, nodes))
     for t in range(trees):
-        todo = [(0, x[rng.choice(len(x), m, replace=False)], 0)]
+        part = x[t] if isinstance(x, list) else x[rng.choice(len(x), m, replace=False)]
+        todo = [(0, (part - centre) / unit, 0)]
         while todo:
             k, part, d = todo.pop()
             low, high = part.min(axis=0), part.max(axis=0)
@@ -133,57 +138,104 @@ def grow(x: np.ndarray, good: np.ndarray, trees: int = 128, subsample: int = 64,
     return Forest(rule, split, path, depth, max(float(_mean_path(m)), 1e-9), centre, unit)
 
 
-def threshold(good: np.ndarray, bad: np.ndarray, false_rejects: float) -> float:
+def threshold(cells: pd.DataFrame, false_rejects: float) -> float:
     """The score above which a document is rejected: the one with the best share of bad rows above it, less that of good
-    rows, where ten times `false_rejects` of the good weigh as much as all bad; halfway to the next higher score."""
-    if not len(good) or not len(bad):
-        return math.inf
-    good, bad = np.sort(good), np.sort(bad)
-    tried = np.unique(np.concatenate([good, bad]))
-    above = [1.0 - np.searchsorted(x, tried, side="right") / len(x) for x in (good, bad)]
+    rows, where ten times `false_rejects` of the good weigh as much as all bad; halfway to the next higher score.
+
+    cells: low, high (the least and largest score), good, bad (rows) of each cell of scores."""
+    cells = cells.sort_values("low")
+    good, bad = cells["good"].to_numpy(dtype=float), cells["bad"].to_numpy(dtype=float)
+    above = [1.0 - np.cumsum(x) / x.sum() for x in (good, bad)]
     best = int(np.argmax(above[1] - above[0] / (10 * false_rejects)))
-    return float(tried[best : best + 2].mean())
-
-
-def _statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = [rule_statistics(t) for t in b["text"]]
-        yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "failed": [fails(c) for c, _ in rows], "rules": [r for _, r in rows]})
-
-
-def fit(docs: DataFrame, marks: DataFrame, sample: int = 6000, false_rejects: float = 0.002, seed: int = 11) -> tuple[Forest | None, float]:
-    """The forest and the threshold from at most `sample` labelled ids, chosen by a hash of the id, one row of each."""
-    chosen = marks.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("long").alias("quality"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").mapInPandas(_statistics, "doc_id long, quality long, failed boolean, rules array<double>")
-    rows = rows.groupBy("doc_id").agg(F.min(F.struct("quality", "failed", "rules")).alias("r")).select("doc_id", "r.*").toPandas()
-    rows = rows[~rows["failed"].astype(bool)]  # the base rule has the rest
-    order = [crc32(str(d).encode()) for d in rows["doc_id"]]  # so that halves don't follow the ids
-    rows = rows.assign(order=order).sort_values(["order", "doc_id"], kind="stable")
-    x, q = np.array(rows["rules"].tolist(), dtype=float).reshape(-1, len(RULES)), rows["quality"].to_numpy()
-    if any(not (q[half::2] == k).any() for half in (0, 1) for k in (0, 1)):
+    low, high = cells["low"].to_numpy(), cells["high"].to_numpy()
+    return float((high[best] + low[min(best + 1, len(low) - 1)]) / 2 if best + 1 < len(low) else high[best])
+
+
+def statistics(docs: DataFrame) -> DataFrame:
+    """doc_id, the BASE counts, failed, rules for each row of docs."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [rule_statistics(t) for t in b["text"]]
+            base = np.array([r for r, _ in found], dtype=np.int64).reshape(-1, len(BASE))
+            yield pd.DataFrame({"doc_id": b["doc_id"], **{n: base[:, i] for i, n in enumerate(BASE)}, "failed": [fails(c) for c, _ in found], "rules": [r for _, r in found]})
+
+    shape = "doc_id string, " + ", ".join(f"{n} long" for n in BASE) + ", failed boolean, rules array<double>"
+    return id_out(docs.select(id_in("doc_id"), "text").mapInPandas(rows, shape))
+
+
+def learned_rows(stats: DataFrame, marks: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """doc_id, quality, rules, half (0: training) of every labelled id that passes the base rule, one row of each; ids are
+    broadcast while they are at most `most`."""
+    ids = marks.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("long").alias("quality"))
+    rows = stats.select("doc_id", "failed", "rules").join(F.broadcast(ids) if ids.count() <= most else ids.hint("merge"), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("quality", "failed", "rules")).alias("r")).select("doc_id", "r.*").where("NOT failed").drop("failed")
+    return rows.withColumn("half", F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(2)))
+
+
+def tree_rows(rows: DataFrame, n: int, trees: int, subsample: int, seed: int) -> list[np.ndarray]:
+    """For each tree its subsample of rows (n in all): those with the least hashes of doc_id and tree, so that reruns agree.
+
+    Rows above a hash that 3 * subsample rows are expected to stay below are not sent."""
+    top = 1 << 40
+    bound = min(top, 3 * subsample * top // n + 1)
+    hashed = F.pmod(F.xxhash64(F.lit(seed), F.col("tree"), F.col("doc_id")), F.lit(top))
+    drawn = rows.select("doc_id", "rules", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).withColumn("h", hashed).where(F.col("h") < bound)
+    got = drawn.toPandas().sort_values(["tree", "h", "doc_id"]).groupby("tree").head(subsample)
+    return [np.array(x.tolist(), dtype=float).reshape(-1, len(RULES)) for _, x in got.groupby("tree")["rules"]]
+
+
+def _spread(good: DataFrame) -> np.ndarray:
+    """The low, middle and high of each statistic, by mergeable summaries of all rows."""
+    top = good.agg(*[F.expr(f"percentile_approx(rules[{i}], array(0.005D, 0.5D, 0.995D), 100000)").alias(n) for i, n in enumerate(RULES)]).first()
+    return np.array([top[n] for n in RULES]).T
+
+
+def fit(stats: DataFrame, marks: DataFrame, false_rejects: float = 0.002, trees: int = 128, subsample: int = 64, seed: int = 11, most_local: int = 20_000) -> tuple[Forest | None, float]:
+    """The forest from all labelled rows of one half, and the threshold from all of the other.
+
+    most_local: up to so many labelled rows the driver takes them all; beyond, tasks draw, sum and count them."""
+    rows = materialise(learned_rows(stats, marks), "labelled-rules")
+    sizes = {(r["half"], r["quality"]): r["count"] for r in rows.groupBy("half", "quality").count().collect()}
+    if sum(sizes.values()) <= most_local:
+        got = rows.toPandas()
+        order = [crc32(str(d).encode()) for d in got["doc_id"]]  # so that halves don't follow the ids
+        got = got.assign(order=order).sort_values(["order", "doc_id"], kind="stable")
+        x, q = np.array(got["rules"].tolist(), dtype=float).reshape(-1, len(RULES)), got["quality"].to_numpy()
+        if any(not (q[half::2] == k).any() for half in (0, 1) for k in (0, 1)):
+            return None, math.inf
+        forest = grow(x[::2], np.quantile(x[::2][q[::2] == 1], [0.005, 0.5, 0.995], axis=0), trees, subsample, seed=seed)
+        a, q = forest.score(x[1::2]), q[1::2]
+        cells = pd.DataFrame({"low": a, "high": a, "good": q == 1, "bad": q == 0}).groupby("low", as_index=False).agg({"high": "max", "good": "sum", "bad": "sum"})
+        return forest, threshold(cells, false_rejects)
+    if any(not sizes.get((half, k)) for half in (0, 1) for k in (0, 1)):
         return None, math.inf
-    forest = grow(x[::2], x[::2][q[::2] == 1], seed=seed)
-    a, q = forest.score(x[1::2]), q[1::2]
-    return forest, threshold(a[q == 1], a[q == 0], false_rejects)
+    first, second = rows.where("half = 0"), rows.where("half = 1 AND quality IN (0, 1)")
+    n = sum(v for (half, _), v in sizes.items() if half == 0)
+    forest = grow(tree_rows(first, n, trees, subsample, seed), _spread(first.where("quality = 1")), trees, subsample, seed=seed)
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"quality": b["quality"], "score": forest.score(np.array(b["rules"].tolist(), dtype=float).reshape(-1, len(RULES)))})
+
+    cells = second.select("quality", "rules").mapInPandas(scored, "quality long, score double").groupBy((F.col("score") * 1_000_000).cast("long").alias("cell"))
+    counts = [F.sum((F.col("quality") == k).cast("long")).alias(name) for k, name in ((1, "good"), (0, "bad"))]
+    return forest, threshold(cells.agg(F.min("score").alias("low"), F.max("score").alias("high"), *counts).toPandas(), false_rejects)
 
 
 def quality_rules(docs: DataFrame, marks: DataFrame, **options) -> DataFrame:
     """doc_id, the BASE counts, base_failed, kept, anomaly for each row of docs (doc_id, text); marks: doc_id, quality."""
     small_batches(docs.sparkSession)
-    forest, limit = fit(docs, marks, **options)
+    stats = materialise(statistics(docs), "rule-statistics")
+    forest, limit = fit(stats, marks, **options)
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [rule_statistics(t) for t in b["text"]]
-            base = np.array([r for r, _ in rows], dtype=np.int64).reshape(-1, len(BASE))
-            rules = np.array([r for _, r in rows], dtype=float).reshape(-1, len(RULES))
-            failed = np.array([fails(c) for c, _ in rows], dtype=bool)
-            anomaly = forest.score(rules) if forest else np.zeros(len(b))
-            yield pd.DataFrame({"doc_id": b["doc_id"], **{n: base[:, i] for i, n in enumerate(BASE)}, "base_failed": failed, "kept": ~failed & ~(anomaly > limit), "anomaly": anomaly})
-
-    shape = "doc_id string, " + ", ".join(f"{n} long" for n in BASE) + ", base_failed boolean, kept boolean, anomaly double"
-    return id_out(docs.select(id_in("doc_id"), "text").mapInPandas(scored, shape))
+    @F.pandas_udf("double")
+    def anomaly(rules: pd.Series) -> pd.Series:
+        x = np.array(rules.tolist(), dtype=float).reshape(-1, len(RULES))
+        return pd.Series(forest.score(x) if forest else np.zeros(len(x)))
+
+    out = stats.withColumn("anomaly", anomaly("rules"))
+    return out.select("doc_id", *BASE, F.col("failed").alias("base_failed"), (~F.col("failed") & ~(F.col("anomaly") > limit)).alias("kept"), "anomaly")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

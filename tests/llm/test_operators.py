@@ -9,7 +9,9 @@ from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sonorant.llm import exact_dedup, kneser_ney, license_scan, ngram_join, packing, pii, quality_rules, source_mix, suffix_dedup, toxicity
 from tests.llm.helpers import LABELS, odd, prose, table
@@ -86,6 +88,32 @@ def test_quality_forest_on_held_out_rows(spark):
     assert np.mean([r["kept"] for r in late if r["doc_id"] % 8]) > 0.97 and not any(r["kept"] for r in late if r["doc_id"] % 8 == 0)
 
 
+def test_quality_forest_learns_from_every_label(spark):
+    """More labelled rows than the 6,000 that a sample once had: all set units, trees and threshold."""
+    marks = spark.range(7000).selectExpr("id AS doc_id", "CAST(id % 9 > 0 AS int) AS quality")
+    stats = spark.range(7000).selectExpr("id AS doc_id", "false AS failed", "array_repeat(CAST(id AS double), 9) AS rules")
+    rows = quality_rules.learned_rows(stats, marks)
+    assert rows.count() == 7000 and rows.where("half = 0").count() > 3300
+    trees = quality_rules.tree_rows(rows, 7000, 128, 64, 1)
+    assert [len(t) for t in trees] == [64] * 128 and len(np.unique(np.concatenate(trees), axis=0)) > 2900
+    seen = []
+
+    def held(cells, false_rejects, real=quality_rules.threshold):
+        seen.append(int(cells["good"].sum() + cells["bad"].sum()))
+        return real(cells, false_rejects)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(quality_rules, "threshold", held)
+        quality_rules.fit(stats, marks)
+        quality_rules.fit(stats, marks, most_local=0)
+    assert seen == [3500, rows.where("half = 1").count()]
+
+
+def test_quality_threshold():
+    cells = pd.DataFrame({"low": [0.5, 0.3, 0.4], "high": [0.55, 0.35, 0.4], "good": [0, 90, 10], "bad": [7, 0, 0]})
+    assert quality_rules.threshold(cells, 0.002) == 0.45
+
+
 PII = [
     "mail a.b+c@x-y.co.uk, x@y and p@q.r_s@t.u or a@b@c.de", "1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8.9 00001.02.3.0255 9" + "9" * 30 + ".1.1.1", "4539 1488 0343 6467 4539148803436467-1 4539148803436468 1 2 3",
     "+1 (415) 555-0100 +1 +123456789012345678 +49-30-1234567-", "", None, "x" * 20_000 + "@a.b", "1." * 500, "é +1 (415) 555-0100 😀 a@b.cd", 'token = "cb1a9fee807a05366fcb8b6c95c7c565ede51a72"',
