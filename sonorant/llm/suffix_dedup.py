@@ -42,6 +42,8 @@ REACH = LENGTH - GRAM + 1  # 16-byte substrings in a window, and the most window
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BLOCK = 3_000_000
 _COLLECTION = 300_000
+_WIDE = 64
+_LOG = np.frexp(np.maximum(np.arange(2 * _WIDE + 1), 1).astype(float))[1].astype(np.int64) - 1
 
 
 def _sliding_least(h: np.ndarray, width: int) -> np.ndarray:
@@ -204,9 +206,22 @@ def _order(symbols: np.ndarray) -> np.ndarray:
     return pc.array_sort_indices(pa.array(np.asarray(symbols))).to_numpy().view(np.int64)
 
 
+def _places(by: np.ndarray, first: np.ndarray, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Where `by` has each place; by: the stable order of symbols, first[x]: where symbol x begins in it; symbol and place: sorted by both."""
+    out = np.empty(len(place), dtype=np.int64)
+    cuts = np.append(np.flatnonzero(np.diff(symbol, prepend=-1)), len(symbol)).tolist()
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        a, z = first[symbol[i]], first[symbol[i] + 1]
+        out[i:j] = np.searchsorted(by[a:z], place[i:j]) + a
+    return out
+
+
 def _least_between(values: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The least of values[left..right], ends included, for each pair: minima over powers of two, up to the widest asked."""
-    k = np.frexp((right - left + 1).astype(float))[1] - 1
+    """The least of values[left..right], ends included, for each pair: minima over powers of two, up to the widest asked;
+    from _WIDE values on, over blocks of as many."""
+    size = right - left + 1
+    wide = size >= 2 * _WIDE
+    k = np.minimum(_LOG[np.minimum(size, 2 * _WIDE)], _LOG[_WIDE])
     n, top = len(values), int(k.max(initial=0))
     table = np.empty((top + 1, n), dtype=values.dtype)
     table[0] = values
@@ -214,7 +229,12 @@ def _least_between(values: np.ndarray, left: np.ndarray, right: np.ndarray) -> n
         width = n - (2 << j) + 1
         np.minimum(table[j, :width], table[j, 1 << j : (1 << j) + width], out=table[j + 1, :width])
     flat = table.ravel()
-    return np.minimum(flat[k * n + left], flat[k * n + right - (1 << k) + 1])
+    out = np.minimum(flat[k * n + left], flat[k * n + right - (1 << k) + 1])
+    if wide.any():  # the ends are done; the blocks between them
+        blocks = np.ascontiguousarray(table[top, : n // _WIDE * _WIDE : _WIDE])
+        a, z = -(-left[wide] // _WIDE), (right[wide] + 1) // _WIDE - 1
+        out[wide] = np.minimum(out[wide], _least_between(blocks, a, z))
+    return out
 
 
 def collection_order(flat: np.ndarray, start: np.ndarray, size: np.ndarray, external: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -235,30 +255,32 @@ def collection_order(flat: np.ndarray, start: np.ndarray, size: np.ndarray, exte
         return np.empty(n, dtype=np.uint8) if external is None else np.memmap(f"{external}/{name}", dtype=np.uint8, mode="w+", shape=(n,))
 
     mark, shared = flat[end - 1].copy(), np.zeros(m, dtype=np.uint8)
+    held = np.bincount(mark, minlength=256)  # entries by symbol
     who, fresh = np.arange(m), np.arange(m)  # strings by the place of the newest entry, and those places
     for j in range(1, int(size.max(initial=0)) + 1):
-        new = np.zeros(len(mark), dtype=bool)
-        new[fresh] = mark[fresh] != 255
-        string = np.empty(len(mark), dtype=np.int32)
-        string[fresh] = who
+        last = mark[fresh]
+        going = np.flatnonzero(last != 255)
+        going = going[_order(last[going])]
         by = _order(mark)
-        is_new = new[by]
-        at = np.flatnonzero(is_new)  # places among the suffixes that are not empty
-        who = string[by[at]]
+        first = np.append(0, np.cumsum(held))
+        # Places among the suffixes that are not empty, and strings.
+        at = _places(by, first, last[going].astype(np.int64), fresh[going])
+        who = who[going]
         fresh = at + m
         more = size[who] > j
         symbol = np.where(more, flat[np.where(more, end[who] - j - 1, 0)], 255).astype(np.uint8)
+        held = held + np.bincount(symbol, minlength=256)
         n = len(mark) + len(at)
         c, prefix = column(f"column{j % 2}", n), column(f"prefix{j % 2}", n)
         old = np.ones(n, dtype=bool)
         old[fresh] = False
         c[old], prefix[old] = mark, shared
         c[fresh] = symbol
-        near = is_new[: n - m].copy()
-        near[1:] |= is_new[: n - m - 1]
-        if len(near) and near[0]:
-            prefix[m], near[0] = 0, False
-        ask = np.flatnonzero(near)
+        after = at + 1  # what follows an insertion, unless inserted too
+        after = after[np.append(at[1:] != after[:-1], after[-1] < n - m)] if len(at) else after
+        ask = np.concatenate([at, after])
+        if len(at) and at[0] == 0:
+            prefix[m], ask = 0, ask[1:]
         before, own = by[ask - 1], by[ask]
         same = mark[before] == mark[own]
         value = np.zeros(len(ask), dtype=np.uint8)

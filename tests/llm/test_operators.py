@@ -513,6 +513,20 @@ def test_suffix_dedup_with_equal_ids(spark):
     assert sorted(((r["doc_id"] or 0), r["n_removed"] > 0) for r in got) == [(0, False), (1, False), (1, False), (2, False), (2, True), (3, True)]
 
 
+def test_least_between_and_places():
+    rng = np.random.default_rng(13)
+    for n in (1, 63, 64, 200, 10_000):
+        values = rng.integers(0, 50, n).astype(np.uint8)
+        left = rng.integers(0, n, 300)
+        right = np.minimum(left + rng.integers(0, rng.choice([2, 130, 9000], 300)), n - 1)
+        assert suffix_dedup._least_between(values, left, right).tolist() == [values[a : b + 1].min() for a, b in zip(left, right, strict=True)]
+        order = suffix_dedup._order(values)
+        place = np.sort(rng.choice(n, -(-n // 3), replace=False))
+        place = place[np.argsort(values[place], kind="stable")]
+        first = np.append(0, np.cumsum(np.bincount(values, minlength=256)))
+        assert (order[suffix_dedup._places(order, first, values[place].astype(np.int64), place)] == place).all()
+
+
 def test_collection_order():
     rng = random.Random(12)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(50, 84))) for _ in range(40)] + [b"a" * 60, b"a" * 84]
