@@ -62,6 +62,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete what materialise() wrote for df, which nobody reads again."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _remove(df.sparkSession, folder)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of DataFrames that nobody holds any more."""
     for _ in range(2):  # the second pass finds what the first one's finalizers let go

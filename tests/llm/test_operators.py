@@ -460,6 +460,66 @@ def test_quality_classifier_on_held_out_rows(spark):
     assert not any(r["kept"] for r in late if r["doc_id"] % 10 < 3) and all(r["kept"] for r in late if r["doc_id"] % 10 > 2)
 
 
+def test_word_trigrams_against_plain_counts(spark):
+    rng = random.Random(9)
+    names = sorted(set(prose(rng, 60).split()))
+    texts = [" ".join(rng.choice(names[: 5 + i % 40]) for _ in range(1 + i * 7 % 90)) for i in range(60)] + ["", "new words here only", names[0], f"{names[1]} new {names[1]} {names[2]}"]
+    texts.append(texts[50])
+    docs = spark.createDataFrame([(i, i < 45, t) for i, t in enumerate(texts)], "key long, trained boolean, text string")
+    words = [[w for w, before in zip(t.split(), ["", *t.split()]) if w != before] for t in texts]
+    code = np.concatenate([kneser_ney.spelled([w])[0] for x in words[:45] for w in x])
+    spelling = kneser_ney.probabilities(np.bincount(code, minlength=kneser_ney.N_CLASSES**kneser_ney.ORDER))
+
+    first = Counter(x[0] for x in words[:45])
+    triples = Counter(g for x in words[:45] for g in zip(["", *x], x, x[1:]))
+    pairs = Counter((v, w) for _, v, w in triples)
+    ends = Counter(w for _, w in pairs)
+
+    def level(counts):
+        d = kneser_ney.discounts(kneser_ney.tally(np.array(list(counts.values()))))
+        groups = defaultdict(list)
+        for k, c in counts.items():
+            groups[k[:-1] if isinstance(k, tuple) else ()].append(c)
+        of = {k: (sum(c), sum(d[min(x, 3)] for x in c)) for k, c in groups.items()}
+
+        def p(key, low):
+            total, spare = of.get(key[:-1] if isinstance(key, tuple) else (), (0, 0))
+            return (counts[key] - d[min(counts[key], 3)] + spare * low) / total if total else low
+
+        return p
+
+    p0, p1, p2, p3 = level(first), level(ends), level(pairs), level(triples)
+    want = {}
+    for i, x in enumerate(words):
+        low = {w: p1(w, np.exp(spelling[kneser_ney.spelled([w])[0]].sum(dtype=float))) for w in x}
+        want[i] = -sum(np.log(p3((u, v, w), p2((v, w), low[w]))) for u, v, w in zip(["", *x], x, x[1:])) - (np.log(p0(x[0], low[x[0]])) if x else 0)
+    repeats = [len(t.split()) - len(x) for t, x in zip(texts, words)]
+    for shard_words, passes in ((10**6, 1), (150, 3)):
+        model = kneser_ney.train(docs.where("trained"), sum(map(len, words)), shard_words)
+        assert (model.pairs is not None) == (shard_words == 150)
+        cost = model.lowest.value().rest[2]
+        got = {r["key"]: r["loss"] - repeats[r["key"]] * cost for r in kneser_ney.judged(docs, model, passes).collect()}
+        assert got.keys() == {i for i, x in enumerate(words) if x}
+        assert all(got[i] == pytest.approx(want[i], rel=1e-4) for i in got)
+
+
+def test_quality_classifier_tells_order_of_words(spark):
+    rng = random.Random(10)
+    names = sorted(set(prose(rng, 400).split()))
+    after = {w: rng.sample(names, 2) for w in names}
+
+    def chain(n):
+        x = [rng.choice(names)]
+        while len(x) < n:
+            x.append(rng.choice([w for w in after[x[-1]] if w != x[-1]]))
+        return x
+
+    docs = [(i, " ".join(x if i % 3 else rng.sample(x, len(x)))) for i in range(300) for x in [chain(100)]]
+    got = kneser_ney.quality_classifier(table(spark, docs), spark.createDataFrame([(i, 1, 0) for i in range(240) if i % 3], LABELS)).collect()
+    late = [r for r in got if r["doc_id"] >= 240]
+    assert not any(r["kept"] for r in late if r["doc_id"] % 3 == 0) and sum(r["kept"] for r in late if r["doc_id"] % 3) >= 38
+
+
 @pytest.mark.parametrize("heavy", [2, 500])
 def test_exact_dedup(spark, rows, heavy):
     rows = rows + [(20, "one\ttwo"), (21, "\none two"), (22, " one two")]
