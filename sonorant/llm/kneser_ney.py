@@ -6,7 +6,7 @@ never seen a probability. Every trusted text is counted whole, and no word or n-
 
 Counts are joined with the documents' n-grams in shards by an n-gram's middle word, so that contexts, pairs and
 continuation counts of an n-gram are in one shard; frequent words are dealt over several. N-grams travel as word numbers,
-in several passes over the documents, each with its part of the shards. The words themselves (some 14 bytes each, with
+in several passes over the documents, each with its part of the shards. The words themselves (20 bytes each, with
 their probability without context) and the spelling table (21 MB, compressed) go to all tasks.
 
 A document's perplexity per symbol is smoothed towards its language's trusted mean (`prior` symbols), so a very short

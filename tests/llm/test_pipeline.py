@@ -88,6 +88,21 @@ def test_classify_judges_rows(spark, folder, tmp_path):
     assert sorted(r["text"] for r in left) == sorted(clean)
 
 
+def test_classify_tells_order_of_words(spark, tmp_path):
+    rng = random.Random(10)
+    names = sorted(set(prose(rng, 400).split()))
+    after = {w: rng.sample([x for x in names if x != w], 2) for w in names}
+    rows = []
+    for i in range(300):
+        x = [rng.choice(names)]
+        while len(x) < 100:
+            x.append(rng.choice(after[x[-1]]))
+        rows.append((i, " ".join(x if i % 3 else rng.sample(x, len(x)))))
+    spark.createDataFrame([(i, 1, 0) for i in range(240) if i % 3], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    left = {r["doc_id"] for r in cp.classify(spark, table(spark, rows), str(tmp_path)).collect()}
+    assert not {i for i in left if i % 3 == 0} and len({i for i in left if i >= 240}) >= 38
+
+
 def test_near_drops_rows(spark, folder):
     rng = random.Random(6)
     a, b, c, d, e = (prose(rng, 90) for _ in range(5))
