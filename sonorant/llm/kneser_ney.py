@@ -38,6 +38,8 @@ from sonorant.llm.common import discard, documents, labels, materialise, small_b
 
 N_CLASSES, ORDER = 48, 4
 _WORDS, _BUCKETS = 1_200_000, 16
+_SLICE = 100_000  # entries that are worked on at once where arrays beside the result would be as long as it
+_SPELLED = 20_000  # words whose characters are looked up at once
 _GROUPS = {31: ".", 32: ",", 33: ";:", 34: "!", 35: "?", 36: "'\"", 37: "()[]{}", 38: "-_", 39: "|", 40: "#*$%&<>", 42: "=@/+"}
 _TOKENS = re.compile(r"\s+|\S+")
 
@@ -173,12 +175,12 @@ class Shared:
         self.sent.destroy()
 
 
-class Numbers(defaultdict):
-    """Numbers for words as they come."""
+class Numbers(dict):
+    """Numbers for words as they come. Nothing in it refers to itself, so a block's words go with it and wait for no collection of cycles."""
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.default_factory = self.__len__
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
 
     def of(self, text: str | None) -> tuple[np.ndarray, int, int]:
         """The numbers of the text's words without those that repeat the one before, how many those were, and its symbols: characters without repeated words, and one for each of these."""
@@ -230,6 +232,8 @@ class Words(NamedTuple):
         return np.where(self.hash[at] == h, self.number[at], UNKNOWN).astype(np.int32)
 
     def shard(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        if len(u) > _SLICE:
+            return np.concatenate([self.shard(u[i : i + _SLICE], v[i : i + _SLICE]) for i in range(0, len(u), _SLICE)])
         out = (_mixed(v) % np.uint64(self.n_shards)).astype(np.int32)
         yes = np.flatnonzero(v < len(self.parts))
         if len(yes):
@@ -316,9 +320,9 @@ def messages(docs: DataFrame, words: Shared, lowest: Shared | None = None, part:
             low = lowest.value()
             p = low.known[number].astype(float)
             new = np.flatnonzero(number == UNKNOWN)
-            for i in range(0, len(new), 200_000):
-                code, begin = spelled([names[k] for k in new[i : i + 200_000].tolist()])
-                p[new[i : i + 200_000]] = np.add.reduceat(low.spelling[code].astype(float), begin)
+            for i in range(0, len(new), _SPELLED):
+                code, begin = spelled([names[k] for k in new[i : i + _SPELLED].tolist()])
+                p[new[i : i + _SPELLED]] = np.add.reduceat(low.spelling[code].astype(float), begin)
             p[new] += low.rest[0]
             first = np.where(low.first[number] < 0, low.first[number], low.rest[1] + p)
             for i, (_, _, x) in enumerate(held):
@@ -350,34 +354,66 @@ def messages(docs: DataFrame, words: Shared, lowest: Shared | None = None, part:
     return docs.select("key", "trained", "text").mapInPandas(rows, "shard int, own boolean, payload binary")
 
 
+def ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values in order, and the place of each entry's among them: np.unique with less memory."""
+    order = np.argsort(x)
+    x = x[order]
+    new = np.append(True, x[1:] != x[:-1])[: len(x)]
+    place = np.empty(len(x), dtype=np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return x[new], place
+
+
 class Grams:
-    """The different n-grams of a shard's payloads in the order of (v, u, w), their contexts (u, v) and pairs (v, w), and the trained counts."""
+    """The different n-grams of a shard's payloads in the order of (v, u, w), their contexts (u, v) and pairs (v, w), and the trained counts.
+
+    What has an entry for each n-gram has 32 bits wherever it can, and goes when it is used up.
+    """
 
     def __init__(self, payloads: list[bytes], n: int) -> None:
         keys, counts = [], []
         self.rows = []  # of each payload: the block and its rows, and each n-gram's row and place among the payload's different ones
+        narrow = n < 1 << 21
         for p in payloads:
             block, steps, flag, new, u, v, w = _unpack(p)
             row = np.cumsum(new, dtype=np.int32) - 1
-            if n < 1 << 21:
-                k, at = np.unique((v.astype(np.int64) << 42) | (u.astype(np.int64) << 21) | w, return_inverse=True)
-                k = np.stack([k >> 42, (k >> 21) & 0x1FFFFF, k & 0x1FFFFF])
+            if narrow:
+                k, at = ranked((v.astype(np.int64) << 42) | (u.astype(np.int64) << 21) | w)
             else:
-                vu, at = np.unique((v.astype(np.int64) << 32) | u, return_inverse=True)
-                k, at = np.unique(at * n + w, return_inverse=True)
-                k = np.stack([vu[k // n] >> 32, vu[k // n] & 0xFFFFFFFF, k % n])
-            keys.append(k.astype(np.int32))
-            counts.append(np.bincount(at[flag[row] > 0], minlength=k.shape[1]).astype(np.int32))
-            self.rows.append((int(block[0]), np.cumsum(steps, dtype=np.int64), row, at.astype(np.int32)))
-        v, u, w = np.concatenate(keys, axis=1)
-        del keys
-        vu, context = np.unique((v.astype(np.int64) << 32) | u, return_inverse=True)
-        triple, self.place = np.unique(context * n + w, return_inverse=True)
-        self.context, w = triple // n, triple % n
-        self.n_contexts = len(vu)
-        self.count = np.bincount(self.place, weights=np.concatenate(counts), minlength=len(triple)).astype(np.int64)
-        pair, self.pair = np.unique(((vu >> 32) << 32)[self.context] | w, return_inverse=True)
-        self.v, self.w = pair >> 32, pair & 0xFFFFFFFF
+                vu, at = ranked((v.astype(np.int64) << 32) | u)
+                k, at = ranked(at.astype(np.int64) * n + w)
+                k = np.stack([vu[k // n] >> 32, vu[k // n] & 0xFFFFFFFF, k % n]).astype(np.int32)
+            keys.append(k)
+            counts.append(np.bincount(at[flag[row] > 0], minlength=k.shape[-1]).astype(np.int32))
+            self.rows.append((int(block[0]), np.cumsum(steps, dtype=np.int64), row, at))
+        if narrow:
+            key = np.concatenate(keys)
+            keys.clear()
+            triple, self.place = ranked(key)
+            del key
+            new = np.diff(triple >> 21, prepend=-1) != 0
+            v, w = (triple >> 42).astype(np.int32), (triple & 0x1FFFFF).astype(np.int32)
+            self.context = np.cumsum(new, dtype=np.int32) - 1
+            self.n_contexts = int(new.sum())
+        else:
+            v, u, w = np.concatenate(keys, axis=1)
+            keys.clear()
+            vu, context = ranked((v.astype(np.int64) << 32) | u)
+            del v, u
+            triple, self.place = ranked(context.astype(np.int64) * n + w)
+            del context
+            self.context, w = (triple // n).astype(np.int32), (triple % n).astype(np.int32)
+            v = (vu >> 32).astype(np.int32)[self.context]
+            self.n_contexts = len(vu)
+        self.count, begin = np.zeros(len(triple), dtype=np.int64), 0
+        del triple
+        for c in counts:  # a payload's n-grams differ from each other
+            self.count[self.place[begin : begin + len(c)]] += c
+            begin += len(c)
+        del counts
+        pair, self.pair = ranked((v.astype(np.int64) << 32) | w)
+        del v, w
+        self.v, self.w = (pair >> 32).astype(np.int32), (pair & 0xFFFFFFFF).astype(np.int32)
         #: How many different words come before a pair.
         self.follows = np.bincount(self.pair[self.count > 0], minlength=len(pair))
 
@@ -427,11 +463,20 @@ def level(c: np.ndarray, d: np.ndarray, total: np.ndarray, spare: np.ndarray, lo
         return np.where(total > 0, np.logaddexp(np.log((c - d[np.minimum(c, 3)]) / some), np.log(spare / some) + low), low)
 
 
+def levels(c: np.ndarray, d: np.ndarray, of: np.ndarray, total: np.ndarray, spare: np.ndarray, to: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """level() with the total and spare of the contexts `of`, and low at `to`, which are looked up a slice at a time."""
+    out = np.empty(len(c))
+    for i in range(0, len(c), _SLICE):
+        x = slice(i, i + _SLICE)
+        out[x] = level(c[x], d, total[of[x]], spare[of[x]], low[to[x]].astype(float))
+    return out
+
+
 def losses(payloads: list[bytes], pairs: dict[int, bytes], low: np.ndarray, d3: np.ndarray, d2: np.ndarray) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
     """By block: rows and -log P of their n-grams in this shard; pairs: those of frequent words, whole; low: log P without context by number."""
     g = Grams(payloads, len(low))
     follows = g.follows
-    v, at = np.unique(g.v, return_inverse=True)
+    v, at = ranked(g.v)
     total2, spare2 = _sums(at, follows, d2, len(v))
     for word, payload in pairs.items():  # the words before a pair of theirs are in several shards
         i = int(np.searchsorted(v, word))
@@ -441,9 +486,11 @@ def losses(payloads: list[bytes], pairs: dict[int, bytes], low: np.ndarray, d3:
             x = np.flatnonzero(at == i)
             k = np.minimum(np.searchsorted(w, g.w[x]), len(w) - 1)
             follows[x] = np.where(w[k] == g.w[x], c[k], 0)
-    p = level(follows, d2, total2[at], spare2[at], low[g.w].astype(float))
+    p = levels(follows, d2, at, total2, spare2, g.w, low)
+    del follows, at
     total3, spare3 = _sums(g.context, g.count, d3, g.n_contexts)
-    p = level(g.count, d3, total3[g.context], spare3[g.context], p[g.pair])
+    p = levels(g.count, d3, g.context, total3, spare3, g.pair, p)
+    del g.count, g.context, g.pair, g.follows
     out, begin = defaultdict(list), 0
     for block, rows, row, k in g.rows:
         n = int(k.max()) + 1
@@ -460,9 +507,9 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.bincount(np.concatenate(held), minlength=len(known))
         first = np.bincount([x[0] for x in held if len(x)], minlength=len(known))
         names = list(known)
-        for i in range(0, len(names), 200_000):
-            code, begin = spelled(names[i : i + 200_000])
-            total[:] += np.bincount(code, weights=np.repeat(n[i : i + 200_000], np.diff(np.append(begin, len(code)))), minlength=len(total)).astype(np.int64)
+        for i in range(0, len(names), _SPELLED):
+            code, begin = spelled(names[i : i + _SPELLED])
+            np.add.at(total, code, np.repeat(n[i : i + _SPELLED], np.diff(np.append(begin, len(code)))))
         h = hashes(names)
         bucket = (h % np.uint64(_BUCKETS)).astype(np.int64)
         out = []
@@ -515,8 +562,10 @@ def vocabulary(found: DataFrame, spelling: np.ndarray) -> tuple[np.ndarray, ...]
         for p in parts:
             known.update(zip(p[0].tolist(), p[3].tobytes().decode("utf-8", "surrogatepass").split(" "), strict=True) if len(p[0]) else ())
         h, n, first = summed([_pack(*p[:3]) for p in parts])
-        code, begin = spelled([known[k] for k in h.tolist()])
-        spell = np.add.reduceat(table[code].astype(float), begin) if len(h) else np.zeros(0)
+        spell = np.zeros(len(h))
+        for i in range(0, len(h), _SPELLED):
+            code, begin = spelled([known[k] for k in h[i : i + _SPELLED].tolist()])
+            spell[i : i + _SPELLED] = np.add.reduceat(table[code].astype(float), begin)
         return pd.DataFrame([(_pack(h, n, first, spell.astype("<f4")),)], columns=["payload"])
 
     got = found.where("kind = 2").groupBy("code").applyInPandas(merged, "payload binary").collect()

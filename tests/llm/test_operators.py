@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import random
 import re
+import tracemalloc
+import weakref
 from collections import Counter, defaultdict
 from zlib import crc32
 
@@ -503,6 +506,64 @@ def test_word_trigrams_against_plain_counts(spark):
         assert all(got[i] == pytest.approx(want[i], rel=1e-4) for i in got)
 
 
+def test_words_of_a_block_go_with_it():
+    known = kneser_ney.Numbers()
+    assert known.of("b a b b c")[0].tolist() == [0, 1, 0, 2] and list(known) == ["b", "a", "c"]
+    gone = weakref.ref(known)
+    gc.disable()  # collections of cycles come late in a worker that is used again and again
+    try:
+        del known
+        assert gone() is None
+    finally:
+        gc.enable()
+
+
+def shard_payloads(n_words: int, texts: int, size: int) -> list[bytes]:
+    rng = np.random.default_rng(3)
+    words = kneser_ney.Words(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.array([1]))
+    held = [(i, i % 3 > 0, (rng.zipf(1.3, size) % (n_words - kneser_ney.FIRST)).astype(np.int32)) for i in range(texts)]
+    number = np.arange(kneser_ney.FIRST, n_words, dtype=np.int32)
+    return [p for i in range(0, texts, 50) for _, p in kneser_ney._block(held[i : i + 50], number, words, 0, 1)]
+
+
+def test_shard_of_few_and_of_many_numbers():
+    payloads, d = shard_payloads(5_000, 200, 300), np.array([0.0, 0.6, 0.9, 1.2])
+    low = np.log(np.linspace(1e-6, 1e-3, 5_000)).astype(np.float32)
+    few = kneser_ney.losses(payloads, {}, low, d, d)
+    many = kneser_ney.losses(payloads, {}, np.append(low, np.zeros(1 << 21, np.float32)), d, d)
+    assert few.keys() == many.keys() and len(few) == 4
+    for b in few:
+        for (r, x), (s, y) in zip(few[b], many[b], strict=True):
+            assert r.tolist() == s.tolist() and x.tolist() == y.tolist() and (x > 0).all()
+
+
+def test_memory_of_a_shard():
+    payloads, d = shard_payloads(5_000, 800, 500), np.array([0.0, 0.6, 0.9, 1.2])
+    low = np.log(np.linspace(1e-6, 1e-3, 5_000)).astype(np.float32)
+    tracemalloc.start()
+    try:
+        kneser_ney.losses(payloads, {}, low, d, d)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak / 400_000 < 60  # bytes an n-gram
+
+
+def test_memory_of_counting():
+    rng = random.Random(4)
+    texts = [prose(rng, 200) for _ in range(400)]
+    list(kneser_ney._count(iter([pd.DataFrame({"text": texts[:1]})])))
+    tracemalloc.start()
+    try:
+        got = pd.concat(kneser_ney._count(iter([pd.DataFrame({"text": texts})])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    want = Counter(c for t in texts for w, before in zip(t.split(), ["", *t.split()]) if w != before for c in kneser_ney.spelled([w])[0].tolist())
+    assert {r.code: r.n for r in got[got["kind"] == 0].itertuples()} == want
+    assert peak < 2 * 8 * kneser_ney.N_CLASSES**kneser_ney.ORDER  # the table of counts, and no other as large
+
+
 def test_quality_classifier_tells_order_of_words(spark):
     rng = random.Random(10)
     names = sorted(set(prose(rng, 400).split()))
