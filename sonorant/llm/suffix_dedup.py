@@ -3,10 +3,17 @@
 Every 50-byte string of every text is judged. Texts are cut into short overlapping strings: a run of consecutive 50-byte
 windows that have the same minimizer (the least hash of a 16-byte substring). Equal windows have equal minimizers, so
 sending strings to shards by minimizer brings equal windows together, and each shard is a collection of strings of at
-most 84 bytes. It takes two rounds, so that the bytes of what occurs once never move: the first sends minimizers alone
-and tells each document which of its strings have one that another document has too; the second sends those strings.
+most 84 bytes. It takes two rounds, so that the bytes of what occurs once never move: the first sends minimizers and two
+hashes of what lies beside them, and tells each document which of its strings may have a window that another document has
+too; the second sends those strings.
 
-A shard builds the transform of its distinct strings column by column: each round inserts one symbol of every string.
+A window has 17 bytes before its minimizer or 18 after it, so strings with an equal window have the minimizer and the
+17 before it or the 18 after it in common. The hashes are of those; a string without a window that has them sends none. This
+holds where all windows of both strings have the first occurrence of their minimizer at one place; where some string with a
+minimizer is not like that, all strings with that minimizer go on if two documents have it.
+
+A shard builds the transform of its distinct strings column by column: each round inserts one symbol of every string. A
+string that alone has its minimizer, once equal strings are one, has no window in common with another and needs no transform.
 The places of the new symbols follow from the transform so far (the stable order of its symbols, an LF step), and one
 sequential sweep merges them into the column, and into a second one of the bytes (50 at most) that each suffix shares
 with the one before it. Following the finished transform gives every suffix's place; suffixes that share 50 bytes with
@@ -40,7 +47,9 @@ from sonorant.llm.common import documents, id_in, id_out, materialise, release,
 LENGTH, GRAM = 50, 16
 REACH = LENGTH - GRAM + 1  # 16-byte substrings in a window, and the most windows in a string
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_BEFORE, _AFTER = REACH // 2, REACH // 2 + 1  # bytes beside a minimizer, one or the other of which each window has
 _BLOCK = 3_000_000
+_CHUNK = 1 << 15
 _COLLECTION = 300_000
 _WIDE = 64
 _LOG = np.frexp(np.maximum(np.arange(2 * _WIDE + 1), 1).astype(float))[1].astype(np.int64) - 1
@@ -56,31 +65,69 @@ def _sliding_least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[:-rest], h[rest:]) if rest else h
 
 
-def strings(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _hashes(flat: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of the 16-byte substring at each place, and the least of each window's; in pieces that fit the processor's cache."""
+    eight = np.ndarray(shape=(n + LENGTH,), dtype="<u8", buffer=flat, strides=(1,))
+    h, least = np.empty(n + LENGTH - 8, dtype=np.uint64), np.empty(n + GRAM - 8, dtype=np.uint64)
+    for i in range(0, len(least), _CHUNK):
+        z = min(i + _CHUNK, len(least))
+        x = eight[i : z + REACH - 1] * _P1
+        x ^= eight[i + 8 : z + REACH + 7]
+        x *= _P2
+        x ^= x >> np.uint64(29)
+        x *= _P1
+        h[i : z + REACH - 1] = x
+        least[i:z] = _sliding_least(x, REACH)
+    return h, least
+
+
+def strings(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The strings of some texts: text index, start, windows, minimizer; and the texts' bytes, to which starts add their base.
 
-    Returned as (text, base + start, windows, minimizer, bytes).
+    Returned as (text, base + start, windows, minimizer, bytes, hashes of the substrings).
     """
     size = np.array([len(r) for r in raws], dtype=np.int64)
     flat = np.frombuffer(b"".join(raws) + bytes(LENGTH + 8), dtype=np.uint8)
     n = int(size.sum())
-    eight = np.ndarray(shape=(n + LENGTH,), dtype="<u8", buffer=flat, strides=(1,))
-    with np.errstate(over="ignore"):
-        h = (eight[: n + LENGTH - 8] * _P1 ^ eight[8 : n + LENGTH]) * _P2
-        h ^= h >> np.uint64(29)
-        h *= _P1
-    least = _sliding_least(h, REACH)
-    text = np.repeat(np.arange(len(raws)), np.maximum(size - LENGTH + 1, 0))
+    h, least = _hashes(flat, n)
     base = np.cumsum(size) - size
-    at = np.arange(len(text)) - np.repeat(np.cumsum(np.maximum(size - LENGTH + 1, 0)) - np.maximum(size - LENGTH + 1, 0), np.maximum(size - LENGTH + 1, 0)) + base[text]
-    key = least[at]
-    new = np.ones(len(at), dtype=bool)
-    new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+    stop = base + size - LENGTH + 1
+    new = np.zeros(n, dtype=bool)
+    new[1:] = least[1:n] != least[: max(n - 1, 0)]
+    new[base[size > 0]] = True
     begin = np.flatnonzero(new)
-    inside = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
-    begin = np.flatnonzero(inside % REACH == 0)
-    windows = np.diff(np.append(begin, len(at)))
-    return text[begin], at[begin], windows, key[begin], flat
+    text = np.searchsorted(base, begin, side="right") - 1
+    inside = begin < stop[text]
+    begin, text = begin[inside], text[inside]
+    windows = np.minimum(np.append(begin[1:], n)[: len(begin)], stop[text]) - begin
+    if (windows > REACH).any():
+        parts = -(-windows // REACH)
+        at = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin, text, windows = np.repeat(begin, parts) + at * REACH, np.repeat(text, parts), np.minimum(np.repeat(windows, parts) - at * REACH, REACH)
+    return text, begin, windows, least[begin], flat, h
+
+
+def sides(at: np.ndarray, windows: np.ndarray, key: np.ndarray, flat: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each string 16-bit hashes, from 1 on, of the 17 bytes before its minimizer and the 18 after it: 0 where no window of
+    the string has them, both 0 if not all windows have the minimizer's first occurrence at one place."""
+    place = np.empty(len(at), dtype=np.int64)  # of the first occurrence in the first window
+    of = np.lib.stride_tricks.sliding_window_view(h, REACH)
+    for i in range(0, len(at), _CHUNK // 16):
+        x = slice(i, i + _CHUNK // 16)
+        place[x] = (of[at[x]] == key[x, None]).argmax(axis=1)
+    eight = np.ndarray(shape=(len(flat) - 7,), dtype="<u8", buffer=flat, strides=(1,))
+    one = place >= windows - 1
+    out = []
+    for has, first, n in ((place >= _BEFORE, -_BEFORE, _BEFORE), (place - windows + 1 < _BEFORE, GRAM, _AFTER)):
+        x = np.flatnonzero(one & has)
+        i = at[x] + place[x] + first
+        with np.errstate(over="ignore"):
+            v = ((eight[i] * _P1 ^ eight[i + 8]) * _P2 ^ eight[i + n - 8]) * _P1
+            v = (v ^ v >> np.uint64(32)) * _P2
+        side = np.zeros(len(at), dtype=np.uint16)
+        side[x] = (v >> np.uint64(40)) % np.uint64(0xFFFF) + np.uint64(1)
+        out.append(side)
+    return out[0], out[1]
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -96,7 +143,8 @@ def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return flat[np.repeat(start - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
-_KINDS = {"key": "<u4", "doc": "<i8", "sub": "<i4", "start": "<u4", "windows": "<u2"}
+_KINDS = {"key": "<u4", "doc": "<i8", "sub": "<i4", "start": "<u4", "windows": "<u2", "before": "<u2", "after": "<u2"}
+_SENT, _ASKED = ("key", "doc", "sub", "start", "windows"), ("key", "doc", "sub", "start", "before", "after")
 
 
 def _pack(columns: dict[str, np.ndarray], content: bytes = b"") -> bytes:
@@ -154,28 +202,48 @@ def _by_shard(key: np.ndarray, n_shards: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def minimizers(docs: DataFrame, n_shards: int) -> DataFrame:
-    """shard, payload: minimizer, document and ordinal of every string."""
+    """shard, payload: minimizer, document, ordinal and sides of every string."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc, sub, raws, _ in _blocks(batches):
-            text, _, _, key, _ = strings(raws)
+            text, at, windows, key, flat, h = strings(raws)
+            before, after = sides(at, windows, key, flat, h)
+            del h
             ordinal = np.arange(len(text)) - np.searchsorted(text, text)
             order, shard, low, cuts = _by_shard(key, n_shards)
-            columns = {"key": low, "doc": doc[text[order]], "sub": sub[text[order]], "start": ordinal[order]}
+            columns = {"key": low, "doc": doc[text[order]], "sub": sub[text[order]], "start": ordinal[order], "before": before[order], "after": after[order]}
             out = [(int(shard[i]), _pack({k: v[i:j] for k, v in columns.items()})) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
             yield pd.DataFrame(out, columns=["shard", "payload"])
 
     return docs.mapInPandas(rows, "shard int, payload binary")
 
 
+def _of_two(group: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which entries are in a group with two documents; entries of a group follow each other."""
+    begin = np.flatnonzero(np.append(True, group[1:] != group[:-1])[: len(group)])
+    if not len(begin):
+        return np.zeros(0, dtype=bool)
+    return np.repeat(np.minimum.reduceat(doc, begin) < np.maximum.reduceat(doc, begin), np.diff(np.append(begin, len(group))))
+
+
 def shared_ordinals(payloads: list[bytes]) -> pd.DataFrame:
-    """doc_id, sub, ordinal of the strings of a shard whose minimizer two documents have."""
-    x = _parts([_unpack(p, ("key", "doc", "sub", "start"))[0] for p in payloads])
+    """doc_id, sub, ordinal of the strings of a shard that may have a window of another document: by minimizer and a side."""
+    x = _parts([_unpack(p, _ASKED)[0] for p in payloads])
     order = np.argsort(x["key"], kind="stable")
-    key, doc = x["key"][order], x["doc"][order]
-    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    run = np.diff(np.append(begin, len(order)))
-    chosen = order[np.repeat(np.minimum.reduceat(doc, begin) < np.maximum.reduceat(doc, begin), run)]
+    order = order[_of_two(x["key"][order], x["doc"][order])]
+    key = x["key"][order].astype(np.int64)
+    group = np.cumsum(np.append(True, key[1:] != key[:-1])[: len(key)]) - 1
+    several = np.zeros(len(key), dtype=bool)  # by group: some string has no one place of its minimizer
+    several[group[(x["before"][order] | x["after"][order]) == 0]] = True
+    chosen = several[group]
+    for side in ("before", "after"):
+        of = x[side][order]
+        some = np.flatnonzero(of)
+        alike = key[some] << 16 | of[some]
+        by = np.argsort(alike)
+        some = some[by]
+        chosen[some[_of_two(alike[by], x["doc"][order[some]])]] = True
+    chosen = np.sort(order[chosen])
     return pd.DataFrame({"doc_id": x["doc"][chosen], "sub": x["sub"][chosen], "ordinal": x["start"][chosen].astype(np.int32)})
 
 
@@ -184,7 +252,7 @@ def contents(docs: DataFrame, n_shards: int) -> DataFrame:
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc, sub, raws, chosen in _blocks(batches):
-            text, at, windows, key, flat = strings(raws)
+            text, at, windows, key, flat, _ = strings(raws)
             first = np.searchsorted(text, np.arange(len(raws)))
             take = np.concatenate([first[i] + np.sort(np.asarray(c, dtype=np.int64)) for i, c in enumerate(chosen)]).astype(np.int64)
             text, at, windows = text[take], at[take], windows[take]
@@ -318,7 +386,7 @@ def repeated(flat: np.ndarray, start: np.ndarray, size: np.ndarray, least: np.nd
 def shard_spans(payloads: list[bytes], external: bool = False) -> pd.DataFrame:
     """doc_id, sub, span (start << 32 | end) of the bytes to remove that a shard sees."""
     none = pd.DataFrame({"doc_id": np.zeros(0, np.int64), "sub": np.zeros(0, np.int32), "span": np.zeros(0, np.int64)})
-    parts = [_unpack(p, tuple(_KINDS)) for p in payloads]
+    parts = [_unpack(p, _SENT) for p in payloads]
     x = _parts([c for c, _ in parts])
     content = b"".join(c for _, c in parts)
     del parts
@@ -337,11 +405,16 @@ def shard_spans(payloads: list[bytes], external: bool = False) -> pd.DataFrame:
     start_, windows_ = np.cumsum(size_) - size_, size_ - LENGTH + 1
     first = np.cumsum(windows_) - windows_
     low = np.empty(int(windows_.sum()), dtype=np.int64)
+    # A string that alone has its minimizer shares windows with itself only.
+    _, group, members = np.unique(key, return_inverse=True, return_counts=True)
+    alone = members[group] == 1
+    low[_gather(np.arange(len(low)), first[alone], windows_[alone])] = np.repeat(least[alone], windows_[alone])
     # Collections small enough for the processor's cache; strings with one minimizer are in the same.
-    part = key % np.uint32(max(1, int(size_.sum()) // _COLLECTION))
-    order = np.argsort(part, kind="stable")
+    part = key % np.uint32(max(1, int(size_[~alone].sum()) // _COLLECTION))
+    order = np.flatnonzero(~alone)
+    order = order[np.argsort(part[order], kind="stable")]
     with tempfile.TemporaryDirectory(dir=os.environ.get("TMPDIR")) if external else nullcontext() as folder:
-        for mine in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        for mine in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []:
             n = size_[mine]
             bytes_ = np.append(_gather(flat, start_[mine], n), np.zeros(8, dtype=np.uint8))
             low[_gather(np.arange(len(low)), first[mine], windows_[mine])] = repeated(bytes_, np.cumsum(n) - n, n, least[mine], folder)

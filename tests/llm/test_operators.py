@@ -634,6 +634,56 @@ def test_suffix_dedup_with_equal_ids(spark):
     assert sorted(((r["doc_id"] or 0), r["n_removed"] > 0) for r in got) == [(0, False), (1, False), (1, False), (2, False), (2, True), (3, True)]
 
 
+def test_suffix_dedup_sends_strings_with_a_shared_window(spark):
+    """All strings that have a window of another document, also where minimizers repeat in them; not those that share a minimizer alone."""
+    rng = random.Random(14)
+
+    def sent(texts: list[str]) -> tuple[set, set, dict]:
+        docs = table(spark, list(enumerate(texts))).select("doc_id", F.lit(0).alias("sub"), "text")
+        x = suffix_dedup.shared_ordinals([bytes(r["payload"]) for r in suffix_dedup.minimizers(docs, 1).collect()])
+        where: dict[bytes, set] = {}
+        key: dict[tuple, int] = {}
+        for d, t in enumerate(texts):
+            _, start, windows, minimizer, *_ = suffix_dedup.strings([t.encode()])
+            for i, (a, n, m) in enumerate(zip(start.tolist(), windows.tolist(), minimizer.tolist(), strict=True)):
+                key[d, i] = m
+                for j in range(n):
+                    where.setdefault(t.encode()[a + j : a + j + 50], set()).add((d, i))
+        need = set().union(*[s for s in where.values() if len({d for d, _ in s}) > 1])
+        return need, set(zip(x["doc_id"].tolist(), x["ordinal"].tolist(), strict=True)), key
+
+    phrase = prose(rng, 8)[:30]  # 15 substrings that may be minimizers, and 33 bytes in common only by chance
+    need, got, key = sent([prose(rng, 20) + phrase + prose(rng, 20) for _ in range(40)])
+    both = Counter(m for m, _ in {(m, d) for (d, _), m in key.items()})
+    assert not need and 4 * len(got) < sum(both[m] > 1 for m in key.values())
+    for letters in ("ab", "abcdefgh ", "a"):
+        parts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 120))) for _ in range(12)]
+        parts += [x * (150 // len(x) + 1) for x in parts[:4]]
+        need, got, _ = sent(["".join(rng.choice(parts) for _ in range(8)) for _ in range(6)])
+        assert need and need <= got
+
+
+def test_suffix_dedup_transforms_only_strings_that_share_a_minimizer(spark, monkeypatch):
+    """Equal strings are one; if no other string has their minimizer, they need no transform."""
+    rng = random.Random(15)
+    a, b = prose(rng, 300), prose(rng, 300)
+    docs = [(1, a), (2, a), (3, b[:700]), (4, b[650:]), (5, b)]
+    copies = suffix_dedup.minimizers(table(spark, docs[:2]).select("doc_id", F.lit(0).alias("sub"), "text"), 1)
+    chosen = suffix_dedup.shared_ordinals([bytes(r["payload"]) for r in copies.collect()]).groupby("doc_id")["ordinal"].apply(list).to_dict()
+    rows = spark.createDataFrame([(d, 0, t, chosen[d]) for d, t in docs[:2]], "doc_id long, sub int, text string, chosen array<int>")
+    payloads = [bytes(r["payload"]) for r in suffix_dedup.contents(rows, 1).collect()]
+
+    def none(flat, start, size, *rest):
+        raise AssertionError(f"{len(size)} strings")
+
+    monkeypatch.setattr(suffix_dedup, "repeated", none)
+    spans = suffix_dedup.shard_spans(payloads)
+    monkeypatch.undo()
+    assert set(spans["doc_id"]) == {2} and min(spans["span"]) >> 32 == 0 and max(spans["span"] & 0xFFFFFFFF) == len(a.encode())
+    got = suffix_dedup.suffix_dedup(table(spark, docs)).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == suffix_dedup.brute(docs)
+
+
 def test_least_between_and_places():
     rng = np.random.default_rng(13)
     for n in (1, 63, 64, 200, 10_000):
