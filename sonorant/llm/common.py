@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import time
 import uuid
+from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +79,23 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
+@cache
+def _trimmer():
+    """glibc's malloc_trim; None where there is none."""
+    try:
+        return getattr(ctypes.CDLL(None), "malloc_trim", None)
+    except OSError:
+        return None
+
+
+def trim() -> None:
+    """Give the memory that this worker has freed back to the system, between pieces of work: malloc and Arrow keep it otherwise,
+    in idle workers too."""
+    pa.default_memory_pool().release_unused()
+    if _trimmer() is not None:
+        _trimmer()(0)
+
+
 def small_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -> None:
     """Let Python workers get at most so many rows and bytes at once: texts are long, and a worker holds a batch several
     times. Settings of the caller that are smaller stay; operators are lazy, so the settings outlive this call."""

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import tracemalloc
 import weakref
 from collections import Counter, defaultdict
@@ -710,6 +713,32 @@ def test_collection_order():
         assert shared[k] == both
 
 
+KEPT = """
+import re
+import numpy as np
+from sonorant.llm.common import trim
+def mb():
+    return int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+x = [np.ones(5000, np.uint8) for _ in range(20_000)]
+last = np.ones(5000, np.uint8)  # above the others
+del x
+full = mb()
+trim()
+print(full - mb())
+"""
+
+
+def test_workers_give_back_what_they_freed(monkeypatch):
+    root = suffix_dedup.__file__.rsplit("/", 3)[0]
+    out = subprocess.run([sys.executable, "-c", KEPT], env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, check=True).stdout
+    assert float(out) > 80
+    seen = []
+    monkeypatch.setattr(kneser_ney, "trim", lambda: seen.append("trim"))
+    for _ in kneser_ney._count(iter([pd.DataFrame({"text": ["a b c"]})])):
+        seen.append("rows")
+    assert seen == ["rows", "trim", "rows", "rows"]  # words, then what the whole task has counted
+
+
 BIG = 2**60
 
 
