@@ -33,46 +33,71 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonorant.llm.common import documents, id_in, id_out, materialise, small_batches
+from sonorant.llm.common import documents, materialise, small_batches, trim
 from sonorant.llm.components import components
 
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_KNOWN: dict[bytes, int] = {}
-_KNOWN_MOST = 200_000
+_PIECE = 2 << 20  # bytes of text that are hashed at once
 _WORDS = 16  # least 64-bit words of a bitmap
 
 
-def _hash(word: bytes) -> int:
-    if len(_KNOWN) >= _KNOWN_MOST:
-        _KNOWN.clear()
-    return _KNOWN.setdefault(word, xxhash.xxh64_intdigest(word))
-
-
-def shingles(text: str | None, k: int = 5) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of the text's k-word shingles."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    get = _KNOWN.get
-    h = np.fromiter((get(w) or _hash(w) for w in words), dtype=np.uint64, count=len(words))
-    m = min(k, len(h))
+def _rolled(h: np.ndarray, m: int) -> np.ndarray:
+    """The hash of each m successive words."""
     with np.errstate(over="ignore"):
         x = np.full(len(h) - m + 1, m, dtype=np.uint64)
         for i in range(m):
-            x = (x ^ h[i : len(h) - m + 1 + i]) * _P1
+            x ^= h[i : len(h) - m + 1 + i]
+            x *= _P1
             x ^= x >> np.uint64(31)
-        x = x * _P2
-        return np.unique(x ^ (x >> np.uint64(29)))
+        x *= _P2
+        x ^= x >> np.uint64(29)
+    return x
+
+
+def _piece(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    begin, words = split.offsets.to_numpy(), split.values
+    coded = words.dictionary_encode()
+    known = coded.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, known), dtype=np.uint64, count=len(known))[coded.indices.to_numpy()]
+    # Blank texts and blanks at a text's ends make empty words.
+    empty = np.flatnonzero(pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False))
+    h, begin = np.delete(h, empty), begin - np.searchsorted(empty, begin)
+    every = _rolled(h, k) if len(h) >= k else None
+    for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+        if a == b:
+            yield np.zeros(0, dtype=np.uint64)
+            continue
+        s = every[a : b - k + 1].copy() if b - a >= k else _rolled(h[a:b], b - a)
+        s.sort()
+        fresh = s[1:] != s[:-1]
+        yield s if fresh.all() else np.concatenate([s[:1], s[1:][fresh]])
+
+
+def shingle_sets(texts: pa.Array, k: int = 5) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its k-word shingles; whole pieces of the column are hashed at once."""
+    end = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(end, (end[i - 1] if i else 0) + _PIECE, side="right")))
+        yield from _piece(texts.slice(i, j - i), k)
+        i = j
+
+
+def shingles(text: str | None, k: int = 5) -> np.ndarray:
+    """The set of one text."""
+    return next(shingle_sets(pa.array([text], pa.string()), k))
 
 
 def node_of(s: np.ndarray) -> int:
     """The id of a set: 63 bits of its digest."""
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little") >> 1
+    return int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little") >> 1
 
 
 def least_overlap(a: np.ndarray | int, b: np.ndarray | int, percent: int = 80) -> np.ndarray | int:
@@ -94,61 +119,71 @@ def describe(docs: DataFrame, tracked: int) -> DataFrame:
     """Rows of two kinds: doc_id, n, node of each document, with the set's bitmap once for each task and node; and
     (node: shingle, n: count) of the frequent-shingle summaries."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held, parts, size = set(), {}, [], 0
+        kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("summary", pa.bool_()), ("bits", pa.binary())])
 
         def count() -> dict[int, int]:
-            u, c = np.unique(np.concatenate(parts), return_counts=True)
-            if (c > 1).sum() > tracked:
+            x = np.concatenate(parts)
+            parts.clear()
+            x.sort()
+            at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+            c = np.diff(at, append=len(x))
+            u, c = x[at[c > 1]], c[c > 1]
+            if len(c) > tracked:
                 least = np.partition(c, -tracked)[-tracked]
-                return _merge(held, u[c >= max(least, 2)], c[c >= max(least, 2)], tracked)
-            return _merge(held, u[c > 1], c[c > 1], tracked)
+                u, c = u[c >= least], c[c >= least]
+            return _merge(held, u, c, tracked)
 
         for b in batches:
-            n, node, bits = np.zeros(len(b), dtype=np.int64), np.zeros(len(b), dtype=np.int64), [None] * len(b)
-            for i, t in enumerate(b["text"]):
-                s = shingles(t)
-                n[i], node[i] = len(s), node_of(s)
-                if len(s) and node[i] not in seen:
-                    seen.add(node[i])
+            n, node, bits = np.zeros(b.num_rows, dtype=np.int64), np.zeros(b.num_rows, dtype=np.int64), [None] * b.num_rows
+            for i, s in enumerate(shingle_sets(b.column("text"))):
+                n[i], node[i] = len(s), (own := node_of(s))
+                if len(s) and own not in seen:
+                    seen.add(own)
                     bits[i] = bitmap(s).tobytes()
                     parts.append(s)
                     size += len(s)
                     if size > 2_000_000:
-                        held, parts, size = count(), [], 0
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n": n, "node": node, "summary": False, "bits": bits})
+                        held, size = count(), 0
+            yield pa.record_batch([b.column("doc_id"), n, node, np.zeros(len(n), dtype=bool), bits], schema=kinds)
         if parts:
             held = count()
         if held:
             keys = np.fromiter(held.keys(), dtype=np.uint64, count=len(held)).view(np.int64)
-            yield pd.DataFrame({"doc_id": [None] * len(held), "n": list(held.values()), "node": keys, "summary": True, "bits": None})
+            yield pa.record_batch([pa.nulls(len(held), pa.int64()), list(held.values()), keys, np.ones(len(held), dtype=bool), pa.nulls(len(held), pa.binary())], schema=kinds)
+        trim()
 
-    return id_out(docs.select(id_in("doc_id"), "text").mapInPandas(rows, "doc_id string, n long, node long, summary boolean, bits binary"))
+    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n long, node long, summary boolean, bits binary")
 
 
 def prefixes(docs: DataFrame, last: np.ndarray, percent: int) -> DataFrame:
     """sig, node, n: the shingles that each node must share one of, once for each task and node."""
     shared = docs.sparkSession.sparkContext.broadcast(last)
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, seen = shared.value, set()
+        maybe = np.zeros(1 << 18, dtype=bool)  # by the low bits: most shingles need no search
+        maybe[(frequent & np.uint64(len(maybe) - 1)).astype(np.int64)] = True
         for b in batches:
             out = []
-            for t in b["text"]:
-                s = shingles(t)
+            for s in shingle_sets(b.column("text")):
                 if not len(s) or (node := node_of(s)) in seen:
                     continue
                 seen.add(node)
                 p = len(s) - -(-percent * len(s) // 100) + 1
-                if len(frequent):
-                    late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
-                    s = np.concatenate([s[~late], s[late]])
-                out.append((s[:p], np.full(p, node), np.full(p, len(s), dtype=np.int32)))
+                near = np.flatnonzero(maybe[s.view(np.int64) & (len(maybe) - 1)])
+                late = near[frequent[np.minimum(np.searchsorted(frequent, s[near]), len(frequent) - 1)] == s[near]] if len(near) else near
+                if len(late):
+                    s = np.concatenate([np.delete(s, late), s[late]])
+                out.append((s[:p].copy(), node, len(s)))
             if out:
-                sig, node, n = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pd.DataFrame({"sig": sig.view(np.int64), "node": node, "n": n})
+                first, node, n = zip(*out, strict=True)
+                times = [len(x) for x in first]
+                yield pa.record_batch([np.concatenate(first).view(np.int64), np.repeat(np.array(node, dtype=np.int64), times), np.repeat(np.array(n, dtype=np.int32), times)], names=["sig", "node", "n"])
+        trim()
 
-    return docs.select("text").mapInPandas(rows, "sig long, node long, n int")
+    return docs.select("text").mapInArrow(rows, "sig long, node long, n int")
 
 
 def lists(prefix: DataFrame, percent: int) -> DataFrame:
@@ -185,6 +220,8 @@ def lists(prefix: DataFrame, percent: int) -> DataFrame:
             size = len(held[0])
         if size:
             yield whole(pd.concat(held, ignore_index=True))
+        held.clear()
+        trim()
 
     return prefix.repartition("sig").sortWithinPartitions("sig", "n", "node").mapInPandas(rows, "sig long, node long, n int, m int")
 
@@ -207,6 +244,26 @@ def members(listed: DataFrame, block_sets: int, block_shingles: int) -> DataFram
     return dealt.select("leader", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node")
 
 
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The runs of equal keys in sorted batches, each whole."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(k).to_numpy() for k in keys]
+        if held and any(held[0].column(k)[0].as_py() != x[0] for k, x in zip(keys, columns, strict=True)):
+            yield pa.concat_batches(held)
+            held = []
+        cuts = (np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in columns])) + 1).tolist()
+        for i, j in zip([0, *cuts], cuts, strict=False):
+            whole = pa.concat_batches([*held, b.slice(i, j - i)]) if held else b.slice(i, j - i)
+            held = []
+            yield whole
+        held.append(b.slice(cuts[-1] if cuts else 0))
+    if held:
+        yield pa.concat_batches(held)
+
+
 def bitmap(s: np.ndarray) -> np.ndarray:
     """Bit h mod B for each hash, with B the power of two (1,024 at least) that is two to four times the set's size."""
     size = max(64 * _WORDS, 1 << (2 * len(s)).bit_length())
@@ -219,7 +276,8 @@ def can_link(n: np.ndarray, maps: list[np.ndarray], percent: int) -> np.ndarray:
     """Which members could reach the needed overlap with some other one, by size and bitmap.
 
     Each bit in which two bitmaps differ is a shingle that one set lacks. Sets that may link differ in size so little
-    that their bitmaps are of one length or of double; the longer is folded.
+    that their bitmaps are of one length or of double; the longer is folded. Three eighths of the words show of most
+    pairs that they differ too much; the rest is read of the others.
     """
     out = np.zeros(len(n), dtype=bool)
     order = np.argsort(n, kind="stable")
@@ -231,13 +289,24 @@ def can_link(n: np.ndarray, maps: list[np.ndarray], percent: int) -> np.ndarray:
         stop = np.searchsorted(words, 2 * w, side="right")
         rows = [maps[i] for i in order[begin:end]] + [maps[i][:w] | maps[i][w:] for i in order[end:stop]]
         held = np.stack(rows)
+        first = 3 * int(w) // 8
+        some, rest = np.ascontiguousarray(held[:, :first].T), held[:, first:]
         for i in range(begin, end):
-            y = slice(i + 1, min(high[i], stop))
-            differ = np.bitwise_count(held[y.start - begin : y.stop - begin] ^ held[i - begin]).sum(axis=1, dtype=np.int64)
-            hit = (n[y] + n[i] - differ) // 2 >= least_overlap(n[y], n[i], percent)
-            if hit.any():
+            stop_i = min(high[i], stop)
+            if i + 1 >= stop_i:
+                continue
+            m = n[i + 1 : stop_i]
+            spare = m + n[i] - 2 * least_overlap(m, n[i], percent)
+            x, y = i - begin, slice(i + 1 - begin, stop_i - begin)
+            differ = np.bitwise_count(some[:, y] ^ some[:, x : x + 1]).sum(axis=0, dtype=np.uint32)
+            left = np.flatnonzero(differ <= spare)
+            if not len(left):
+                continue
+            at = left + (i + 1 - begin)
+            hit = at[differ[left] + np.bitwise_count(rest[at] ^ rest[x]).sum(axis=1, dtype=np.int64) <= spare[left]]
+            if len(hit):
                 out[order[i]] = True
-                out[order[y][hit]] = True
+                out[order[hit + begin]] = True
     return out
 
 
@@ -334,33 +403,63 @@ def ngram_join(docs: DataFrame, percent: int = 80, tracked: int = 16_384, freque
     grouped = materialise(members(listed, block_sets, block_shingles), "groups")
     maps = seen.where("bits IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
 
-    task = ["leader", "lo", "hi"]
-
-    def prune(x: pd.DataFrame) -> pd.DataFrame:
-        bits = [np.frombuffer(m, dtype=np.uint64) for m in x["bits"]]
-        return x.loc[can_link(x["n"].to_numpy(), bits, percent), [*task, "node"]]
-
-    close = materialise(grouped.join(maps, "node").groupBy(*task).applyInPandas(prune, "leader long, lo int, hi int, node long"), "close")
+    task, large = ["leader", "lo", "hi"], 128  # from so many rows on, memory goes back to the system after a group
+
+    def in_groups(df: DataFrame) -> DataFrame:
+        return df.repartition(*task).sortWithinPartitions(*task)
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, rows = [], 0
+        for x in groups(batches, task):
+            bits = [np.frombuffer(m, dtype=np.uint64) for m in x.column("bits").to_numpy(zero_copy_only=False)]
+            near = can_link(x.column("n").to_numpy(), bits, percent)
+            if near.any():
+                out.append(x.select([*task, "node"]).filter(pa.array(near)))
+                rows += out[-1].num_rows
+            if len(bits) >= large:
+                del x, bits
+                trim()
+            if rows >= 1000:
+                yield pa.concat_batches(out)
+                out, rows = [], 0
+        if out:
+            yield pa.concat_batches(out)
+        trim()
+
+    close = materialise(in_groups(grouped.join(maps, "node")).mapInArrow(prune, "leader long, lo int, hi int, node long"), "close")
     # One text of each node that is left, found by doc_id; the ids are broadcast while they are few.
     first = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(close.select("node").distinct(), "node", "left_semi")
     first = materialise(first, "firsts")
     side = F.broadcast(first) if first.count() <= broadcast_ids else first.hint("merge")
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = [shingles(t) for t in b["text"]]
-            ok = [node_of(x) == w for x, w in zip(s, b["node"], strict=True)]  # rows of one doc_id may have other texts
-            yield pd.DataFrame({"node": b["node"][ok], "held": [x.tobytes() for x, y in zip(s, ok, strict=True) if y]})
-
-    held = docs.join(side, "doc_id").select("node", "text").mapInPandas(sets, "node long, held binary")
-
-    def search(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.drop_duplicates("node").assign(first=x["leader"] != x["node"]).sort_values(["first", "node"], kind="stable")
-        found = divide_skip([np.frombuffer(s, dtype=np.uint64) for s in x["held"]], percent)
-        node = x["node"].to_numpy()
-        return pd.DataFrame({"a": [node[i] for i, _ in found], "b": [node[j] for _, j in found]}, dtype=np.int64)
-
-    links = close.join(held, "node").groupBy(*task).applyInPandas(search, "a long, b long")
+            # Rows of one doc_id may have other texts.
+            ok = [(w, s.tobytes()) for w, s in zip(b.column("node").to_pylist(), shingle_sets(b.column("text")), strict=True) if node_of(s) == w]
+            yield pa.record_batch([pa.array([w for w, _ in ok], pa.int64()), pa.array([s for _, s in ok], pa.binary())], names=["node", "held"])
+        trim()
+
+    held = docs.join(side, "doc_id").select("node", "text").mapInArrow(sets, "node long, held binary")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        for x in groups(batches, task):
+            node, at = np.unique(x.column("node").to_numpy(), return_index=True)
+            first = np.argsort(node != x.column("leader")[0].as_py(), kind="stable")
+            node, sets = node[first], x.column("held").to_numpy(zero_copy_only=False)[at[first]]
+            found = divide_skip([np.frombuffer(s, dtype=np.uint64) for s in sets], percent)
+            a += [node[i] for i, _ in found]
+            b += [node[j] for _, j in found]
+            if len(node) >= large:
+                del x, sets
+                trim()
+            if len(a) >= 1000:
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                a, b = [], []
+        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        trim()
+
+    links = in_groups(close.join(held, "node")).mapInArrow(search, "a long, b long")
     roots = materialise(components(links), "roots")
     # By node, then by document: both joins have a small table on one side that is written first, so that Spark can
     # split the rows of a frequent node or root among tasks.

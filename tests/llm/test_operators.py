@@ -16,6 +16,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,6 +246,29 @@ def test_merge_skip_counts_occurrences():
         assert ngram_join.merge_skip(lists, least) == sorted((k, n) for k, n in c.items() if n >= least)
 
 
+def test_shingles_of_a_column_hash_each_word_once_a_piece(monkeypatch):
+    """The sets of odd texts in any pieces and in a slice of a column, with few words hashed."""
+    rng = random.Random(21)
+    texts = ["", None, "  ", "a", " A b  c ", "a b c d e", "a b c d e f A B C D E", "é x \x1cy É\n"] + [prose(rng, 50) for _ in range(40)] + ["one two three four five six " * 200]
+    calls, digest = [], ngram_join.xxhash.xxh64_intdigest
+    monkeypatch.setattr(ngram_join.xxhash, "xxh64_intdigest", lambda w: calls.append(w) or digest(w))
+    column = pa.array(["skipped", *texts])[1:]
+    whole = list(ngram_join.shingle_sets(column))
+    assert len(calls) == len(set(calls))
+    assert [len(s) for s in whole] == [len(s) for s in shingle_sets(texts)]
+    monkeypatch.setattr(ngram_join, "_PIECE", 100)
+    for t, s, w in zip(texts, ngram_join.shingle_sets(column), whole, strict=True):
+        assert s.tolist() == w.tolist() == sorted(set(w.tolist())) == ngram_join.shingles(t).tolist()
+
+
+def test_groups_of_batches():
+    keys = np.sort(np.random.default_rng(22).integers(0, 40, 300)).tolist()
+    for size in (1, 3, 50, 300):
+        batches = [pa.record_batch({"a": keys[i : i + size], "b": [7] * len(keys[i : i + size])}) for i in range(0, 300, size)]
+        found = [x.column("a").to_pylist() for x in ngram_join.groups(iter([*batches, batches[0][:0]]), ["a", "b"])]
+        assert sum(found, []) == keys and [set(x) for x in found] == [{k} for k in sorted(set(keys))]
+
+
 @pytest.mark.parametrize("block", [8, 20])
 def test_ngram_join_in_blocks(spark, block):
     """A family larger than a block, some of whose links lie between blocks only."""
