@@ -96,6 +96,15 @@ def trim() -> None:
         _trimmer()(0)
 
 
+def lighten(spark: SparkSession) -> None:
+    """Let the executors' JVMs collect their garbage, after which they give free heap back to the system.
+
+    A heap that earlier steps filled otherwise stays as large as it may be, beside the Python workers of the next step.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("reflect('java.lang.System', 'gc')").collect()
+
+
 def small_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -> None:
     """Let Python workers get at most so many rows and bytes at once: texts are long, and a worker holds a batch several
     times. Settings of the caller that are smaller stay; operators are lazy, so the settings outlive this call."""

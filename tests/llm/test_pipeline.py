@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import random
 
 import pytest
 
 import corpus_pipeline as cp
+from sonorant.llm.common import lighten
 from tests.llm.helpers import LABELS, odd, prose, table
 from tests.llm.test_operators import components_of, shingle_sets
 
@@ -141,3 +143,17 @@ def test_stage_of_odd_rows_with_clashing_columns(spark, folder, stage):
 
 
 BIG = 2**60
+
+
+def test_heap_is_given_back_between_stages(spark, folder, monkeypatch):
+    jvm = spark.sparkContext._jvm
+    held = [jvm.java.nio.ByteBuffer.allocate(300 << 20) for _ in range(3)]
+    before = jvm.java.lang.Runtime.getRuntime().totalMemory()
+    del held
+    gc.collect()
+    lighten(spark)
+    assert jvm.java.lang.Runtime.getRuntime().totalMemory() < before
+    monkeypatch.setattr(cp, "lighten", lambda _: 1 / 0)
+    for stage in (cp.classify, cp.near, cp.packed):
+        with pytest.raises(ZeroDivisionError):
+            stage(spark, table(spark, [(0, "a")]), folder)
