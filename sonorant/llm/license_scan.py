@@ -16,10 +16,11 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sonorant.llm.common import ascii_lower, documents
+from sonorant.llm.common import ascii_lower, documents, lighten
 
 GRAM = 3
 
@@ -77,7 +78,9 @@ def template_grams(spark: SparkSession, templates: list[tuple[str, str]] = TEMPL
         w = text.split()
         rows += [(i, label, base, p, len(w) - GRAM + 1, *w[p : p + GRAM]) for p in range(len(w) - GRAM + 1)]
     names = [f"t{k}" for k in range(GRAM)]
-    df = spark.createDataFrame(rows, "template int, label string, base boolean, tpos int, n_grams int, " + ", ".join(f"{n} string" for n in names))
+    kinds = [("template", pa.int32()), ("label", pa.string()), ("base", pa.bool_()), ("tpos", pa.int32()), ("n_grams", pa.int32()), *((n, pa.string()) for n in names)]
+    # From Arrow it is a local relation; from rows, executors would start Python workers to read it.
+    df = spark.createDataFrame(pa.table([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], names=[n for n, _ in kinds]))
     return df.withColumn("gram", F.when(F.col("template") < 0, F.lit(_MARK)).otherwise(F.xxhash64(*names)))
 
 
@@ -143,6 +146,7 @@ def license_scan(docs: DataFrame, slack: int = 3, share: float = 0.6) -> DataFra
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lighten(spark)
     return license_scan(documents(spark, sf_dir)).drop("spans")
 
 

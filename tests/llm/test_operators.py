@@ -370,6 +370,11 @@ def test_license_whole_texts(spark):
         assert any(s["label"] == label and (s["start"], s["end"]) == (0, len(text.split())) for s in got[i]["spans"]), label
 
 
+def test_license_templates_need_no_python(spark):
+    plan = license_scan.template_grams(spark)._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" in plan and "ExistingRDD" not in plan
+
+
 def test_license_with_edits(spark):
     t = license_scan.TEMPLATES[1][1].split()
     edited = " ".join(["intro"] * 5 + t[:8] + ["very"] + t[8:20] + t[21:])
